@@ -286,11 +286,9 @@ def cross_validated(
     own, and only for the features its documents hold.
     """
     own = train(training, [fold])
-    folds = own.labels.select(fold).distinct()
-    all_labels = own.labels.select("label").distinct()
-    # At most (number of folds) × (number of classes) rows.
-    combos = folds.join(F.broadcast(all_labels), F.lit(True))
-    labels = leave_one_out(combos, own.labels, fold)
+    classes = own.labels.agg(F.collect_set("label")).scalar()
+    per_fold = own.labels.select(fold).distinct().withColumn("label", F.explode(classes))
+    labels = leave_one_out(per_fold, own.labels, fold)
     wanted = own.features.select(fold, "feature").distinct()
     seen = own.features.select("label", "feature", "value").distinct()
     features = leave_one_out(
