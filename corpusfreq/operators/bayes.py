@@ -102,15 +102,22 @@ def finish_training(counts: BayesCounts, compat: bool = False) -> DataFrame:
     return joined.select("label", "feature", "value", "count", p.alias("p"))
 
 
-def _label_table(labels: DataFrame, by: Sequence[str]) -> Column:
-    """The class set as one array value: its length is the number of classes (per fold)."""
+def _with_labels(df: DataFrame, labels: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add ``__labels``, the classes of the row's fold with their counts.
+
+    The class set is one array value, as long as there are classes (per fold).
+    """
     entries = labels.where(F.col("count") > 0).agg(
         F.sort_array(F.collect_list(F.struct(*by, "label", "count")))
     )
-    table = entries.scalar()
+    df = df.withColumn("__labels", entries.scalar())
     for group in by:
-        table = F.filter(table, lambda e, g=group: e[g] == F.col(g))
-    return table
+        df = df.withColumn("__labels", _where_equal(F.col("__labels"), group))
+    return df
+
+
+def _where_equal(table: Column, group: str) -> Column:
+    return F.filter(table, lambda e: e[group] == F.col(group))
 
 
 def _sum(values: Column) -> Column:
@@ -166,9 +173,8 @@ def _needed(
                 (F.ln(x["count"] + F.lit(GAMMA)) - F.ln(F.lit(GAMMA))).alias("delta"),
             ),
         )
-        documents = F.aggregate(
-            _label_table(counts.labels, by), F.lit(0).cast("long"), lambda a, e: a + e["count"]
-        )
+        table = _with_labels(table, counts.labels, by)
+        documents = F.aggregate("__labels", F.lit(0).cast("long"), lambda a, e: a + e["count"])
         bins = F.col("__v") + (F.col("__c") < documents).cast("int")
     return table.select(
         *by, "feature", "value", "__rows", contribution.alias("__seen"), bins.alias("__bins")
@@ -258,7 +264,8 @@ def posteriors(
 
         return let(_sum(F.transform(scored, lambda s: F.exp(s["score"] - top))), divide)
 
-    scored = let(_label_table(counts.labels, by), score)
+    per_doc = _with_labels(per_doc, counts.labels, by)
+    scored = score(F.col("__labels"))
     return per_doc.select(doc, *by, let(scored, normalise).alias("scores"))
 
 
