@@ -146,11 +146,11 @@ def i3(spark, sf):
     return kw.kwic(documents(spark, sf), TARGET, SIZE)
 
 
-@query("i3_kwic_indexed", f"WITH {kwic_sql('error', 50)} SELECT * FROM kwic")
+@query("i3_kwic_indexed", f"WITH {kwic_sql('zu', 50)} SELECT * FROM kwic")
 def i3_index(spark, sf):
     """Only the documents that the inverted index lists are read for context."""
     docs = documents(spark, sf)
-    return kw.kwic(docs, "error", 50, index=ix.index_documents(docs))
+    return kw.kwic(docs, "zu", 50, index=ix.index_documents(docs))
 
 
 @query(
