@@ -40,6 +40,17 @@ def norms(
     return found
 
 
+def may_contain(text: Column, target: str, lower: bool = True) -> Column:
+    """A cheap test that is true for every text holding the token.
+
+    Lower-casing a whole text and a single token agree on ASCII letters; for other
+    targets the test lets everything pass.
+    """
+    if not target.isascii():
+        return F.lit(True)
+    return (F.lower(text) if lower else text).contains(target)
+
+
 def spans(text: Column, pattern: str = TOKEN_PATTERN, lower: bool = False) -> Column:
     """Tokens with character offsets: ``array<struct<norm,start,end>>``, end exclusive.
 

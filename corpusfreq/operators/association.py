@@ -16,8 +16,13 @@ from corpusfreq.functions import scores
 from corpusfreq.plans.skew import lookup_join
 
 
-def _grand_total(freqs: DataFrame) -> Column:
-    return freqs.agg(F.sum("count")).scalar()
+def _with_totals(rows: DataFrame, items: DataFrame, ngrams: DataFrame) -> DataFrame:
+    """Add the token total ``__n`` and the n-gram total ``__m``.
+
+    As columns each total is planned once, however often a formula uses it.
+    """
+    total = lambda freqs: freqs.agg(F.sum("count")).scalar()
+    return rows.withColumns({"__n": total(items), "__m": total(ngrams)})
 
 
 def _with_item_counts(
@@ -29,17 +34,15 @@ def _with_item_counts(
     return ngrams
 
 
-def _t_score(
-    ngrams: DataFrame, items: DataFrame, words: Sequence[str], compat: bool
-) -> tuple[Column, Column]:
-    n, total = _grand_total(ngrams), _grand_total(items)
+def _t_score(words: Sequence[str], compat: bool) -> Column:
+    n, total = F.col("__m"), F.col("__n")
     expected = F.lit(1.0)
     for word in words:
         expected = expected * F.coalesce(f"c_{word}", F.lit(0)) / total
     actual = F.try_divide("count", n)
     spread = F.col("count") * F.pow(1 - actual, 2) + (n - F.col("count")) * F.pow(actual, 2)
     t = scores.t_test(actual, expected, F.sqrt(spread / n), n)
-    return expected, -t if compat else t
+    return -t if compat else t
 
 
 def t_test_matrix(
@@ -49,9 +52,8 @@ def t_test_matrix(
 
     Positive when the n-gram is more frequent than expected; ``compat`` flips it.
     """
-    counted = _with_item_counts(ngrams, items, words)
-    _, t = _t_score(ngrams, items, words, compat)
-    return counted.select(*words, "count", t.alias("t"))
+    counted = _with_totals(_with_item_counts(ngrams, items, words), items, ngrams)
+    return counted.select(*words, "count", _t_score(words, compat).alias("t"))
 
 
 def t_test_ngram(
@@ -65,8 +67,8 @@ def t_test_ngram(
     found = lookup_join(targets, ngrams, list(words), None, {"count": "count"})
     found = found.withColumn("count", F.coalesce("count", F.lit(0)))
     counted = _with_item_counts(found, items, words, bounded=False)
-    _, t = _t_score(ngrams, items, words, compat)
-    return counted.select(*targets.columns, "count", t.alias("t"))
+    counted = _with_totals(counted, items, ngrams)
+    return counted.select(*targets.columns, "count", _t_score(words, compat).alias("t"))
 
 
 def neighbours(bigrams: DataFrame, target: str, min_count: int = 2) -> DataFrame:
@@ -120,10 +122,10 @@ def likelihood_matrix(items: DataFrame, bigrams: DataFrame, compat: bool = False
     ``compat`` uses the pair's own probability and the two marginals as the
     hypotheses. Rows without a finite score are dropped.
     """
-    n, pairs = _grand_total(items), _grand_total(bigrams)
-    counted = _with_item_counts(bigrams, items, ("w1", "w2"))
+    counted = _with_totals(_with_item_counts(bigrams, items, ("w1", "w2")), items, bigrams)
+    n = F.col("__n")
     c1, c2, c12 = F.col("c_w1"), F.col("c_w2"), F.col("count")
-    p1, p2, p12 = c1 / n, c2 / n, c12 / pairs
+    p1, p2, p12 = c1 / n, c2 / n, c12 / F.col("__m")
     if compat:
         score = scores.likelihood_ratio(c1, c2, c12, n, p12, p1, p2)
     else:
@@ -137,9 +139,9 @@ def likelihood_matrix(items: DataFrame, bigrams: DataFrame, compat: bool = False
 
 def pmi_matrix(items: DataFrame, bigrams: DataFrame, compat: bool = False) -> DataFrame:
     """Pointwise mutual information per bigram with its marginals and joint."""
-    n, pairs = _grand_total(items), _grand_total(bigrams)
-    counted = _with_item_counts(bigrams, items, ("w1", "w2"))
-    p1, p2, p12 = F.col("c_w1") / n, F.col("c_w2") / n, F.col("count") / pairs
+    counted = _with_totals(_with_item_counts(bigrams, items, ("w1", "w2")), items, bigrams)
+    n = F.col("__n")
+    p1, p2, p12 = F.col("c_w1") / n, F.col("c_w2") / n, F.col("count") / F.col("__m")
     score = scores.pmi_first_marginal(p1) if compat else scores.pmi(p12, p1, p2)
     return counted.select(
         "w1", p1.alias("p1"), "w2", p2.alias("p2"), p12.alias("p12"), score.alias("pmi")

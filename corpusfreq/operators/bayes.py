@@ -61,7 +61,8 @@ def to_training(
 def train(training: DataFrame, by: Sequence[str] = ()) -> BayesCounts:
     """Count labels and (label, feature, value); partial sums combine before the shuffle."""
     labels = training.groupBy(*by, "label").agg(F.count("*").alias("count"))
-    rows = training.select(*by, "label", F.inline("features"))
+    rows = training.select(*by, "label", F.inline_outer("features"))
+    rows = rows.where(F.col("feature").isNotNull())
     features = rows.groupBy(*by, "label", "feature", "value").agg(F.count("*").alias("count"))
     return BayesCounts(labels, features)
 
@@ -272,7 +273,8 @@ def posteriors(
 def classify_proba(posterior: DataFrame) -> DataFrame:
     """One row per document and label: ``label, score, p``."""
     keys = [c for c in posterior.columns if c != "scores"]
-    return posterior.select(*keys, F.inline("scores"))
+    rows = posterior.select(*keys, F.inline_outer("scores"))
+    return rows.where(F.col("label").isNotNull())
 
 
 def classify(posterior: DataFrame, out: str = "predicted") -> DataFrame:

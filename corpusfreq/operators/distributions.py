@@ -78,14 +78,15 @@ class Distribution:
         weights = self._weights().where(F.col("weight") > 0)
         spark = weights.sparkSession
         ends = running_total(weights, ["item"], "weight", "hi")
-        mass = ends.agg(F.max("hi")).scalar()
-        buckets = ends.agg(F.count("*")).scalar()
+        scale = ends.agg(F.struct(F.max("hi").alias("mass"), F.count("*").alias("buckets")))
+        scale = scale.scalar()
+        mass, buckets = F.col("__s")["mass"], F.col("__s")["buckets"]
 
         def bucket(x: Column) -> Column:
             return F.least(F.floor(x / mass * buckets).cast("long"), buckets - 1)
 
         low = F.col("hi") - F.col("weight")
-        intervals = ends.select(
+        intervals = ends.withColumn("__s", scale).select(
             "item",
             low.alias("lo"),
             "hi",
@@ -93,8 +94,10 @@ class Distribution:
         )
         digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
         u = F.conv(F.left(digest, F.lit(DRAW_DIGITS)), 16, 10).cast("long") / F.lit(DRAW_RANGE)
-        drawn = spark.range(draws).select(F.col("id").alias("draw"), F.floor(u * mass).cast("long").alias("x"))
-        drawn = drawn.withColumn("db", bucket(F.col("x")))
+        drawn = spark.range(draws).withColumn("__s", scale)
+        drawn = drawn.select(
+            F.col("id").alias("draw"), F.floor(u * mass).cast("long").alias("x"), "__s"
+        ).withColumn("db", bucket(F.col("x")))
         inside = (F.col("lo") <= F.col("x")) & (F.col("x") < F.col("hi"))
         return drawn.join(intervals, (F.col("db") == F.col("b")) & inside).select("draw", "item")
 

@@ -26,14 +26,15 @@ def split_folds(
     docs: DataFrame, k: int = FOLDS, place: str = "place", out: str = "fold"
 ) -> DataFrame:
     """k contiguous chunks of the order, the first ``n mod k`` of them one larger."""
-    n = docs.agg(F.count("*")).scalar()
+    docs = docs.withColumn("__n", docs.agg(F.count("*")).scalar())
+    n = F.col("__n")
     size, larger = F.floor(n / k), F.pmod(n, F.lit(k))
     border = larger * (size + 1)
     i = F.col(place)
     fold = F.when(i < border, F.floor(i / (size + 1))).otherwise(
         larger + F.floor((i - border) / F.greatest(size, F.lit(1)))
     )
-    return docs.withColumn(out, fold.cast("int"))
+    return docs.withColumn(out, fold.cast("int")).drop("__n")
 
 
 def hash_folds(

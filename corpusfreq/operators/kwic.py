@@ -13,7 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusfreq.functions.arrays import let, running_sums
-from corpusfreq.functions.text import TOKEN_PATTERN, lines, matches, norm_ws, norms
+from corpusfreq.functions.text import (
+    TOKEN_PATTERN,
+    lines,
+    matches,
+    may_contain,
+    norm_ws,
+    norms,
+)
 from corpusfreq.operators.context import reach_back
 from corpusfreq.sources.corpus import base_name
 
@@ -155,16 +162,13 @@ def kwic(
         listed = index.where(F.col("norm") == target).select(F.col(doc).alias("__doc"))
         docs = docs.join(listed, F.col(doc) == F.col("__doc"), "left_semi")
     words = norms(F.col(text), pattern, lower, stop)
-    holding = docs.where(F.array_contains(words, target))
-    parts = holding.select(
-        doc,
-        *keep,
-        let(_line_parts(F.col(text), pattern, lower, stop), _document_parts).alias("__p"),
-    )
+    holds = may_contain(F.col(text), target, lower) & F.array_contains(words, target)
+    cut = let(_line_parts(F.col(text), pattern, lower, stop), _document_parts)
+    parts = docs.select(doc, *keep, F.when(holds, cut).alias("__p"))
     found = let(
         F.col("__p"), lambda p: _concordance(p["pieces"], p["tokens"], target, size, compat)
     )
-    return parts.select(doc, *keep, F.inline(found))
+    return parts.select(doc, *keep, F.inline(F.when(F.col("__p").isNotNull(), found)))
 
 
 def sync_lines(

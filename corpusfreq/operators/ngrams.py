@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusfreq.operators.freqs import conditional_probabilities, probabilities
 from corpusfreq.plans.blocks import BLOCK_ROWS, block_window, leads, owned, with_halo
 from corpusfreq.plans.skew import lookup_join
+from corpusfreq.session import durable
 
 
 def word_columns(n: int) -> list[str]:
@@ -71,14 +72,18 @@ def ngram_freqs(
 
 
 def ngram_models(
-    docs: DataFrame, vector: str = "vector", full_counts: bool = False
+    docs: DataFrame, vector: str = "vector", full_counts: bool = False, store: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Unigram, bigram and trigram counts.
 
     Only positions with two successors count, so all three follow from one
     trigram table; ``full_counts`` counts every unigram and bigram instead.
+    ``store`` writes the trigram table to the shared folder, so that models used
+    more than once do not read the corpus again.
     """
     tri = ngram_freqs(docs, 3, vector)
+    if store:
+        tri = durable(tri)
     if full_counts:
         uni, bi = ngram_freqs(docs, 1, vector), ngram_freqs(docs, 2, vector)
     else:
@@ -101,13 +106,14 @@ def interpolate(
     uni, bi, tri = models
     l1, l2, l3 = weights
     history = query.withColumn("__h", F.struct("w1", "w2"))
-    scored = lookup_join(history, probabilities(uni), {"w3": "item"}, None, {"__p1": "p"})
-    scored = lookup_join(
-        scored, conditional_probabilities(bi), {"w2": "cond", "w3": "item"}, None, {"__p2": "p"}
-    )
-    scored = lookup_join(
-        scored, conditional_probabilities(tri), {"__h": "cond", "w3": "item"}, None, {"__p3": "p"}
-    )
+    scored = history
+    for keys, model, name in (
+        ({"w3": "item"}, probabilities(uni), "__p1"),
+        ({"w2": "cond", "w3": "item"}, conditional_probabilities(bi), "__p2"),
+        ({"__h": "cond", "w3": "item"}, conditional_probabilities(tri), "__p3"),
+    ):
+        # The keys are those of the query at every step.
+        scored = lookup_join(scored, model, keys, None, {name: "p"}, counted=history)
     part = lambda weight, p: F.lit(weight) * F.coalesce(p, F.lit(0.0))
     p = part(l1, "__p1") + part(l2, "__p2") + part(l3, "__p3")
     return scored.select(*query.columns, p.alias(out))

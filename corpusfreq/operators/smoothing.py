@@ -36,8 +36,9 @@ def sgt_table(
         next_n.cast("double").alias("next_n"),
     )
     logs = points.select(F.ln("r").alias("x"), F.ln("z").alias("y"))
-    slope = logs.agg(F.regr_slope("y", "x")).scalar()
     # The fit's intercept cancels in the ratio of two fitted values.
+    points = points.withColumn("slope", logs.agg(F.regr_slope("y", "x")).scalar())
+    slope = F.col("slope")
     r, n, nn = F.col("r"), F.col("n").cast("double"), F.col("next_n")
     turing = (r + 1) * nn / n
     fitted = (r + 1) * F.exp(slope * (F.ln(r + 1) - F.ln(r)))
@@ -70,18 +71,17 @@ def sgt_fit(counts: DataFrame) -> DataFrame:
     )
 
 
-def _seen_once(counts: DataFrame) -> Column:
-    once = F.when(F.col("r") == 1, F.col("n")).otherwise(F.lit(0))
-    return counts.agg(F.sum(once)).scalar()
+def _seen_once() -> Column:
+    return F.sum(F.when(F.col("r") == 1, F.col("n")).otherwise(F.lit(0)))
 
 
-def _tokens(counts: DataFrame) -> Column:
-    return counts.agg(F.sum(F.col("r") * F.col("n"))).scalar()
+def _tokens() -> Column:
+    return F.sum(F.col("r") * F.col("n"))
 
 
 def unseen_mass(counts: DataFrame) -> Column:
     """P0: the probability of all unseen items together."""
-    return F.try_divide(_seen_once(counts), _tokens(counts))
+    return counts.agg(F.try_divide(_seen_once(), _tokens())).scalar()
 
 
 def sgt_with_unseen(
@@ -99,7 +99,8 @@ def absolute_discounting(
     query: DataFrame, counts: DataFrame, theta: float, bins: int, r: str = "r", out: str = "p"
 ) -> DataFrame:
     """Absolutely discounted probability for every count in ``query``."""
-    p = scores.absolute_discount(
-        F.col(r), _seen_once(counts), _tokens(counts), F.lit(bins), theta
-    )
-    return query.withColumn(out, p)
+    totals = counts.agg(F.struct(_seen_once().alias("once"), _tokens().alias("tokens")))
+    with_totals = query.withColumn("__t", totals.scalar())
+    once, tokens = F.col("__t")["once"], F.col("__t")["tokens"]
+    p = scores.absolute_discount(F.col(r), once, tokens, F.lit(bins), theta)
+    return with_totals.withColumn(out, p).drop("__t")

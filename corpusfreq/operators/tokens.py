@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusfreq.functions.text import TOKEN_PATTERN, line_tokens, norms, spans
+from corpusfreq.functions.text import TOKEN_PATTERN, line_tokens, may_contain, norms, spans
 from corpusfreq.plans.ranking import ordinal_within
 from corpusfreq.plans.skew import broadcast_if_small
 
@@ -23,9 +23,13 @@ def _as_list(stop: StopWords) -> Sequence[str] | None:
 
 
 def explode_tokens(docs: DataFrame, tokens: str = "tokens", keep: Sequence[str] = ("doc_id",)):
-    """One row per element of a token array, numbered by ``ord`` from 0."""
-    rows = docs.select(*keep, F.posexplode(tokens).alias("ord", "__t"))
-    return rows.select(*keep, "ord", "__t.*")
+    """One row per element of a token array, numbered by ``ord`` from 0.
+
+    The outer form keeps the optimizer from adding a test for empty arrays, which
+    would tokenise every text once more, before any exchange.
+    """
+    rows = docs.select(*keep, F.posexplode_outer(tokens).alias("ord", "__t"))
+    return rows.where(F.col("ord").isNotNull()).select(*keep, "ord", "__t.*")
 
 
 def tokenize_spans(
@@ -130,6 +134,8 @@ def corpus_vectors(
 
     With a target, only documents that contain it.
     """
+    if target is not None:
+        docs = docs.where(may_contain(F.col(text), target))
     vector = norms(F.col(text), stop=_as_list(stop))
     vectors = docs.select(doc, *keep, vector.alias("vector"))
     return vectors if target is None else vectors.where(F.array_contains("vector", target))

@@ -26,13 +26,15 @@ def lookup_join(
     weight: str | None,
     values: dict[str, str],
     hot_share: int = HOT_SHARE,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Left-join ``values`` of ``table`` (one row per key) onto ``rows``.
 
     ``weight`` names a column of ``table`` that bounds, up to a constant factor,
     how many rows of ``rows`` carry the key; a frequency table's own count is
     such a bound. With ``weight=None`` the keys of ``rows`` are counted first, which
-    is exact for any input and costs one more pass over them. Keys holding at least ``1/hot_share`` of the total weight are
+    is exact for any input and costs one more pass over them (over ``counted``, if
+    given: a table with the same keys that is cheaper to read). Keys holding at least ``1/hot_share`` of the total weight are
     therefore at most ``hot_share`` many and can be broadcast at any scale. All
     other keys are small and take an ordinary shuffle join, in which the rows
     already served by the broadcast are spread evenly instead of piling up.
@@ -42,7 +44,7 @@ def lookup_join(
     """
     keys = _key_map(on)
     if weight is None:
-        table, keys = _with_row_counts(rows, table, keys, values), {r: r for r in keys}
+        table, keys = _with_row_counts(rows if counted is None else counted, table, keys, values), {r: r for r in keys}
         values, weight = {dst: dst for dst in values}, "__rows"
     payload = F.struct(*[F.col(src).alias(dst) for dst, src in values.items()])
     keyed = table.select(

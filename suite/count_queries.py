@@ -188,7 +188,8 @@ cond AS (SELECT lang AS cond, norm AS item, count(*) AS count
 
 
 def lang_freqs(spark, sf):
-    words = vectors(spark, sf, "lang").select("lang", F.explode("vector").alias("norm"))
+    words = vectors(spark, sf, "lang").select("lang", F.explode_outer("vector").alias("norm"))
+    words = words.where(F.col("norm").isNotNull())
     return fr.conditional_freqs(words, "lang", "norm")
 
 
@@ -442,7 +443,8 @@ def f5(spark, sf):
     """Trigrams of the conversations under a model of the documents."""
     turns = tk.corpus_vectors(table(spark, sf, "conversations"), doc="conv_id")
     asked = ng.ngrams(turns, 3).distinct()
-    scored = ng.interpolate(asked, ng.ngram_models(vectors(spark, sf)), (0.2, 0.3, 0.5))
+    models = ng.ngram_models(vectors(spark, sf), store=True)
+    scored = ng.interpolate(asked, models, (0.2, 0.3, 0.5))
     return scored.select("w1", "w2", "w3", rounded("p", 12))
 
 

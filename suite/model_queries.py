@@ -643,7 +643,8 @@ feats AS (SELECT DISTINCT doc_id, label, norm AS feature FROM words JOIN train_d
 )
 def l1(spark, sf):
     training = nb.to_training(labelled(spark, sf))
-    return training.select("doc_id", "label", F.inline("features"))
+    rows = training.select("doc_id", "label", F.inline_outer("features"))
+    return rows.where(F.col("feature").isNotNull())
 
 
 @query(

@@ -360,19 +360,19 @@ vocab AS (SELECT norm AS item, row_number() OVER (ORDER BY doc_id, ord) - 1 AS i
 )
 
 
+def vector_words(vectors):
+    rows = vectors.select("doc_id", F.posexplode_outer("vector").alias("ord", "norm"))
+    return rows.where(F.col("ord").isNotNull())
+
+
 def doc_words(spark, sf):
     """doc_id, ord, norm without positions."""
-    return tk.explode_tokens(
-        tk.corpus_vectors(documents(spark, sf)).select(
-            "doc_id", F.transform("vector", lambda w: F.struct(w.alias("norm"))).alias("tokens")
-        )
-    )
+    return vector_words(tk.corpus_vectors(documents(spark, sf)))
 
 
 def bench_words(spark, sf):
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    vectors = tk.corpus_vectors(items)
-    return vectors.select("doc_id", F.posexplode("vector").alias("ord", "norm"))
+    return vector_words(tk.corpus_vectors(items))
 
 
 @query(
