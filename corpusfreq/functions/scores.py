@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+LN2 = math.log(2.0)
+
 
 def z_score(x: Column, mean: Column, sd: Column) -> Column:
     return F.try_divide(x - mean, sd)
@@ -20,12 +24,20 @@ def t_difference(c1: Column, c2: Column) -> Column:
 
 
 def log2_likelihood(k: Column, n: Column, p: Column) -> Column:
-    """log2 of p^k (1-p)^(n-k), with 0·log 0 taken as 0; NULL where impossible."""
-    hits = F.when(k == 0, F.lit(0.0)).otherwise(k * F.log2(F.when(p > 0, p)))
-    misses = F.when(n == k, F.lit(0.0)).otherwise((n - k) * F.log2(F.when(p < 1, 1 - p)))
+    """log2 of p^k (1-p)^(n-k), with 0·log 0 taken as 0; NULL where impossible.
+
+    log1p keeps the digits that 1-p would lose for the small p of a large corpus.
+    """
+    hits = F.when(k == 0, F.lit(0.0)).otherwise(k * F.log2(p))
+    misses = F.when(n == k, F.lit(0.0)).otherwise((n - k) * F.log1p(-p) / F.lit(LN2))
     return hits + misses
 
 
+def is_possible(k: Column, n: Column, p: Column) -> Column:
+    """Whether that likelihood exists, told without a logarithm."""
+    return p.isNotNull() & ((k == 0) | (p > 0)) & ((n == k) | (p < 1))
+
+
 def likelihood_ratio(
     c1: Column, c2: Column, c12: Column, n: Column, p: Column, p1: Column, p2: Column
 ) -> Column:
@@ -42,17 +54,14 @@ def likelihood_ratio(
     )
 
 
+def dunning_parameters(c1: Column, c2: Column, c12: Column, n: Column) -> tuple[Column, ...]:
+    """The maximum-likelihood parameters of the textbook: pooled, after, elsewhere."""
+    return F.try_divide(c2, n), F.try_divide(c12, c1), F.try_divide(c2 - c12, n - c1)
+
+
 def dunning_ratio(c1: Column, c2: Column, c12: Column, n: Column) -> Column:
-    """The likelihood ratio with the maximum-likelihood parameters of the textbook."""
-    return likelihood_ratio(
-        c1,
-        c2,
-        c12,
-        n,
-        F.try_divide(c2, n),
-        F.try_divide(c12, c1),
-        F.try_divide(c2 - c12, n - c1),
-    )
+    """The likelihood ratio with those parameters."""
+    return likelihood_ratio(c1, c2, c12, n, *dunning_parameters(c1, c2, c12, n))
 
 
 def pmi(p_xy: Column, p_x: Column, p_y: Column) -> Column:

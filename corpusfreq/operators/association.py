@@ -120,21 +120,29 @@ def likelihood_matrix(items: DataFrame, bigrams: DataFrame, compat: bool = False
     """Log-likelihood ratio per bigram with the probabilities of its parts.
 
     ``compat`` uses the pair's own probability and the two marginals as the
-    hypotheses. Rows without a finite score are dropped.
+    hypotheses. Rows without a score are dropped; in log space every score that
+    exists is finite.
     """
     counted = _with_totals(_with_item_counts(bigrams, items, ("w1", "w2")), items, bigrams)
     n = F.col("__n")
     c1, c2, c12 = F.col("c_w1"), F.col("c_w2"), F.col("count")
-    p1, p2, p12 = c1 / n, c2 / n, c12 / F.col("__m")
+    parts = counted.withColumns({"p1": c1 / n, "p2": c2 / n, "p12": c12 / F.col("__m")})
     if compat:
-        score = scores.likelihood_ratio(c1, c2, c12, n, p12, p1, p2)
+        pooled, after, elsewhere = F.col("p12"), F.col("p1"), F.col("p2")
     else:
-        score = scores.dunning_ratio(c1, c2, c12, n)
-    scored = counted.select(
-        "w1", p1.alias("p1"), "w2", p2.alias("p2"), p12.alias("p12"), score.alias("llr")
+        pooled, after, elsewhere = scores.dunning_parameters(c1, c2, c12, n)
+    # Named first, so that the formula refers to columns instead of repeating them.
+    parts = parts.withColumns({"__p": pooled, "__after": after, "__else": elsewhere})
+    p, after, elsewhere = F.col("__p"), F.col("__after"), F.col("__else")
+    rest, others = c2 - c12, n - c1
+    scored = parts.where(
+        scores.is_possible(c12, c1, p)
+        & scores.is_possible(rest, others, p)
+        & scores.is_possible(c12, c1, after)
+        & scores.is_possible(rest, others, elsewhere)
     )
-    finite = ~F.isnan("llr") & (F.abs("llr") < F.lit(float("inf")))
-    return scored.where(F.col("llr").isNotNull() & finite)
+    score = scores.likelihood_ratio(c1, c2, c12, n, p, after, elsewhere)
+    return scored.select("w1", "p1", "w2", "p2", "p12", score.alias("llr"))
 
 
 def pmi_matrix(items: DataFrame, bigrams: DataFrame, compat: bool = False) -> DataFrame:

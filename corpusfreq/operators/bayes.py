@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from corpusfreq.functions.arrays import let
 from corpusfreq.functions.text import norms
-from corpusfreq.operators.folds import leave_one_out
+from corpusfreq.operators.folds import FOLDS, leave_one_out, shuffled, split_folds
 from corpusfreq.operators.freqs import merge as merge_freqs
-from corpusfreq.plans.skew import lookup_join
+from corpusfreq.operators.tokens import StopWords, _as_list
+from corpusfreq.plans.skew import is_small, lookup_join
 
 # Fixed value: the pseudo-count of every smoothed distribution in the classifier.
 GAMMA = 0.5
@@ -46,11 +47,14 @@ def to_training(
     label: str | Column = "label",
     doc: str = "doc_id",
     text: str = "text",
-    stop: Sequence[str] | None = None,
+    stop: StopWords = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Document, label and its distinct tokens, each with the value true."""
-    types = F.array_distinct(norms(F.col(text), stop=stop))
+    types = F.array_distinct(norms(F.col(text), stop=_as_list(stop)))
+    if isinstance(stop, DataFrame):
+        docs = _with_kept_types(docs, types, stop, doc)
+        types = F.col("__types")
     features = F.transform(
         types, lambda t: F.struct(t.alias("feature"), F.lit(True).alias("value"))
     )
@@ -58,6 +62,21 @@ def to_training(
     return docs.select(doc, tag.alias("label"), *keep, features.alias("features"))
 
 
+def _with_kept_types(docs: DataFrame, types: Column, stop: DataFrame, doc: str) -> DataFrame:
+    """Add ``__types``, the token types that are not in the stop table."""
+    word = stop.columns[0]
+    if is_small(stop):
+        listed = docs.withColumn("__stop", stop.agg(F.collect_set(word)).scalar())
+        return listed.withColumn("__types", F.array_except(types, "__stop")).drop("__stop")
+    # A large list is an anti join; a document's types return to one row.
+    rows = docs.select(F.col(doc).alias("__doc"), F.explode(types).alias("__w"))
+    left = rows.join(stop.select(F.col(word).alias("__s")), F.col("__w") == F.col("__s"), "left_anti")
+    kept = left.groupBy("__doc").agg(F.collect_list("__w").alias("__types"))
+    none = F.array().cast("array<string>")
+    joined = docs.join(kept, F.col(doc) == F.col("__doc"), "left").drop("__doc")
+    return joined.withColumn("__types", F.coalesce("__types", none))
+
+
 def train(training: DataFrame, by: Sequence[str] = ()) -> BayesCounts:
     """Count labels and (label, feature, value); partial sums combine before the shuffle."""
     labels = training.groupBy(*by, "label").agg(F.count("*").alias("count"))
@@ -355,6 +374,23 @@ def evaluate(results: DataFrame, positive: str, fold: str = "fold") -> DataFrame
     )
 
 
+def cross_validate(
+    docs: DataFrame,
+    label: str = "tag",
+    positive: str = "SPAM",
+    stop: StopWords = None,
+    k: int = FOLDS,
+    seed: int = 0,
+    doc: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """The whole experiment: tokenise, shuffle, split into k folds, and for each fold
+    train on the others and measure on it."""
+    training = to_training(docs, label, doc, text, stop)
+    folded = split_folds(shuffled(training, doc, seed), k)
+    return evaluate(fold_results(cross_validated(folded, doc), folded, doc), positive)
+
+
 def average_folds(evaluation: DataFrame, fold: str = "fold") -> DataFrame:
     """The measures averaged over the folds."""
     names = [c for c in evaluation.columns if c not in (fold, "hits", "n")]

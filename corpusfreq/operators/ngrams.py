@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusfreq.operators.freqs import conditional_probabilities, probabilities
 from corpusfreq.plans.blocks import BLOCK_ROWS, block_window, leads, owned, with_halo
 from corpusfreq.plans.skew import lookup_join
 from corpusfreq.session import durable
@@ -105,15 +104,24 @@ def interpolate(
     """Linear interpolation for rows ``w1, w2, w3``; unseen events add 0."""
     uni, bi, tri = models
     l1, l2, l3 = weights
-    history = query.withColumn("__h", F.struct("w1", "w2"))
-    scored = history
-    for keys, model, name in (
-        ({"w3": "item"}, probabilities(uni), "__p1"),
-        ({"w2": "cond", "w3": "item"}, conditional_probabilities(bi), "__p2"),
-        ({"__h": "cond", "w3": "item"}, conditional_probabilities(tri), "__p3"),
+    tri = tri.select(
+        F.col("cond.w1").alias("a"), F.col("cond.w2").alias("b"), F.col("item").alias("c"), "count"
+    )
+    after_pair = tri.groupBy("a", "b").agg(F.sum("count").alias("count"))
+    after_one = bi.groupBy("cond").agg(F.sum("count").alias("count"))
+    # Counts and their totals are looked up for the query's keys only, so no
+    # probability is computed for an event that nobody asks for.
+    scored = query
+    for keys, table, name in (
+        ({"w3": "item"}, uni, "__c1"),
+        ({"w2": "cond", "w3": "item"}, bi, "__c2"),
+        ({"w2": "cond"}, after_one, "__n2"),
+        ({"w1": "a", "w2": "b", "w3": "c"}, tri, "__c3"),
+        ({"w1": "a", "w2": "b"}, after_pair, "__n3"),
     ):
-        # The keys are those of the query at every step.
-        scored = lookup_join(scored, model, keys, None, {name: "p"}, counted=history)
-    part = lambda weight, p: F.lit(weight) * F.coalesce(p, F.lit(0.0))
-    p = part(l1, "__p1") + part(l2, "__p2") + part(l3, "__p3")
-    return scored.select(*query.columns, p.alias(out))
+        scored = lookup_join(scored, table, keys, None, {name: "count"}, counted=query)
+    scored = scored.withColumn("__n1", uni.agg(F.sum("count")).scalar())
+    part = lambda weight, k: F.lit(weight) * F.coalesce(
+        F.try_divide(f"__c{k}", f"__n{k}"), F.lit(0.0)
+    )
+    return scored.select(*query.columns, (part(l1, 1) + part(l2, 2) + part(l3, 3)).alias(out))

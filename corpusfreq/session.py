@@ -62,8 +62,6 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     untouched; only a small file with a single row group is redistributed.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
     if df.rdd.getNumPartitions() > cores:
         return df
     return df.repartition(cores, *columns)

@@ -17,13 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusfreq.functions.text import norms
+from corpusfreq.functions.text import line_tokens, matches, norms
 from corpusfreq.operators.collocates import get_collocates
 from corpusfreq.operators.freqs import frequencies
 from corpusfreq.operators.ngrams import ngrams
 from corpusfreq.operators.stats import summary_stats_by
 from corpusfreq.operators.tokens import StopWords, _as_list, explode_tokens, remove_stop_words
-from corpusfreq.functions.text import line_tokens
 
 # Fixed value: the state store that keeps large state on local disk.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -51,6 +50,12 @@ def stream_tokens(
     return remove_stop_words(rows, stop) if isinstance(stop, DataFrame) else rows
 
 
+def stream_words(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Lower-cased words of a stream of texts, without positions."""
+    words = docs.select(F.explode(matches(F.col(text))).alias("w"))
+    return words.select(F.lower("w").alias("norm"))
+
+
 def stream_frequencies(tokens: DataFrame, item: str | Column = "norm") -> DataFrame:
     """Running counts; write them in update mode."""
     return frequencies(tokens, item)

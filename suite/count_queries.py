@@ -12,6 +12,7 @@ from corpusfreq.operators import index as ix
 from corpusfreq.operators import ngrams as ng
 from corpusfreq.operators import report as rp
 from corpusfreq.operators import tokens as tk
+from corpusfreq.session import durable
 from suite.registry import BENCH_WORDS, BIGRAMS, FREQS, NR, WORDS, documents, query, table
 from suite.text_queries import TARGET, bench_words, doc_words
 
@@ -442,7 +443,8 @@ asked AS (SELECT DISTINCT w1, w2, w3 FROM cgrams WHERE w3 IS NOT NULL)
 def f5(spark, sf):
     """Trigrams of the conversations under a model of the documents."""
     turns = tk.corpus_vectors(table(spark, sf, "conversations"), doc="conv_id")
-    asked = ng.ngrams(turns, 3).distinct()
+    # Read several times by the lookups.
+    asked = durable(ng.ngrams(turns, 3).distinct())
     models = ng.ngram_models(vectors(spark, sf), store=True)
     scored = ng.interpolate(asked, models, (0.2, 0.3, 0.5))
     return scored.select("w1", "w2", "w3", rounded("p", 12))

@@ -148,6 +148,38 @@ def test_cross_validation(spark):
     assert math.isclose(mean.accuracy, sum(e.accuracy for e in evaluated.values()) / 5)
 
 
+def test_whole_experiment_on_files(spark, tmp_path):
+    from corpusfreq.sources.corpus import load_corpus, load_stop_words, tag_by_name
+
+    for i, label, text in documents(30, 7):
+        name = ("spm" if label == "spam" else "msg") + f"{i}.txt"
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(text + " The")
+    (tmp_path / "stop").write_text("the\na")
+    docs = tag_by_name(load_corpus(spark, str(tmp_path / "in")))
+    stop = load_stop_words(spark, str(tmp_path / "stop"))
+    measured = nb.cross_validate(docs, stop=stop, k=3, seed=2).collect()
+    assert sorted(r.n for r in measured) == [10, 10, 10]
+    assert all(0 <= r.accuracy <= 1 for r in measured)
+    listed = nb.cross_validate(docs, stop=["the", "a"], k=3, seed=2).collect()
+    close = lambda a, b: a == b or math.isclose(a, b, rel_tol=1e-9)
+    pairs = zip(sorted(map(tuple, measured)), sorted(map(tuple, listed)))
+    assert all(close(x, y) for a, b in pairs for x, y in zip(a, b))
+
+
+def test_large_stop_table(spark, monkeypatch):
+    rows = frame(spark, documents(20, 8))
+    stop = spark.createDataFrame([("a",), ("d",)], "norm string")
+    features = lambda: {
+        r.doc_id: sorted(f.feature for f in r.features)
+        for r in nb.to_training(rows, stop=stop).collect()
+    }
+    small = features()
+    monkeypatch.setattr(nb, "is_small", lambda df: False)
+    assert features() == small
+    assert all("a" not in v and "d" not in v for v in small.values())
+
+
 def test_shuffle_and_split(spark):
     docs = spark.range(23).select(F.col("id").alias("doc_id"))
     order = fo.shuffled(docs, seed=1)
