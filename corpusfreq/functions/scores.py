@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LN2 = math.log(2.0)
-
 
 def z_score(x: Column, mean: Column, sd: Column) -> Column:
     return F.try_divide(x - mean, sd)
@@ -24,12 +20,9 @@ def t_difference(c1: Column, c2: Column) -> Column:
 
 
 def log2_likelihood(k: Column, n: Column, p: Column) -> Column:
-    """log2 of p^k (1-p)^(n-k), with 0·log 0 taken as 0; NULL where impossible.
-
-    log1p keeps the digits that 1-p would lose for the small p of a large corpus.
-    """
+    """log2 of p^k (1-p)^(n-k), with 0·log 0 taken as 0; NULL where impossible."""
     hits = F.when(k == 0, F.lit(0.0)).otherwise(k * F.log2(p))
-    misses = F.when(n == k, F.lit(0.0)).otherwise((n - k) * F.log1p(-p) / F.lit(LN2))
+    misses = F.when(n == k, F.lit(0.0)).otherwise((n - k) * F.log2(1 - p))
     return hits + misses
 
 
