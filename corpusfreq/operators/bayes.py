@@ -19,6 +19,7 @@ from corpusfreq.operators.folds import FOLDS, leave_one_out, shuffled, split_fol
 from corpusfreq.operators.freqs import merge as merge_freqs
 from corpusfreq.operators.tokens import StopWords, _as_list
 from corpusfreq.plans.skew import is_small, lookup_join
+from corpusfreq.session import durable
 
 # Fixed value: the pseudo-count of every smoothed distribution in the classifier.
 GAMMA = 0.5
@@ -310,10 +311,11 @@ def cross_validated(
 ) -> DataFrame:
     """Posteriors of every document from a model trained on all other folds.
 
-    Each fold is counted once; a fold's training counts are the totals minus its
-    own, and only for the features its documents hold.
+    Each fold is counted once and the counts are stored; a fold's training counts
+    are the totals minus its own, and only for the features its documents hold.
     """
     own = train(training, [fold])
+    own = BayesCounts(own.labels, durable(own.features))
     classes = own.labels.agg(F.collect_set("label")).scalar()
     per_fold = own.labels.select(fold).distinct().withColumn("label", F.explode(classes))
     labels = leave_one_out(per_fold, own.labels, fold)
