@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusfreq.llm import native_queries  # noqa: F401
+from corpusfreq.llm import native_queries, text_queries  # noqa: F401
 from corpusfreq.llm.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
