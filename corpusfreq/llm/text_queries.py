@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from corpusfreq.llm import langid, pieces
+from corpusfreq.llm import langid, pieces, toxicity
 from corpusfreq.llm.folds import fold
 from corpusfreq.llm.registry import query, table
 
@@ -33,3 +33,12 @@ def op7(spark, sf_dir):
     model = langid.fit(docs.where(~held))
     judged = langid.predict(docs.withColumn("held_out", held), model, keep=("doc_id", "held_out"))
     return judged.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = fold("doc_id", 4) == 2
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    judged = toxicity.score(docs.withColumn("held_out", held), lexicon, keep=("doc_id", "held_out"))
+    return judged.select("doc_id", "held_out", "score", "predicted", "n_matches")
