@@ -1,9 +1,10 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded first: lower case, base letters of accented, full-width and other
-compatibility forms, look-alike letters of other scripts, digits and signs that stand
+Texts are folded first: lower case, base letters of full-width and other compatibility
+forms and of rare accents, look-alike letters of other scripts, digits and signs that stand
 for letters; letters that share a look (i, l, 1) become one. Lexicon entries are folded
-the same way and found by one Aho-Corasick automaton, as whole words. A match inside
+the same way and found by one Aho-Corasick automaton, as whole words or, if learnt as
+stems, as beginnings of words. A match inside
 an exception phrase does not count. The weights found are summed, normalised by the
 text's length, and turned into a probability by a logistic curve.
 
@@ -38,11 +39,13 @@ from corpusfreq.llm.workers import package_path
 MAX_LABELS = 200_000
 MAX_ENTRIES = 20_000
 MAX_EXCEPTIONS = 10_000
-# An entry needs this share of the toxic examples. A second, smaller share would be asked
-# of the examples that the first entries leave unexplained, and so on.
-SUPPORT = (0.05,)
+# An entry needs this share of the toxic examples, this many, and this log-ratio.
+SUPPORT = 0.03
 MIN_DOCS = 3
-MIN_WEIGHT = 3.0
+MIN_WEIGHT = 1.5
+# Lengths of stems; how often one text can count.
+STEM = (4, 9)
+REPEATS = 3
 EXCEPTION_DOCS = 3
 LEVEL = 0.3
 
@@ -51,9 +54,11 @@ LOOK_ALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y",
     "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "α": "a", "β": "b", "ε": "e",
     "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i",
-    "ɑ": "a", "ɡ": "g", "ß": "b", "ø": "o", "đ": "d", "ł": "l", "æ": "ae", "œ": "oe",
+    "ɑ": "a", "ɡ": "g", "đ": "d", "ł": "l",
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i",
 }
+# Letters of their own in western European languages: they keep their accents.
+KEPT = frozenset("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ")
 # One shape for letters written alike.
 SAME_SHAPE = {"l": "i", "j": "i"}
 WORD = re.compile(r"\w+")
@@ -70,7 +75,10 @@ def fold_table() -> dict[int, str]:
         if unicodedata.category(char) in ("Mn", "Cf"):
             table[code] = ""
             continue
-        base = unicodedata.normalize("NFKD", char).lower()
+        if char.lower() in KEPT:
+            base = char.lower()
+        else:
+            base = unicodedata.normalize("NFKD", char).lower()
         base = "".join(LOOK_ALIKES.get(c, c) for c in base if unicodedata.category(c) not in ("Mn", "Cf"))
         base = "".join(SAME_SHAPE.get(c, c) for c in base)
         if base != char:
@@ -95,20 +103,27 @@ class Matcher:
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
         self.automaton = ahocorasick.Automaton()
-        for word, weight in lexicon.weights.items():
-            self.automaton.add_word(word, (len(word), weight))
+        for form, weight in lexicon.weights.items():
+            stem = form.rstrip("*")
+            self.automaton.add_word(stem, (len(stem), stem != form, weight))
         if lexicon.weights:
             self.automaton.make_automaton()
 
     def matches(self, folded: str) -> Iterator[tuple[int, int, float]]:
-        """(start, stop, weight) of entries that stand as whole words."""
+        """(start, stop, weight) of entries that stand as whole words, or begin one."""
         if not self.lexicon.weights:
             return
         n = len(folded)
-        for end, (length, weight) in self.automaton.iter(folded):
+        for end, (length, stem, weight) in self.automaton.iter(folded):
             start, stop = end + 1 - length, end + 1
-            if (stop == n or not folded[stop].isalnum()) and (not start or not folded[start - 1].isalnum()):
-                yield start, stop, weight
+            if start and folded[start - 1].isalnum():
+                continue
+            if stem:
+                while stop < n and folded[stop].isalnum():
+                    stop += 1
+            elif stop < n and folded[stop].isalnum():
+                continue
+            yield start, stop, weight
 
     def phrases(self, folded: str, start: int, stop: int) -> list[str]:
         """The match with the word before it and with the word behind it."""
@@ -176,40 +191,53 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 COUNTS = "item string, bad int, n bigint"
 
 
-def _entries(rows: DataFrame, known: dict[str, float], support: float, toxic: int, clean: int) -> dict[str, float]:
-    """Words of unexplained toxic texts that clean texts hardly have, with log-ratio weights."""
-    explained = Matcher(Lexicon(weights=known))
+def _forms(word: str) -> list[str]:
+    """What may become an entry: the word, and its stems marked with a star."""
+    return [word, *(word[:k] + "*" for k in range(STEM[0], min(len(word), STEM[1]) + 1))]
 
-    def unexplained(text: str) -> set[str]:
-        folded = fold(text)
-        return set() if any(True for _ in explained.matches(folded)) else set(WORD.findall(folded))
 
-    least = max(MIN_DOCS, support * toxic)
-    often = _count(rows.where("bad = 1"), unexplained, COUNTS).where(F.col("n") >= least)
+def _entries(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
+    """Words and stems much more frequent in toxic texts, with log-ratio weights."""
+
+    def all_forms(text: str) -> list[str]:
+        found = Counter(f for w in WORD.findall(fold(text)) for f in _forms(w))
+        return [f for f, n in found.items() for _ in range(min(n, REPEATS))]
+
+    least = max(MIN_DOCS, SUPPORT * toxic)
+    often = _count(rows.where("bad = 1"), all_forms, COUNTS).where(F.col("n") >= least)
     often = often.orderBy(F.desc("n"), "item").limit(MAX_ENTRIES)
     bad = {r["item"]: r["n"] for r in often.collect()}  # MAX_ENTRIES rows at most
     names = set(bad)
 
+    def known_forms(text: str) -> list[str]:
+        found = Counter(f for w in WORD.findall(fold(text)) for f in _forms(w) if f in names)
+        return [f for f, n in found.items() for _ in range(min(n, REPEATS))]
+
+    good = {r["item"]: r["n"] for r in _count(rows.where("bad = 0"), known_forms, COUNTS).collect()}
+    weights, gain = {}, {}
+    for form, n in bad.items():
+        m = good.get(form, 0)
+        weight = float(np.log((n + 0.5) / (toxic + 1)) - np.log((m + 0.5) / (clean + 1)))
+        if weight >= MIN_WEIGHT:
+            expected = (n + m) * toxic / (toxic + clean)
+            weights[form] = weight
+            gain[form] = n * np.log(n / expected) + (m * np.log(m / (n + m - expected)) if m else 0.0)
+    names = set(weights)
+
     def sketches(text: str) -> set[str]:
         words = set(WORD.findall(fold(text)))
         least_hash = min((zlib.crc32(w.encode()) for w in words), default=0)
-        return {f"{w} {least_hash}" for w in words & names}
+        return {f"{f} {least_hash}" for w in words for f in _forms(w) if f in names}
 
     # Copies of one text mostly share the least hash of their words: they are one example.
-    varied = _count(rows.where("bad = 1"), sketches, COUNTS).groupBy(F.substring_index("item", " ", 1).alias("word"))
-    names = {r["word"] for r in varied.agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
-    bad = {w: n for w, n in bad.items() if w in names}
-
-    def candidates(text: str) -> set[str]:
-        return names.intersection(WORD.findall(fold(text)))
-
-    good = {r["item"]: r["n"] for r in _count(rows.where("bad = 0"), candidates, COUNTS).collect()}
-    weights = {}
-    for word, n in bad.items():
-        weight = float(np.log((n + 0.5) / (toxic + 1)) - np.log((good.get(word, 0) + 0.5) / (clean + 1)))
-        if weight >= MIN_WEIGHT:
-            weights[word] = weight
-    return weights
+    varied = _count(rows.where("bad = 1"), sketches, COUNTS).groupBy(F.substring_index("item", " ", 1).alias("form"))
+    names = {r["form"] for r in varied.agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
+    chosen: dict[str, float] = {}
+    for form in sorted(names, key=lambda f: (-gain[f], -len(f), f)):
+        stem = form.rstrip("*")
+        if not any(stem.startswith(c.rstrip("*")) or c.startswith(stem) for c in chosen):
+            chosen[form] = weights[form]
+    return chosen
 
 
 def _exceptions(rows: DataFrame, weights: dict[str, float]) -> set[str]:
@@ -259,8 +287,8 @@ def fit(
     totals = {r["bad"]: r["n"] for r in rows.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     lexicon = Lexicon()
-    for support in SUPPORT:
-        lexicon.weights |= _entries(rows, dict(lexicon.weights), support, toxic, clean)
+    if toxic:
+        lexicon.weights = _entries(rows, toxic, clean)
     if lexicon.weights:
         lexicon.exceptions = _exceptions(rows, lexicon.weights)
     lexicon.curve = _curve(rows, lexicon)
