@@ -70,7 +70,7 @@ def apply_rules(host: Column, path: Column, rules: Sequence[tuple[str, str, str]
     return F.array_max(F.array_compact(F.array(*fits)))
 
 
-def _bits(h: Column) -> Column:
+def bloom_bits(h: Column) -> Column:
     """The key's bits inside its 64-bit block."""
     mask = None
     for i in range(BITS_PER_KEY):
@@ -83,7 +83,7 @@ def _bits(h: Column) -> Column:
 def blocked_bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     """(block, mask): one 64-bit word for each occupied block, ``blocks`` rows at most."""
     h = F.xxhash64(key)
-    return listed.groupBy(F.pmod(h, F.lit(blocks)).alias("block")).agg(F.bit_or(_bits(h)).alias("mask"))
+    return listed.groupBy(F.pmod(h, F.lit(blocks)).alias("block")).agg(F.bit_or(bloom_bits(h)).alias("mask"))
 
 
 def block_count(n_keys: int) -> int:
@@ -115,7 +115,7 @@ def filter_urls(
     h = F.xxhash64("canon")
     open_ = judged.where("fit IS NULL").withColumn("at", F.when(F.col("canon").isNotNull(), F.pmod(h, F.lit(blocks))))
     tested = open_.join(F.broadcast(bloom), F.col("at") == F.col("block"), "left").withColumn(
-        "maybe", F.coalesce(F.col("mask").bitwiseAND(_bits(h)) == _bits(h), F.lit(False))
+        "maybe", F.coalesce(F.col("mask").bitwiseAND(bloom_bits(h)) == bloom_bits(h), F.lit(False))
     )
     kept = [id_col, "host", "path", "fit"]
     clean = tested.where(~F.col("maybe")).select(*kept, F.lit(False).alias("listed"))
