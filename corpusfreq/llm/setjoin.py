@@ -414,3 +414,27 @@ def linked_components(
     return signed.join(component, (F.col("node") == F.col("n")) & (F.col("size") > 0), "left").select(
         "id", "size", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component")
     )
+
+
+def keep_one_of_each(
+    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with one document of each component, the one of least id.
+
+    Rows with a null id or an empty set stay. Of rows with one id, which are one document,
+    the first by text stays.
+    """
+    found = linked_components(docs, n, percent, id_col, text_col)
+    # The others are few: they meet the documents by id, and only those of one id are compared.
+    gone = found.where("component < id").select(F.col("id").alias("__sj_id")).distinct()
+    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__sj_id"), "left_anti")
+    repeated = found.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1")
+    if repeated.isEmpty():
+        return kept
+    again = repeated.select(F.col("id").alias("__sj_again"))
+    single = kept.join(again, F.col(id_col).cast("long") == F.col("__sj_again"), "left_anti")
+    several = kept.join(again, F.col(id_col).cast("long") == F.col("__sj_again"), "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    first = several.groupBy(F.col(id_col).cast("long")).agg(F.min_by(F.struct(*columns), body).alias("__sj_row"))
+    return single.unionByName(first.select("__sj_row.*"))

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from corpusfreq.llm import langid, pieces, secrets, toxicity
 from corpusfreq.llm.folds import fold
 from corpusfreq.llm.registry import query, table
-
-
-def model_file() -> str:
-    """The public BPE model; ``PIECE_MODEL`` names another file."""
-    named = os.environ.get("PIECE_MODEL")
-    if named:
-        return named
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
+from corpusfreq.llm.tokenizers import model_file
 
 
 @query("op1_sentencepiece")
