@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusfreq.functions import scores
-from corpusfreq.plans.skew import lookup_join
+from corpusfreq.plans.skew import Lookup, lookup_join, lookup_joins
 
 
 def _with_totals(rows: DataFrame, items: DataFrame, ngrams: DataFrame) -> DataFrame:
@@ -25,13 +25,12 @@ def _with_totals(rows: DataFrame, items: DataFrame, ngrams: DataFrame) -> DataFr
     return rows.withColumns({"__n": total(items), "__m": total(ngrams)})
 
 
-def _with_item_counts(
+def with_item_counts(
     ngrams: DataFrame, items: DataFrame, words: Sequence[str], bounded: bool = True
 ) -> DataFrame:
+    """Add ``c_<word>``, the count of each word of an n-gram, all in one lookup."""
     weight = "count" if bounded else None
-    for word in words:
-        ngrams = lookup_join(ngrams, items, {word: "item"}, weight, {f"c_{word}": "count"})
-    return ngrams
+    return lookup_joins(ngrams, [Lookup(items, {w: "item"}, weight, {f"c_{w}": "count"}) for w in words])
 
 
 def _t_score(words: Sequence[str], compat: bool) -> Column:
@@ -52,7 +51,7 @@ def t_test_matrix(
 
     Positive when the n-gram is more frequent than expected; ``compat`` flips it.
     """
-    counted = _with_totals(_with_item_counts(ngrams, items, words), items, ngrams)
+    counted = _with_totals(with_item_counts(ngrams, items, words), items, ngrams)
     return counted.select(*words, "count", _t_score(words, compat).alias("t"))
 
 
@@ -66,7 +65,7 @@ def t_test_ngram(
     """The same for given n-grams; an n-gram never observed has no t score."""
     found = lookup_join(targets, ngrams, list(words), None, {"count": "count"})
     found = found.withColumn("count", F.coalesce("count", F.lit(0)))
-    counted = _with_item_counts(found, items, words, bounded=False)
+    counted = with_item_counts(found, items, words, bounded=False)
     counted = _with_totals(counted, items, ngrams)
     return counted.select(*targets.columns, "count", _t_score(words, compat).alias("t"))
 
@@ -123,7 +122,7 @@ def likelihood_matrix(items: DataFrame, bigrams: DataFrame, compat: bool = False
     hypotheses. Rows without a score are dropped; in log space every score that
     exists is finite.
     """
-    counted = _with_totals(_with_item_counts(bigrams, items, ("w1", "w2")), items, bigrams)
+    counted = _with_totals(with_item_counts(bigrams, items, ("w1", "w2")), items, bigrams)
     n = F.col("__n")
     c1, c2, c12 = F.col("c_w1"), F.col("c_w2"), F.col("count")
     parts = counted.withColumns({"p1": c1 / n, "p2": c2 / n, "p12": c12 / F.col("__m")})
@@ -147,7 +146,7 @@ def likelihood_matrix(items: DataFrame, bigrams: DataFrame, compat: bool = False
 
 def pmi_matrix(items: DataFrame, bigrams: DataFrame, compat: bool = False) -> DataFrame:
     """Pointwise mutual information per bigram with its marginals and joint."""
-    counted = _with_totals(_with_item_counts(bigrams, items, ("w1", "w2")), items, bigrams)
+    counted = _with_totals(with_item_counts(bigrams, items, ("w1", "w2")), items, bigrams)
     n = F.col("__n")
     p1, p2, p12 = F.col("c_w1") / n, F.col("c_w2") / n, F.col("count") / F.col("__m")
     score = scores.pmi_first_marginal(p1) if compat else scores.pmi(p12, p1, p2)

@@ -18,7 +18,7 @@ from corpusfreq.functions.text import norms
 from corpusfreq.operators.folds import FOLDS, leave_one_out, shuffled, split_folds
 from corpusfreq.operators.freqs import merge as merge_freqs
 from corpusfreq.operators.tokens import StopWords, _as_list
-from corpusfreq.plans.skew import is_small, lookup_join
+from corpusfreq.plans.skew import Lookup, lookup_join, lookup_joins
 from corpusfreq.session import durable
 
 # Fixed value: the pseudo-count of every smoothed distribution in the classifier.
@@ -54,7 +54,7 @@ def to_training(
     """Document, label and its distinct tokens, each with the value true."""
     types = F.array_distinct(norms(F.col(text), stop=_as_list(stop)))
     if isinstance(stop, DataFrame):
-        docs = _with_kept_types(docs, types, stop, doc)
+        docs = _with_kept_types(docs, types, stop, text)
         types = F.col("__types")
     features = F.transform(
         types, lambda t: F.struct(t.alias("feature"), F.lit(True).alias("value"))
@@ -63,19 +63,20 @@ def to_training(
     return docs.select(doc, tag.alias("label"), *keep, features.alias("features"))
 
 
-def _with_kept_types(docs: DataFrame, types: Column, stop: DataFrame, doc: str) -> DataFrame:
-    """Add ``__types``, the token types that are not in the stop table."""
-    word = stop.columns[0]
-    if is_small(stop):
-        listed = docs.withColumn("__stop", stop.agg(F.collect_set(word)).scalar())
-        return listed.withColumn("__types", F.array_except(types, "__stop")).drop("__stop")
-    # A large list is an anti join; a document's types return to one row.
-    rows = docs.select(F.col(doc).alias("__doc"), F.explode(types).alias("__w"))
-    left = rows.join(stop.select(F.col(word).alias("__s")), F.col("__w") == F.col("__s"), "left_anti")
-    kept = left.groupBy("__doc").agg(F.collect_list("__w").alias("__types"))
+def _with_kept_types(docs: DataFrame, types: Column, stop: DataFrame, text: str) -> DataFrame:
+    """Add ``__types``, the token types that are not in the stop table.
+
+    A text's types depend on the text alone, so they are joined and regrouped by
+    its digest: rows that share a document id keep their own types.
+    """
+    key = F.sha2(F.col(text), 256)
+    words = stop.select(F.col(stop.columns[0]).alias("__s"))
+    rows = docs.select(key.alias("__key"), F.explode_outer(types).alias("__w")).where(F.col("__w").isNotNull())
+    left = rows.join(words, F.col("__w") == F.col("__s"), "left_anti")
+    kept = left.groupBy("__key").agg(F.collect_set("__w").alias("__types"))
     none = F.array().cast("array<string>")
-    joined = docs.join(kept, F.col(doc) == F.col("__doc"), "left").drop("__doc")
-    return joined.withColumn("__types", F.coalesce("__types", none))
+    joined = docs.withColumn("__text_key", key).join(kept, F.col("__text_key") == F.col("__key"), "left")
+    return joined.withColumn("__types", F.coalesce("__types", none)).drop("__key", "__text_key")
 
 
 def train(training: DataFrame, by: Sequence[str] = ()) -> BayesCounts:
@@ -109,15 +110,16 @@ def finish_training(counts: BayesCounts, compat: bool = False) -> DataFrame:
     per_feature = counts.features.groupBy("feature").agg(
         F.count_distinct("value").alias("v"), F.sum("count").alias("c"), F.count("*").alias("rows")
     )
-    joined = lookup_join(counts.features, per_feature, "feature", "rows", {"v": "v", "c": "c"})
+    sizes = Lookup(per_feature, "feature", "rows", {"v": "v", "c": "c"})
     if compat:
         per_pair = counts.features.groupBy("label", "feature").agg(
             F.sum("count").alias("n"), F.count("*").alias("rows")
         )
-        joined = lookup_join(joined, per_pair, ["label", "feature"], "rows", {"n": "n"})
+        pairs = Lookup(per_pair, ["label", "feature"], "rows", {"n": "n"})
+        joined = lookup_joins(counts.features, [sizes, pairs])
         p = _smoothed(F.col("count"), F.col("n"), F.col("v"))
     else:
-        joined = lookup_join(joined, counts.labels, "label", "count", {"n": "count"})
+        joined = lookup_joins(counts.features, [sizes, Lookup(counts.labels, "label", "count", {"n": "count"})])
         missing = (F.col("c") < n_docs).cast("int")
         p = _smoothed(F.col("count"), F.col("n"), F.col("v") + missing)
     return joined.select("label", "feature", "value", "count", p.alias("p"))
@@ -126,19 +128,15 @@ def finish_training(counts: BayesCounts, compat: bool = False) -> DataFrame:
 def _with_labels(df: DataFrame, labels: DataFrame, by: Sequence[str]) -> DataFrame:
     """Add ``__labels``, the classes of the row's fold with their counts.
 
-    The class set is one array value, as long as there are classes (per fold).
+    One array of classes per fold, as long as the result's own array of scores.
     """
-    entries = labels.where(F.col("count") > 0).agg(
-        F.sort_array(F.collect_list(F.struct(*by, "label", "count")))
-    )
-    df = df.withColumn("__labels", entries.scalar())
-    for group in by:
-        df = df.withColumn("__labels", _where_equal(F.col("__labels"), group))
-    return df
-
-
-def _where_equal(table: Column, group: str) -> Column:
-    return F.filter(table, lambda e: e[group] == F.col(group))
+    entries = F.sort_array(F.collect_list(F.struct("label", "count")))
+    known = labels.where(F.col("count") > 0)
+    if not by:
+        return df.withColumn("__labels", known.agg(entries).scalar())
+    per_fold = known.groupBy(*by).agg(entries.alias("__labels"))
+    # One row per fold, so at most as many rows as the experiment has folds.
+    return df.join(F.broadcast(per_fold), list(by), "left")
 
 
 def _sum(values: Column) -> Column:
@@ -311,11 +309,11 @@ def cross_validated(
 ) -> DataFrame:
     """Posteriors of every document from a model trained on all other folds.
 
-    Each fold is counted once and the counts are stored; a fold's training counts
-    are the totals minus its own, and only for the features its documents hold.
+    Each fold is counted once; a fold's training counts are the totals minus its own,
+    and only for the features its documents hold. ``training`` is read several
+    times: pass a stored table if it is costly.
     """
     own = train(training, [fold])
-    own = BayesCounts(own.labels, durable(own.features))
     classes = own.labels.agg(F.collect_set("label")).scalar()
     per_fold = own.labels.select(fold).distinct().withColumn("label", F.explode(classes))
     labels = leave_one_out(per_fold, own.labels, fold)
@@ -386,11 +384,16 @@ def cross_validate(
     doc: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """The whole experiment: tokenise, shuffle, split into k folds, and for each fold
-    train on the others and measure on it."""
-    training = to_training(docs, label, doc, text, stop)
-    folded = split_folds(shuffled(training, doc, seed), k)
-    return evaluate(fold_results(cross_validated(folded, doc), folded, doc), positive)
+    """The whole experiment: shuffle, split into k folds, tokenise, and for each fold
+    train on the others and measure on it.
+
+    Document ids are unique. Only the ids are put in order, and the labelled
+    features are stored once for all passes.
+    """
+    places = split_folds(shuffled(docs.select(F.col(doc).alias("__id")), "__id", seed), k)
+    folded = docs.join(places.select("__id", "fold"), F.col(doc) == F.col("__id")).drop("__id")
+    training = durable(to_training(folded, label, doc, text, stop, keep=["fold"]))
+    return evaluate(fold_results(cross_validated(training, doc), training, doc), positive)
 
 
 def average_folds(evaluation: DataFrame, fold: str = "fold") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusfreq.functions.arrays import let
 from corpusfreq.plans.blocks import BLOCK_ROWS, block_window, owned, with_halo
 
 
@@ -110,13 +111,20 @@ def get_collocates(
     vector: str = "vector",
     doc: str = "doc_id",
 ) -> DataFrame:
-    """Collocates of every occurrence of a token; row by row, so it runs on streams."""
-    words = F.col(vector)
-    hits = docs.where(F.array_contains(words, target))
-    places = F.filter(
-        F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == F.lit(target)
-    )
-    return hits.select(doc, F.inline(_around(words, places, before, after)))
+    """Collocates of every occurrence of a token; row by row, so it runs on streams.
+
+    The vector is read once; take vectors of the target's documents only, as
+    ``corpus_vectors`` gives them.
+    """
+
+    def build(words: Column) -> Column:
+        places = F.filter(
+            F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == F.lit(target)
+        )
+        return _around(words, places, before, after)
+
+    rows = docs.select(doc, F.inline_outer(let(F.col(vector), build)))
+    return rows.where(F.col("ord").isNotNull())
 
 
 def collocate_stats(collocates: DataFrame, sample_variance: bool = False) -> DataFrame:

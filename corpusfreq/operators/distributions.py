@@ -17,6 +17,9 @@ from corpusfreq.plans.skew import lookup_join
 DRAW_DIGITS = 13
 DRAW_RANGE = float(1 << 52)
 
+# An item's buckets are listed in pieces of this many.
+SPAN_CHUNK = 100_000
+
 # Probabilities become integers of this scale, so that the intervals of a running
 # total neither overlap nor leave gaps.
 WEIGHT_SCALE = float(1 << 60)
@@ -86,12 +89,13 @@ class Distribution:
             return F.least(F.floor(x / mass * buckets).cast("long"), buckets - 1)
 
         low = F.col("hi") - F.col("weight")
-        intervals = ends.withColumn("__s", scale).select(
-            "item",
-            low.alias("lo"),
-            "hi",
-            F.explode(F.sequence(bucket(low), bucket(F.col("hi")))).alias("b"),
-        )
+        first, last = bucket(low).alias("first"), bucket(F.col("hi")).alias("last")
+        spans = ends.withColumn("__s", scale).select("item", low.alias("lo"), "hi", first, last)
+        # A probable item covers very many buckets: they are listed in pieces.
+        begin = F.explode(F.sequence("first", "last", F.lit(SPAN_CHUNK).cast("long")))
+        cut = spans.select("item", "lo", "hi", "last", begin.alias("begin")).repartition("item", "begin")
+        end = F.least(F.col("last"), F.col("begin") + F.lit(SPAN_CHUNK - 1))
+        intervals = cut.select("item", "lo", "hi", F.explode(F.sequence("begin", end)).alias("b"))
         digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
         u = F.conv(F.left(digest, F.lit(DRAW_DIGITS)), 16, 10).cast("long") / F.lit(DRAW_RANGE)
         drawn = spark.range(draws).withColumn("__s", scale)

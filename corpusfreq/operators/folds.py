@@ -17,7 +17,10 @@ def shuffle_key(doc: str = "doc_id", seed: int = 0) -> Column:
 
 
 def shuffled(docs: DataFrame, doc: str = "doc_id", seed: int = 0, out: str = "place") -> DataFrame:
-    """Number the documents in a random order, every permutation being possible."""
+    """Number the documents in a random order, every permutation being possible.
+
+    All columns travel and are stored: pass the ids alone and join the places back.
+    """
     keyed = docs.withColumn("__key", shuffle_key(doc, seed))
     return dense_index(keyed, ["__key", doc], out=out).drop("__key")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusfreq.functions.text import norms
 from corpusfreq.plans.ranking import running_total
-from corpusfreq.plans.skew import broadcast_if_small, lookup_join
+from corpusfreq.plans.skew import lookup_join
 
 # A frequency row is expanded in pieces of this many copies.
 EXPAND_CHUNK = 100_000
@@ -89,12 +89,12 @@ def replace_from_set(
     """Replace items that belong to the set by a marker.
 
     With the frequency table of ``rows`` at hand the membership test cannot be
-    skewed by frequent items; without it the set is broadcast if it is small.
+    skewed by frequent items; without it the planner chooses the join by the set's bytes.
     """
     column = members.columns[0]
     flagged = members.select(F.col(column).alias("__m"), F.lit(True).alias("__in")).distinct()
     if freqs is None:
-        marked = rows.join(broadcast_if_small(flagged), F.col(item) == F.col("__m"), "left")
+        marked = rows.join(flagged, F.col(item) == F.col("__m"), "left")
     else:
         table = freqs.join(flagged, F.col("item") == F.col("__m"), "left")
         marked = lookup_join(rows, table, {item: "item"}, "count", {"__in": "__in"})

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusfreq.functions.arrays import let
+from corpusfreq.functions.text import line_tokens
 from corpusfreq.operators.membership import write_types
 from corpusfreq.operators.tokens import tokenizer
 from corpusfreq.plans.ranking import dense_index
@@ -42,14 +44,39 @@ def index_documents(docs: DataFrame, doc: str = "doc_id", **options) -> DataFram
     return tokenizer(docs, doc=doc, **options).select("norm", doc, "ord", "line", "start", "end")
 
 
-def document_postings(index: DataFrame, doc: str = "doc_id") -> DataFrame:
+def document_postings(
+    docs: DataFrame, doc: str = "doc_id", text: str = "text", stop: Sequence[str] | None = None
+) -> DataFrame:
     """Sorted postings per token and document; a list is bounded by its document.
 
-    All rows of a group come from one input row, so the partial aggregation
-    before the shuffle already completes the lists.
+    A document's tokens are sorted by norm and place and cut where the norm changes,
+    all inside its row: nothing is shuffled.
     """
-    place = F.struct("line", "start", "end")
-    return index.groupBy("norm", doc).agg(F.array_sort(F.collect_list(place)).alias("postings"))
+    tokens = line_tokens(F.col(text), lower=True, stop=stop)
+
+    def cut(ordered: Column) -> Column:
+        norm = lambda i: F.get(ordered, i)["norm"]
+        opens = lambda i: (i == 0) | (norm(i) != norm(i - 1))
+        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), opens)
+
+        def runs(begin: Column) -> Column:
+            stops = F.concat(F.slice(begin, 2, F.size(begin)), F.array(F.size(ordered)))
+            place = lambda t: F.struct(
+                t["line"].alias("line"), t["start"].alias("start"), t["end"].alias("end")
+            )
+            return F.zip_with(
+                begin,
+                stops,
+                lambda a, b: F.struct(
+                    norm(a).alias("norm"), F.transform(F.slice(ordered, a + 1, b - a), place).alias("postings")
+                ),
+            )
+
+        return let(starts, runs)
+
+    nested = F.when(F.size(tokens) > 0, let(F.array_sort(tokens), cut))
+    rows = docs.select(doc, F.inline_outer(nested))
+    return rows.where(F.col("norm").isNotNull()).select("norm", doc, "postings")
 
 
 def map_postings(index: DataFrame, **columns: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusfreq.plans.blocks import BLOCK_ROWS, block_window, leads, owned, with_halo
-from corpusfreq.plans.skew import lookup_join
+from corpusfreq.plans.skew import Lookup, lookup_joins
 from corpusfreq.session import durable
 
 
@@ -110,16 +110,24 @@ def interpolate(
     after_pair = tri.groupBy("a", "b").agg(F.sum("count").alias("count"))
     after_one = bi.groupBy("cond").agg(F.sum("count").alias("count"))
     # Counts and their totals are looked up for the query's keys only, so no
-    # probability is computed for an event that nobody asks for.
+    # probability is computed for an event that nobody asks for. Pairs and triples
+    # are many and small: plain joins. Single words are few and frequent.
     scored = query
     for keys, table, name in (
-        ({"w3": "item"}, uni, "__c1"),
-        ({"w2": "cond", "w3": "item"}, bi, "__c2"),
-        ({"w2": "cond"}, after_one, "__n2"),
         ({"w1": "a", "w2": "b", "w3": "c"}, tri, "__c3"),
         ({"w1": "a", "w2": "b"}, after_pair, "__n3"),
+        ({"w2": "cond", "w3": "item"}, bi, "__c2"),
     ):
-        scored = lookup_join(scored, table, keys, None, {name: "count"}, counted=query)
+        right = table.select(
+            *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys.values())], F.col("count").alias(name)
+        )
+        condition = [F.col(q) == F.col(f"__k{i}") for i, q in enumerate(keys)]
+        scored = scored.join(right, condition, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+    words = [
+        Lookup(after_one, {"w2": "cond"}, "count", {"__n2": "count"}),
+        Lookup(uni, {"w3": "item"}, "count", {"__c1": "count"}),
+    ]
+    scored = lookup_joins(scored, words)
     scored = scored.withColumn("__n1", uni.agg(F.sum("count")).scalar())
     part = lambda weight, k: F.lit(weight) * F.coalesce(
         F.try_divide(f"__c{k}", f"__n{k}"), F.lit(0.0)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from corpusfreq.functions.text import TOKEN_PATTERN, line_tokens, may_contain, norms, spans
 from corpusfreq.plans.ranking import ordinal_within
-from corpusfreq.plans.skew import broadcast_if_small
 
 StopWords = Sequence[str] | DataFrame | None
 
@@ -58,7 +57,7 @@ def tokenize(
     """Every match with its line and its offsets inside the line.
 
     A stop list given as Python strings is applied inside the row; one given as a
-    table is an anti join, broadcast only if it is small.
+    table is an anti join, which the planner broadcasts if its bytes allow it.
     """
     words = _as_list(stop)
     tokens = line_tokens(F.col(text), pattern, lower, offset, words)
@@ -81,9 +80,7 @@ def remove_stop_words(tokens: DataFrame, stop: StopWords, norm: str = "norm") ->
     """Positions of the surviving tokens do not change."""
     if isinstance(stop, DataFrame):
         words = stop.select(F.col(stop.columns[0]).alias("__stop"))
-        return tokens.join(
-            broadcast_if_small(words), F.col(norm) == F.col("__stop"), "left_anti"
-        )
+        return tokens.join(words, F.col(norm) == F.col("__stop"), "left_anti")
     return tokens.where(~F.col(norm).isin(*stop)) if stop else tokens
 
 

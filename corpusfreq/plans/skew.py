@@ -3,20 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it carries at least 1/HOT_SHARE of the total weight, so there
-# can never be more than HOT_SHARE hot keys, whatever the size of the data.
-HOT_SHARE = 10_000
+# A key is hot when it carries at least a 1/share part of the total weight, so there
+# can never be more than ``share`` hot keys, whatever the size of the data. The share
+# follows the shuffle partitions: a key that is not hot holds a quarter of an average
+# partition at most.
+LEAST_SHARE = 10_000
+SHARES_PER_PARTITION = 4
 
-# Hot rows need no partner from the shuffled side; they are spread over this many
-# artificial keys.
-SPREAD_KEYS = 1 << 20
 
-# Largest row count a caller-supplied list may have to be broadcast.
-SMALL_ROWS = 100_000
+def default_share(df: DataFrame) -> int:
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(LEAST_SHARE, SHARES_PER_PARTITION * partitions)
+
+
+@dataclass(frozen=True)
+class Lookup:
+    """``values`` of ``table`` (one row per key) for the rows' key columns.
+
+    ``on`` maps row columns to table columns (a plain name means the same on
+    both sides); ``values`` maps output names to table columns. ``weight`` names a
+    column of ``table`` that bounds, up to a constant factor, how many rows carry the
+    key; a frequency table's own count is such a bound. With None the keys of the
+    rows are counted first, which is exact for any input and costs one more pass over
+    them (over ``counted``, if given: a table with the same keys that is cheaper to read).
+    """
+
+    table: DataFrame
+    on: str | Sequence[str] | dict[str, str]
+    weight: str | None
+    values: dict[str, str]
+    counted: DataFrame | None = None
 
 
 def lookup_join(
@@ -25,59 +46,65 @@ def lookup_join(
     on: str | Sequence[str] | dict[str, str],
     weight: str | None,
     values: dict[str, str],
-    hot_share: int = HOT_SHARE,
+    hot_share: int | None = None,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Left-join ``values`` of ``table`` (one row per key) onto ``rows``.
+    """Left-join one lookup onto ``rows``, see ``lookup_joins``."""
+    return lookup_joins(rows, [Lookup(table, on, weight, values, counted)], hot_share)
 
-    ``weight`` names a column of ``table`` that bounds, up to a constant factor,
-    how many rows of ``rows`` carry the key; a frequency table's own count is
-    such a bound. With ``weight=None`` the keys of ``rows`` are counted first, which
-    is exact for any input and costs one more pass over them (over ``counted``, if
-    given: a table with the same keys that is cheaper to read). Keys holding at least ``1/hot_share`` of the total weight are
-    therefore at most ``hot_share`` many and can be broadcast at any scale. All
-    other keys are small and take an ordinary shuffle join, in which the rows
-    already served by the broadcast are spread evenly instead of piling up.
 
-    ``on`` maps row columns to table columns (a plain name means the same on
-    both sides); ``values`` maps output names to table columns.
+def lookup_joins(rows: DataFrame, lookups: Sequence[Lookup], hot_share: int | None = None) -> DataFrame:
+    """Left-join the values of every lookup onto ``rows``.
+
+    Keys holding at least ``1/hot_share`` of the total weight are at most
+    ``hot_share`` many and are broadcast at any scale. Rows that these and missing
+    keys answer completely are finished there and never shuffled. The rest takes an
+    ordinary join per lookup; its keys are all small, and a row that has this
+    lookup's answer already goes to a random place instead of piling up.
     """
-    keys = _key_map(on)
+    share = default_share(rows) if hot_share is None else hot_share
+    hits, colds, marked = [], [], rows
+    for j, lookup in enumerate(lookups):
+        keys, hot, cold = _split(rows, lookup, share, j)
+        condition = _all(F.col(r) == F.col(t) for r, t in keys.items())
+        marked = marked.join(F.broadcast(hot), condition, "left").drop(*keys.values())
+        colds.append((keys, cold))
+        hits.append(f"__hit{j}")
+    served = [
+        F.col(hit).isNotNull() | _any(F.col(r).isNull() for r in keys) for hit, (keys, _) in zip(hits, colds)
+    ]
+    done, rest = marked.where(_all(served)), marked.where(~_all(served))
+    for j, (keys, cold) in enumerate(colds):
+        condition = _all(F.col(r) == F.col(t) for r, t in keys.items())
+        if len(colds) > 1:
+            # Not a literal on either side: the optimizer would drop it from the keys.
+            place = F.when(served[j], F.monotonically_increasing_id()).otherwise(F.xxhash64(*keys))
+            open_ = [F.when(~served[j], F.col(r)).alias(f"__k{i}") for i, r in enumerate(keys)]
+            rest = rest.select("*", *open_, place.alias("__place"))
+            condition = _all(F.col(f"__k{i}") == F.col(t) for i, t in enumerate(keys.values()))
+            condition = condition & (F.col("__place") == F.xxhash64(*keys.values()))
+        rest = rest.join(cold, condition, "left").withColumn(f"__hit{j}", F.coalesce(f"__hit{j}", f"__cold{j}"))
+        rest = rest.drop(f"__cold{j}", "__place", *keys.values(), *[f"__k{i}" for i in range(len(keys))])
+    new = [(dst, f"__hit{j}") for j, lookup in enumerate(lookups) for dst in lookup.values]
+    kept = [c for c in rows.columns if c not in dict(new)]
+    both = done.select(*kept, *hits).unionByName(rest.select(*kept, *hits))
+    return both.select(*kept, *[F.col(hit)[dst].alias(dst) for dst, hit in new])
+
+
+def _split(rows: DataFrame, lookup: Lookup, share: int, j: int) -> tuple[dict[str, str], DataFrame, DataFrame]:
+    """Row key to table key columns, the hot part of the table, and the cold one."""
+    table, keys, values, weight = lookup.table, _key_map(lookup.on), lookup.values, lookup.weight
     if weight is None:
-        table, keys = _with_row_counts(rows if counted is None else counted, table, keys, values), {r: r for r in keys}
-        values, weight = {dst: dst for dst in values}, "__rows"
+        table = _with_row_counts(rows if lookup.counted is None else lookup.counted, table, keys, values)
+        keys, values, weight = {r: r for r in keys}, {dst: dst for dst in values}, "__rows"
+    renamed = {r: f"__t{j}_{i}" for i, r in enumerate(keys)}
     payload = F.struct(*[F.col(src).alias(dst) for dst, src in values.items()])
-    keyed = table.select(
-        *[F.col(t).alias(f"__t{i}") for i, t in enumerate(keys.values())],
-        payload.alias("__hit"),
-        F.col(weight).alias("__w"),
-    )
+    keyed = table.select(*[F.col(t).alias(renamed[r]) for r, t in keys.items()], payload.alias("__p"), F.col(weight).alias("__w"))
     total = keyed.agg(F.sum("__w")).scalar()
-    hot = keyed.where(F.col("__w") * F.lit(hot_share) >= total).drop("__w")
-    hot = hot.withColumnRenamed("__hit", "__hot")
-
-    row_keys = list(keys)
-    condition = _all(F.col(r) == F.col(f"__t{i}") for i, r in enumerate(row_keys))
-    marked = rows.join(F.broadcast(hot), condition, "left").drop(
-        *[f"__t{i}" for i in range(len(row_keys))]
-    )
-    served = F.col("__hot").isNotNull()
-    for r in row_keys:
-        served = served | F.col(r).isNull()
-    spread_key = 1 + F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SPREAD_KEYS))
-    for i, r in enumerate(row_keys):
-        marked = marked.withColumn(f"__k{i}", F.when(~served, F.col(r)))
-    marked = marked.withColumn("__salt", F.when(served, spread_key).otherwise(F.lit(0).cast("long")))
-
-    cold = keyed.drop("__w").withColumnRenamed("__hit", "__cold")
-    cold = cold.withColumn("__zero", F.lit(0).cast("long"))
-    condition = _all(F.col(f"__k{i}") == F.col(f"__t{i}") for i in range(len(row_keys)))
-    joined = marked.join(cold, condition & (F.col("__salt") == F.col("__zero")), "left")
-    hit = F.coalesce(F.col("__hot"), F.col("__cold"))
-    return joined.select(
-        *[F.col(c) for c in rows.columns if c not in values],
-        *[hit[dst].alias(dst) for dst in values],
-    )
+    is_hot = F.coalesce(F.col("__w") * F.lit(share) >= total, F.lit(False))
+    hot = keyed.where(is_hot).drop("__w").withColumnRenamed("__p", f"__hit{j}")
+    cold = keyed.where(~is_hot).drop("__w").withColumnRenamed("__p", f"__cold{j}")
+    return renamed, hot, cold
 
 
 def _with_row_counts(
@@ -95,17 +122,6 @@ def _with_row_counts(
     )
 
 
-def is_small(df: DataFrame, limit: int = SMALL_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no more than needed to tell."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def broadcast_if_small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint only after counting; beyond the limit the planner shuffles
-    and adaptive execution splits skewed partitions."""
-    return F.broadcast(df) if is_small(df, limit) else df
-
-
 def _key_map(on: str | Sequence[str] | dict[str, str]) -> dict[str, str]:
     if isinstance(on, str):
         return {on: on}
@@ -120,3 +136,11 @@ def _all(conditions) -> Column:
     for c in conditions[1:]:
         out = out & c
     return out
+
+
+def _any(conditions) -> Column:
+    conditions = list(conditions)
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out

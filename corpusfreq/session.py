@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,42 +25,39 @@ def build_session(app_name: str = "corpusfreq", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only a local master may fall back to a folder of its own: on a cluster the
-    other executors could not see it, so a missing setting is an error there.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not named:
-        named = context.getCheckpointDir()
+    """The folder named by ``spark.checkpoint.dir``, which all executors must share."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="corpusfreq-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def application_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that belongs to this application."""
+    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def new_shared_path(spark: SparkSession, label: str) -> str:
     """A fresh, unused path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Delete what ``new_shared_path`` and ``durable`` have stored for this application.
+
+    Tables that read it must not be used afterwards.
+    """
+    context = spark.sparkContext
+    paths = [application_dir(spark), context.getCheckpointDir()]
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    context.setCheckpointDir(shared_dir(spark))
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder so lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Give a CPU-heavy stage one task per core when the scan yields fewer.
-
-    Large inputs arrive with far more splits than cores and pass through
-    untouched; only a small file with a single row group is redistributed.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > cores:
-        return df
-    return df.repartition(cores, *columns)

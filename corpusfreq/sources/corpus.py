@@ -52,10 +52,23 @@ def make_corpus(docs: DataFrame, order_by: str, doc: str = "doc_id") -> DataFram
     return latest.select(doc, "__latest.*")
 
 
-def add_documents(corpus: DataFrame, added: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Add documents; a document that already exists is replaced."""
-    both = corpus.withColumn("__seq", F.lit(0)).unionByName(added.withColumn("__seq", F.lit(1)))
-    return make_corpus(both, "__seq", doc).drop("__seq")
+def add_documents(
+    corpus: DataFrame, added: DataFrame, doc: str = "doc_id", order_by: str | None = None
+) -> DataFrame:
+    """Add documents; a document that already exists is replaced.
+
+    Of several added rows of one id the last by ``order_by`` stays, or without it the
+    greatest row. The corpus itself only loses the replaced ids; none of its texts is
+    sorted.
+    """
+    if order_by is None:
+        rest = F.struct(*[c for c in added.columns if c != doc])
+        latest = added.groupBy(doc).agg(F.max(rest).alias("__latest")).select(doc, "__latest.*")
+    else:
+        latest = make_corpus(added, order_by, doc)
+    replaced = latest.select(F.col(doc).alias("__replaced"))
+    kept = corpus.join(replaced, F.col(doc) == F.col("__replaced"), "left_anti")
+    return kept.unionByName(latest.select(*corpus.columns))
 
 
 def tag_by_name(

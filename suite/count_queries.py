@@ -12,7 +12,6 @@ from corpusfreq.operators import index as ix
 from corpusfreq.operators import ngrams as ng
 from corpusfreq.operators import report as rp
 from corpusfreq.operators import tokens as tk
-from corpusfreq.session import durable
 from suite.registry import BENCH_WORDS, BIGRAMS, FREQS, NR, WORDS, documents, query, table
 from suite.text_queries import TARGET, bench_words, doc_words
 
@@ -74,9 +73,11 @@ NEAR = (
     WORDS
     + f""",
 near AS (
-  SELECT a.doc_id, a.ord, a.norm AS head, b.norm AS pair, b.ord - a.ord AS dist
-  FROM words a JOIN words b ON a.doc_id = b.doc_id AND b.ord BETWEEN a.ord AND a.ord + 3 AND a.ord <> b.ord
-  WHERE a.norm = '{TARGET}')
+  SELECT doc_id, ord, norm AS head, pair, dist FROM (
+    SELECT doc_id, ord, norm, lead(norm) OVER w AS a1, lead(norm, 2) OVER w AS a2, lead(norm, 3) OVER w AS a3
+    FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+  LATERAL (VALUES (a1, 1), (a2, 2), (a3, 3)) AS v(pair, dist)
+  WHERE norm = '{TARGET}' AND pair IS NOT NULL)
 """
 )
 
@@ -443,9 +444,8 @@ asked AS (SELECT DISTINCT w1, w2, w3 FROM cgrams WHERE w3 IS NOT NULL)
 def f5(spark, sf):
     """Trigrams of the conversations under a model of the documents."""
     turns = tk.corpus_vectors(table(spark, sf, "conversations"), doc="conv_id")
-    # Read several times by the lookups.
-    asked = durable(ng.ngrams(turns, 3).distinct())
-    models = ng.ngram_models(vectors(spark, sf), store=True)
+    asked = ng.ngrams(turns, 3).distinct()
+    models = ng.ngram_models(vectors(spark, sf))
     scored = ng.interpolate(asked, models, (0.2, 0.3, 0.5))
     return scored.select("w1", "w2", "w3", rounded("p", 12))
 
@@ -493,11 +493,13 @@ def g2(spark, sf):
 
 @query(
     "g3_collocates_around",
-    f"""
-    WITH {WORDS}, hits AS (SELECT doc_id, quality * 10 AS ord FROM labels)
-    SELECT a.doc_id, a.ord::INT AS ord, a.norm AS head, b.norm AS pair, (b.ord - a.ord)::INT AS dist
-    FROM hits h JOIN words a ON a.doc_id = h.doc_id AND a.ord = h.ord
-    JOIN words b ON b.doc_id = a.doc_id AND b.ord BETWEEN a.ord - 2 AND a.ord + 3 AND b.ord <> a.ord
+    rf"""
+    WITH v AS (
+      SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{{L}}\p{{M}}]+'), lambda x: lower(x)) AS v FROM documents),
+    hits AS (SELECT doc_id, quality * 10 + 1 AS i FROM labels)
+    SELECT doc_id, (i - 1)::INT AS ord, v[i] AS head, v[i + d] AS pair, d::INT AS dist
+    FROM hits JOIN v USING (doc_id), (VALUES (-2), (-1), (1), (2), (3)) AS t(d)
+    WHERE i + d >= 1 AND v[i] IS NOT NULL AND v[i + d] IS NOT NULL
     """,
 )
 def g3(spark, sf):
@@ -508,7 +510,8 @@ def g3(spark, sf):
 
 @query("g4_get_collocates", f"WITH {NEAR} SELECT doc_id, ord::INT AS ord, head, pair, dist::INT AS dist FROM near")
 def g4(spark, sf):
-    return co.get_collocates(vectors(spark, sf), TARGET)
+    found = tk.corpus_vectors(documents(spark, sf), TARGET)
+    return co.get_collocates(found, TARGET)
 
 
 @query(

@@ -369,11 +369,11 @@ def j7(spark, sf):
 )
 def j8(spark, sf):
     """From plain counts, all over the number of tokens."""
-    from corpusfreq.operators.association import _with_item_counts
+    from corpusfreq.operators.association import with_item_counts
     from suite.count_queries import bigrams
 
     items = word_freqs(spark, sf)
-    counted = _with_item_counts(bigrams(spark, sf), items, ("w1", "w2"))
+    counted = with_item_counts(bigrams(spark, sf), items, ("w1", "w2"))
     n = items.agg(F.sum("count")).scalar()
     value = scores.pmi_counts(F.col("count"), F.col("c_w1"), F.col("c_w2"), n)
     return counted.select("w1", "w2", F.round(value, 9).alias("pmi"))
@@ -384,10 +384,10 @@ def j8(spark, sf):
     f"WITH {COUNTED} SELECT w1, w2, count / c1::DOUBLE AS p FROM counted",
 )
 def j9(spark, sf):
-    from corpusfreq.operators.association import _with_item_counts
+    from corpusfreq.operators.association import with_item_counts
     from suite.count_queries import bigrams
 
-    counted = _with_item_counts(bigrams(spark, sf), word_freqs(spark, sf), ("w1",))
+    counted = with_item_counts(bigrams(spark, sf), word_freqs(spark, sf), ("w1",))
     return counted.select("w1", "w2", scores.mle(F.col("count"), F.col("c_w1")).alias("p"))
 
 
@@ -805,9 +805,20 @@ def l8(spark, sf):
     return fo.leave_one_out(wanted, own)
 
 
-CROSS = f"""
+# Documents in the order of a digest, cut into ten runs, the first ones one longer.
+SHUFFLED = """
+    placed AS (SELECT doc_id, label, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) - 1 AS i,
+                      count(*) OVER () // 10 AS size, count(*) OVER () % 10 AS larger FROM train_docs),
+    docs AS (SELECT doc_id, label, (CASE WHEN i < larger * (size + 1) THEN i // (size + 1)
+                    ELSE larger + (i - larger * (size + 1)) // greatest(size, 1) END)::INT AS fold FROM placed),
+"""
+HASHED = f"docs AS (SELECT doc_id, label, {HASH_FOLD} AS fold FROM train_docs),"
+
+
+def cross_sql(folds):
+    return f"""
     WITH {LABELLED},
-    docs AS (SELECT doc_id, label, {HASH_FOLD} AS fold FROM train_docs),
+    {folds}
     ff AS (SELECT doc_id, label, feature, fold FROM feats JOIN docs USING (doc_id, label)),
     folds AS (SELECT DISTINCT fold FROM docs),
     n AS (SELECT folds.fold, label, count(*) AS n FROM folds JOIN docs ON docs.fold <> folds.fold
@@ -847,6 +858,9 @@ CROSS = f"""
              CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn)::DOUBLE END AS f1,
              mse, perplexity FROM evaluated)
 """
+
+
+CROSS = cross_sql(HASHED)
 MEASURES = ["accuracy", "precision", "recall", "f1", "mse"]
 
 
@@ -886,3 +900,18 @@ def l9(spark, sf):
 def l9_average(spark, sf):
     mean = nb.average_folds(evaluated(spark, sf))
     return mean.select("hits", "n", *[rounded(m, 6) for m in MEASURES])
+
+
+@query(
+    "l9_cross_validate",
+    cross_sql(SHUFFLED)
+    + f"SELECT sum(hits)::BIGINT AS hits, sum(n)::BIGINT AS n, "
+    f"{', '.join(f'round(avg({m}), 6) AS {m}' for m in [*MEASURES, 'ln(perplexity)'])} FROM measures".replace(
+        "AS ln(perplexity)", "AS log_perplexity"
+    ),
+)
+def l9_cross_validate(spark, sf):
+    """The whole experiment: shuffle, split, train and test on each fold, average."""
+    measured = nb.cross_validate(labelled(spark, sf), "label", "q1")
+    mean = nb.average_folds(measured.withColumn("log_perplexity", F.ln("perplexity")))
+    return mean.select("hits", "n", *[rounded(m, 6) for m in [*MEASURES, "log_perplexity"]])

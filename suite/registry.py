@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusfreq.session import spread
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -16,7 +17,12 @@ ORACLE: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
-        QUERIES[name] = function
+        @functools.wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            name_storage(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql.strip()
         return function
@@ -28,16 +34,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def name_storage(spark: SparkSession) -> None:
+    """Some queries store tables. A test session on one machine that names no folder for
+    them gets one here; on a cluster the setting is the cluster's."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        folder = os.path.join(tempfile.gettempdir(), "corpusfreq-suite")
+        spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, one task per core even if the file has a single row group."""
-    return spread(table(spark, sf_dir, "documents"), "doc_id")
+    """The documents, dealt to all cores: the test files have a single row group."""
+    return table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
 
 
 # Common table expressions of the SQL side.
 
 # word, norm, doc_id, ord
 WORDS = r"""
-words AS (
+words AS MATERIALIZED (
   SELECT doc_id, word, lower(word) AS norm, i - 1 AS ord
   FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i
         FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{M}]+') AS w FROM documents)))

@@ -38,6 +38,8 @@ def appended(spark, stream):
 
 
 def updated(spark, stream, keys):
+    """Counting keeps state per key, so it goes to disk."""
+    sr.use_disk_state(spark)
     path, checkpoint = new_shared_path(spark, "stream"), new_shared_path(spark, "progress")
     sr.updates_to(stream, path, checkpoint).awaitTermination()
     return sr.latest_updates(spark, path, keys)
@@ -100,12 +102,13 @@ def m4(spark, sf):
     f"""
     WITH {TOKENS}
     SELECT doc_id, norm, line, start, "end", lang FROM tokens JOIN documents USING (doc_id)
-    WHERE norm = '{TARGET}' AND lang <> 'fr'
+    WHERE norm = '{TARGET}' AND doc_id IN (SELECT doc_id FROM labels)
     """,
 )
 def m4_docs(spark, sf):
     """Arriving postings joined with a static document table."""
-    known = documents(spark, sf).where("lang <> 'fr'")
+    labelled = table(spark, sf, "labels").select("doc_id")
+    known = documents(spark, sf).join(labelled, "doc_id", "left_semi")
     tokens = sr.stream_tokens(arriving_lines(spark, sf))
     return appended(spark, sr.stream_docs_for_token(tokens, known, TARGET, columns=["lang"]))
 

@@ -167,17 +167,26 @@ def test_whole_experiment_on_files(spark, tmp_path):
     assert all(close(x, y) for a, b in pairs for x, y in zip(a, b))
 
 
-def test_large_stop_table(spark, monkeypatch):
+def test_stop_table_and_repeated_ids(spark):
     rows = frame(spark, documents(20, 8))
     stop = spark.createDataFrame([("a",), ("d",)], "norm string")
-    features = lambda: {
-        r.doc_id: sorted(f.feature for f in r.features)
-        for r in nb.to_training(rows, stop=stop).collect()
+    features = lambda df, words: {
+        r.doc_id: sorted(f.feature for f in r.features) for r in nb.to_training(df, stop=words).collect()
     }
-    small = features()
-    monkeypatch.setattr(nb, "is_small", lambda df: False)
-    assert features() == small
-    assert all("a" not in v and "d" not in v for v in small.values())
+    listed = features(rows, ["a", "d"])
+    assert features(rows, stop) == listed
+    many = stop.unionByName(spark.range(150_000).selectExpr("concat('none', id) AS norm"))
+    assert features(rows, many) == listed
+    assert all("a" not in v and "d" not in v for v in listed.values())
+    # Rows that share an id keep their own types, whatever the size of the list.
+    twice = spark.createDataFrame(
+        [(1, "x", "alpha beta the"), (1, "y", "gamma the"), (2, "x", "delta"), (3, "x", "the"), (4, "y", None)],
+        "doc_id int, label string, text string",
+    )
+    the = spark.createDataFrame([("the",)], "norm string")
+    for words in (the, the.unionByName(spark.range(150_000).selectExpr("concat('none', id) AS norm"))):
+        got = sorted((r.doc_id, r.label, sorted(f.feature for f in r.features)) for r in nb.to_training(twice, stop=words).collect())
+        assert got == [(1, "x", ["alpha", "beta"]), (1, "y", ["gamma"]), (2, "x", ["delta"]), (3, "x", []), (4, "y", [])]
 
 
 def test_shuffle_and_split(spark):

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusfreq.operators import index as ix
@@ -8,7 +9,7 @@ from corpusfreq.operators import membership as me
 from corpusfreq.operators import tokens as tk
 from corpusfreq.operators import vocab as vo
 from corpusfreq.plans.ranking import dense_index, ordinal_within, running_total
-from corpusfreq.plans.skew import lookup_join
+from corpusfreq.plans.skew import Lookup, lookup_join, lookup_joins
 
 TEXTS = ["the cat\nthe dog", "A dog", "", "Ünï the the"]
 
@@ -35,7 +36,7 @@ def test_membership(spark, tmp_path):
 def test_inverted_index(spark, tmp_path):
     docs = corpus(spark)
     index = ix.index_documents(docs)
-    nested = {(r.norm, r.doc_id): [tuple(p) for p in r.postings] for r in ix.document_postings(index).collect()}
+    nested = {(r.norm, r.doc_id): [tuple(p) for p in r.postings] for r in ix.document_postings(docs).collect()}
     assert nested["the", 0] == [(0, 0, 3), (1, 0, 3)] and nested["ünï", 3] == [(0, 0, 3)]
     merged = ix.merge_indexes(index, index_shift(docs))
     assert merged.count() == 2 * index.count()
@@ -121,3 +122,33 @@ def test_lookup_join_hot_cold_null_and_missing(spark):
             out = lookup_join(rows, table, {"k": "key"}, weight, {"v": "v"}, hot_share=share).collect()
             assert len(out) == rows.count()
             assert all(r.v == truth.get(r.k) for r in out)
+
+
+@pytest.mark.parametrize("unique", [True, False])
+@pytest.mark.parametrize("lookups", [1, 2])
+def test_hot_rows_spread_over_the_reduce_tasks(spark, unique, lookups):
+    """Three quarters of the rows carry one word: no task may hold much more than the others."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        word = lambda seed: f"CASE WHEN pmod(hash(id, {seed}), 4) < 3 THEN 'hot' ELSE concat('w', id % 9000) END"
+        rows = spark.range(0, 200_000, 1, 8).selectExpr("id", f"{word(1)} AS k", f"{word(2)} AS k2")
+        if not unique:
+            rows = rows.drop("id")
+        counts = rows.groupBy("k").count().unionByName(rows.groupBy("k2").count().withColumnRenamed("k2", "k"))
+        table = counts.groupBy(F.col("k").alias("key")).agg(F.sum("count").alias("n"))
+        out = lookup_joins(rows, [Lookup(table, {k: "key"}, "n", {f"n_{k}": "n"}) for k in ["k", "k2"][:lookups]], 1000)
+        assert out.where("n_k IS NULL").count() == 0 and out.count() == 200_000
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        if lookups == 1:  # the hot rows stay in the eight tasks they came in
+            assert sum(sorted(sizes)[-8:]) >= 149_000
+        assert max(sizes) <= 3 * sum(sizes) / len(sizes)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

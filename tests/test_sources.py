@@ -42,6 +42,11 @@ def test_make_and_add(spark):
     added = spark.createDataFrame([("b", "later"), ("c", "first")], "doc_id string, text string")
     both = src.add_documents(corpus, added)
     assert sorted(map(tuple, both.collect())) == [("a", "new"), ("b", "later"), ("c", "first")]
+    # Several added rows of one id: the last in order or, without one, the greatest.
+    twice = spark.createDataFrame([("b", "x", 2), ("b", "z", 1), ("b", "y", 0)], "doc_id string, text string, seq int")
+    last = src.add_documents(corpus, twice, order_by="seq").collect()
+    assert sorted(map(tuple, last)) == [("a", "new"), ("b", "x")]
+    assert sorted(map(tuple, src.add_documents(corpus, twice.drop("seq")).collect())) == [("a", "new"), ("b", "z")]
 
 
 def test_stop_words(spark, tmp_path):
