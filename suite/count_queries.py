@@ -414,6 +414,15 @@ def f4_tri(spark, sf):
     return ng.ngram_models(vectors(spark, sf))[2].select("cond.*", "item", "count")
 
 
+@query(
+    "f4_bigram_model_full",
+    f"WITH {BIGRAMS} SELECT w1 AS cond, w2 AS item, count FROM bigrams",
+)
+def f4_full(spark, sf):
+    """Every bigram, not only those with a successor."""
+    return ng.ngram_models(vectors(spark, sf), full_counts=True)[1]
+
+
 CONV_TRIGRAMS = r"""
 cwords AS (
   SELECT conv_id, turn, lower(word) AS norm, i
@@ -590,6 +599,14 @@ def h2(spark, sf):
     return scored.select("w1", "w2", "count", rounded("t"))
 
 
+@query(
+    "h2_t_test_matrix_compat", f"WITH {COUNTED} SELECT w1, w2, count, round(-({T_SQL}), 9) AS t FROM counted"
+)
+def h2_compat(spark, sf):
+    scored = assoc.t_test_matrix(bigrams(spark, sf), word_freqs(spark, sf), compat=True)
+    return scored.select("w1", "w2", "count", rounded("t"))
+
+
 @query(
     "h2_t_test_trigrams",
     f"""
@@ -609,10 +626,7 @@ def h2_tri(spark, sf):
 
 AGAINST = ["of", "in", "is"]
 
-
-@query(
-    "h3_t_difference_matrix",
-    f"""
+DIFFERENCES = f"""
     WITH {BIGRAMS},
     near AS (SELECT v, sum(count)::BIGINT AS n FROM (
                SELECT CASE WHEN w1 = '{TARGET}' THEN w2 ELSE w1 END AS v, count FROM bigrams
@@ -620,8 +634,10 @@ AGAINST = ["of", "in", "is"]
     SELECT a.v AS v1, a.n AS n1, b.v AS v2, b.n AS n2, round((a.n - b.n) / sqrt(a.n + b.n), 9) AS t
     FROM near a JOIN near b ON a.v < b.v
     WHERE a.v IN ('of', 'in', 'is') OR b.v IN ('of', 'in', 'is')
-    """,
-)
+"""
+
+
+@query("h3_t_difference_matrix", DIFFERENCES)
 def h3(spark, sf):
     """Every neighbour of the target against three words."""
     scored = assoc.t_differences(bigrams(spark, sf), TARGET, AGAINST)
@@ -629,10 +645,18 @@ def h3(spark, sf):
 
 
 @query(
-    "h4_likelihood_matrix",
-    f"""
+    "h3_t_difference_matrix_compat",
+    f"SELECT d.* FROM ({DIFFERENCES}) d, (VALUES (0), (1)) AS twice(i)",
+)
+def h3_compat(spark, sf):
+    scored = assoc.t_differences(bigrams(spark, sf), TARGET, AGAINST, compat=True)
+    return scored.select("v1", "n1", "v2", "n2", rounded("t"))
+
+
+def likelihood_sql(params):
+    return f"""
     WITH {COUNTED},
-    params AS (SELECT *, c2 / n AS p, count / c1 AS q1, (c2 - count) / (n - c1) AS q2 FROM counted),
+    params AS (SELECT *, {params} FROM counted),
     llr AS (SELECT *, -2 * (
         CASE WHEN count = 0 THEN 0 ELSE count * log2(p) END
         + CASE WHEN c1 = count THEN 0 ELSE (c1 - count) * log2(1 - p) END
@@ -643,7 +667,20 @@ def h3(spark, sf):
         - CASE WHEN c2 = count THEN 0 ELSE (c2 - count) * log2(q2) END
         - CASE WHEN n - c1 = c2 - count THEN 0 ELSE (n - c1 - c2 + count) * log2(1 - q2) END) AS v FROM params)
     SELECT w1, c1 / n AS p1, w2, c2 / n AS p2, count / m AS p12, round(v, 6) AS llr FROM llr
-    """,
+    """
+
+
+@query(
+    "h4_likelihood_matrix_compat", likelihood_sql("count / m AS p, c1 / n AS q1, c2 / n AS q2")
+)
+def h4_compat(spark, sf):
+    scored = assoc.likelihood_matrix(word_freqs(spark, sf), bigrams(spark, sf), compat=True)
+    return scored.select("w1", "p1", "w2", "p2", "p12", rounded("llr", 6))
+
+
+@query(
+    "h4_likelihood_matrix",
+    likelihood_sql("c2 / n AS p, count / c1 AS q1, (c2 - count) / (n - c1) AS q2"),
 )
 def h4(spark, sf):
     scored = assoc.likelihood_matrix(word_freqs(spark, sf), bigrams(spark, sf))
@@ -663,6 +700,18 @@ def h5(spark, sf):
     return scored.select("w1", "p1", "w2", "p2", "p12", rounded("pmi"))
 
 
+@query(
+    "h5_pmi_matrix_compat",
+    f"""
+    WITH {COUNTED}
+    SELECT w1, c1 / n AS p1, w2, c2 / n AS p2, count / m AS p12, round(-log2(c1 / n), 9) AS pmi FROM counted
+    """,
+)
+def h5_compat(spark, sf):
+    scored = assoc.pmi_matrix(word_freqs(spark, sf), bigrams(spark, sf), compat=True)
+    return scored.select("w1", "p1", "w2", "p2", "p12", rounded("pmi"))
+
+
 @query(
     "h6_mle_matrix",
     f"""

@@ -16,6 +16,7 @@ from corpusfreq.operators import kwic as kw
 from corpusfreq.operators import smoothing as sm
 from corpusfreq.operators import stats as st
 from corpusfreq.operators import tokens as tk
+from corpusfreq.session import new_shared_path
 from suite.count_queries import (
     COUNTED,
     lang_freqs,
@@ -146,11 +147,25 @@ def i3(spark, sf):
     return kw.kwic(documents(spark, sf), TARGET, SIZE)
 
 
+COMPAT_KWIC = kwic_sql().replace(
+    "substr(body, coalesce(l, off) + 1, a - coalesce(l, off))",
+    "CASE WHEN l IS NULL THEN substr(body, a + 1, stop - a) ELSE substr(body, l + 1, a - l) END",
+)
+
+
+@query("i3_kwic_compat", f"WITH {COMPAT_KWIC} SELECT * FROM kwic")
+def i3_compat(spark, sf):
+    """The prefix of a document's first token is the rest of its line."""
+    return kw.kwic(documents(spark, sf), TARGET, SIZE, compat=True)
+
+
 @query("i3_kwic_indexed", f"WITH {kwic_sql('zu', 50)} SELECT * FROM kwic")
 def i3_index(spark, sf):
-    """Only the documents that the inverted index lists are read for context."""
+    """Only the documents that a stored inverted index lists are read for context."""
     docs = documents(spark, sf)
-    return kw.kwic(docs, "zu", 50, index=ix.index_documents(docs))
+    path = new_shared_path(spark, "index")
+    ix.write_index(ix.index_documents(docs), path)
+    return kw.kwic(docs, "zu", 50, index=spark.read.parquet(path))
 
 
 @query(
@@ -574,6 +589,21 @@ def k6(spark, sf):
     return scored.select("doc_id", "ord", "norm", rounded("log_p"))
 
 
+@query(
+    "k6_log_probability_compat",
+    f"""
+    WITH {FREQS}, {BENCH_WORDS}
+    SELECT b.item_id AS doc_id, b.ord::INT AS ord, b.norm,
+           round(1 / log2(f.count / (SELECT sum(count) FROM freqs)::DOUBLE), 9) AS log_p
+    FROM bench b LEFT JOIN freqs f ON f.item = b.norm
+    """,
+)
+def k6_compat(spark, sf):
+    d = di.MapDist.of(word_freqs(spark, sf), weight="count")
+    scored = d.log_probability(bench_words(spark, sf), "norm", compat=True)
+    return scored.select("doc_id", "ord", "norm", rounded("log_p"))
+
+
 @query(
     "k6_max_probability",
     f"""
@@ -702,6 +732,19 @@ def l3(spark, sf):
     return nb.finish_training(nb.train(nb.to_training(labelled(spark, sf))))
 
 
+@query(
+    "l3_finish_training_compat",
+    FINISHED
+    + """
+    SELECT label, feature, true AS value, c AS count, (c + 0.5::DOUBLE) / (c + 0.5::DOUBLE * 1) AS p
+    FROM lf JOIN n USING (label) JOIN f USING (feature)
+    """,
+)
+def l3_compat(spark, sf):
+    """Raw counts: a feature that only has the value true is certain."""
+    return nb.finish_training(nb.train(nb.to_training(labelled(spark, sf))), compat=True)
+
+
 @query(
     "l3_label_distribution",
     FINISHED

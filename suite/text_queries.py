@@ -92,6 +92,18 @@ def a5(spark, sf):
     return src.load_stop_words(spark, path)
 
 
+@query(
+    "a5_load_stop_words_as_written",
+    r"""
+    SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\p{M}]+')) AS norm FROM benchmark
+    """,
+)
+def a5_raw(spark, sf):
+    path = new_shared_path(spark, "stop")
+    table(spark, sf, "benchmark").select("text").write.text(path)
+    return src.load_stop_words(spark, path, lower=False)
+
+
 @query("a6_read_pairs", f"WITH {FREQS} SELECT item, count FROM freqs")
 def a6(spark, sf):
     """A frequency table written as text among lines that are not pairs, read back."""
