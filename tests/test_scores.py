@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from collections import Counter
 
@@ -313,3 +314,14 @@ def test_generate(spark):
     assert sorted(map(tuple, draws)) != sorted(map(tuple, d.generate(20_000, seed=4).collect()))
     even = Counter(r.item for r in di.UniformDist.of(freqs).generate(5000).collect())
     assert set(even) == set("abcde") and min(even.values()) > 850
+
+
+@pytest.mark.skipif("SGT_COUNTS" not in os.environ, reason="SGT_COUNTS and SGT_EXPECTED name two tables")
+def test_good_turing_matches_a_published_table(spark):
+    """Two files without header: r, n of a corpus, and r, p with the unseen mass at r = 0."""
+    read = lambda name, kind: spark.read.csv(os.environ[name], sep="\t", schema=f"r long, {kind}")
+    counts, expected = read("SGT_COUNTS", "n long"), read("SGT_EXPECTED", "p double")
+    got = {r.r: r.p for r in sm.sgt_with_unseen(counts).collect()}
+    want = {r.r: r.p for r in expected.collect()}
+    assert got.keys() == want.keys()
+    assert all(math.isclose(got[r], p, rel_tol=1e-9) for r, p in want.items())

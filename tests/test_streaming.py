@@ -92,3 +92,24 @@ def test_stateful_streams(spark, source):
         assert set(rounded(got).collect()) == set(rounded(want).collect())
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_a_second_run_continues_the_counts(spark, source):
+    """The state outlives a run: files that arrive later add to what was counted."""
+    open_stream, batch, tmp = source
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    sr.use_disk_state(spark)
+    try:
+        def go():
+            counts = sr.stream_frequencies(sr.stream_tokens(open_stream()))
+            run(sr.updates_to(counts, str(tmp / "counts"), str(tmp / "counts-cp")))
+            return sr.latest_updates(spark, str(tmp / "counts"), ["item"])
+
+        same(go(), fr.frequencies(tk.tokenizer(batch)))
+        later = spark.createDataFrame([(9, 0, "the new cat")], batch.schema)
+        later.coalesce(1).write.mode("append").parquet(str(tmp / "in"))
+        whole = spark.read.parquet(str(tmp / "in"))
+        assert whole.count() == len(TEXTS) + 1
+        same(go(), fr.frequencies(tk.tokenizer(whole)))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
