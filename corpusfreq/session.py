@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +51,12 @@ def drop_stored(spark: SparkSession) -> None:
     Tables that read it must not be used afterwards.
     """
     context = spark.sparkContext
-    paths = [application_dir(spark), context.getCheckpointDir()]
-    for name in paths:
+    # Spark's own checkpoints lie in a folder of this run below the shared one.
+    for name in (application_dir(spark), context.getCheckpointDir()):
         path = context._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    context.setCheckpointDir(shared_dir(spark))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    context.setCheckpointDir(named or posixpath.dirname(context.getCheckpointDir()))
 
 
 def durable(df: DataFrame) -> DataFrame:

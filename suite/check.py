@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
 from pyspark.sql import SparkSession
 
+from corpusfreq.session import drop_stored
 from suite import ORACLE, QUERIES
 
 TABLES = (
@@ -61,6 +63,7 @@ def main() -> int:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='corpusfreq-check-')}")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -73,6 +76,7 @@ def main() -> int:
             result, took = compare(spark, con, name, sf_dir)
         except Exception as e:  # noqa: BLE001
             result, took = f"ERROR {type(e).__name__}: {str(e)[:1500]}", 0.0
+        drop_stored(spark)
         good = result.startswith(("ok", "rows only"))
         failed += not good
         print(f"{'   ' if good else '!! '}{name:32s} {took:6.1f}s  {result}", flush=True)
