@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +25,16 @@ def load_corpus(spark: SparkSession, root: str, encoding: str = "UTF-8") -> Data
 
 
 def _below(path: Column, root: str) -> Column:
-    """The part of ``path`` below ``root``: hidden parents of the root do not count."""
-    tail = root.rstrip("/").split(":")[-1].lstrip("/")
+    """The part of ``path`` below ``root``: hidden parents of the root do not count.
+
+    Of a root with wildcards, the folders before the first one are the root.
+    """
+    fixed = re.split(r"[*?\[{]", root, maxsplit=1)[0]
+    if fixed != root:
+        fixed = fixed[: fixed.rfind("/") + 1]
+    tail = fixed.rstrip("/").split(":")[-1].lstrip("/")
+    if not tail:
+        return base_name(path)
     return F.when(
         F.instr(path, tail) > 0, F.substring_index(path, tail, -1)
     ).otherwise(base_name(path))

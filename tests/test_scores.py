@@ -316,6 +316,16 @@ def test_generate(spark):
     assert set(even) == set("abcde") and min(even.values()) > 850
 
 
+def test_generate_with_one_item_of_nearly_all_mass(spark, monkeypatch):
+    """The item covers nearly every bucket; its buckets are listed in many pieces."""
+    monkeypatch.setattr(di, "SPAN_CHUNK", 1000)
+    rare = spark.range(50_000).selectExpr("concat('x', id) AS item", "1L AS count")
+    freqs = rare.unionByName(spark.createDataFrame([("big", 10**9)], "item string, count long"))
+    draws = di.MapDist.of(freqs, weight="count").generate(3000, seed=1).collect()
+    assert sorted(r.draw for r in draws) == list(range(3000))
+    assert sum(r.item == "big" for r in draws) >= 2990
+
+
 @pytest.mark.skipif("SGT_COUNTS" not in os.environ, reason="SGT_COUNTS and SGT_EXPECTED name two tables")
 def test_good_turing_matches_a_published_table(spark):
     """Two files without header: r, n of a corpus, and r, p with the unseen mass at r = 0."""

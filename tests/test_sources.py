@@ -24,6 +24,11 @@ def test_load_corpus(spark, tmp_path):
     assert tags == {"spmone.txt": "SPAM", "two.txt": "HAM"}
     one = src.load_corpus(spark, str(root / "spmone.txt")).collect()
     assert [r.text for r in one] == ["buy\nnow"]
+    # With wildcards hidden folders below the fixed part are skipped, too.
+    for pattern in ("*", "d*", ".d*"):
+        wild = src.load_corpus(spark, f"{root}/{pattern}", encoding="ISO-8859-1").collect()
+        names = {os.path.basename(r.doc_id) for r in wild}
+        assert names == {"*": {"spmone.txt", "two.txt"}, "d*": {"two.txt"}, ".d*": set()}[pattern]
 
 
 def test_tag_rules(spark):
