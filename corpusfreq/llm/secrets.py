@@ -39,7 +39,9 @@ MIN_VALUE, MIN_ACCESS = 12, 18
 
 MIN_RUN = 16
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
-MIN_RATIO = 1.4
+MIN_RATIO = 3.5
+# Weight of a character's own frequency in the identifiers' model.
+BACKOFF = 5.0
 SAMPLE_RUN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _INDEX = np.full(256, 0, np.int64)
@@ -126,10 +128,11 @@ def _model(counted: DataFrame) -> RandomnessModel:
     totals = np.zeros((2, SIZE, SIZE))
     totals.reshape(2, -1)[table["secret"].to_numpy(int), table["pair"].to_numpy(int)] = table["n"].to_numpy()
     # Random strings may come in other alphabets than the samples': a share of all
-    # pairs is taken as even. Ordinary identifiers get one count for each unseen pair.
-    secret = totals[1] / np.maximum(totals[1].sum(axis=1, keepdims=True), 1)
-    secret = 0.7 * np.where(totals[1].sum(axis=1, keepdims=True) > 0, secret, 1 / SIZE) + 0.3 / SIZE
-    plain = (totals[0] + 0.5) / (totals[0] + 0.5).sum(axis=1, keepdims=True)
+    # pairs is taken as even. Pairs that identifiers lack are as rare as their character.
+    seen = totals[1].sum(axis=1, keepdims=True)
+    secret = 0.7 * np.where(seen > 0, totals[1] / np.maximum(seen, 1), 1 / SIZE) + 0.3 / SIZE
+    single = (totals[0].sum(axis=0) + 0.5) / (totals[0].sum() + 0.5 * SIZE)
+    plain = (totals[0] + BACKOFF * single) / (totals[0].sum(axis=1, keepdims=True) + BACKOFF)
     return RandomnessModel(np.log(secret / plain).reshape(-1))
 
 

@@ -240,8 +240,8 @@ def _entries(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     return chosen
 
 
-def _exceptions(rows: DataFrame, weights: dict[str, float]) -> set[str]:
-    """Phrases around an entry that clean texts have and toxic ones have not."""
+def _exceptions(rows: DataFrame, weights: dict[str, float], toxic: int, clean: int) -> set[str]:
+    """Phrases around an entry that are no more frequent in toxic texts than in clean ones."""
     matcher = Matcher(Lexicon(weights=weights))
 
     def phrases(text: str) -> set[str]:
@@ -249,7 +249,8 @@ def _exceptions(rows: DataFrame, weights: dict[str, float]) -> set[str]:
         return {p for a, b, _ in matcher.matches(folded) for p in matcher.phrases(folded, a, b) if p}
 
     counts = _count(rows, phrases, COUNTS).groupBy("item").pivot("bad", [0, 1]).agg(F.sum("n")).na.fill(0)
-    safe = counts.where((F.col("0") >= EXCEPTION_DOCS) & (F.col("1") == 0)).orderBy(F.desc("0"), "item")
+    no_sign = F.col("1") * F.lit(clean) <= F.col("0") * F.lit(toxic)
+    safe = counts.where((F.col("0") >= EXCEPTION_DOCS) & no_sign).orderBy(F.desc("0"), "item")
     return {r["item"] for r in safe.limit(MAX_EXCEPTIONS).collect()}
 
 
@@ -290,7 +291,7 @@ def fit(
     if toxic:
         lexicon.weights = _entries(rows, toxic, clean)
     if lexicon.weights:
-        lexicon.exceptions = _exceptions(rows, lexicon.weights)
+        lexicon.exceptions = _exceptions(rows, lexicon.weights, toxic, clean)
     lexicon.curve = _curve(rows, lexicon)
     return lexicon
 
