@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     one aggregate and one join; the number of rounds grows with the logarithm of the
     longest path. Null ends and loops are ignored.
     """
-    edges = stored(links.select("u", "v").where("u <> v").distinct(), "links")
+    edges = stored(_downward(links), "links")
     seen = None
     while True:
         edges = stored(_small_star(_large_star(edges)), "links")
@@ -24,10 +24,15 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
-    stars = edges.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("root"))
+    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root")).distinct()
 
 
+def _downward(edges: DataFrame) -> DataFrame:
+    """Each link once, from its larger to its smaller end."""
+    return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def _least(edges: DataFrame) -> DataFrame:
     """``edges`` with m, the least of u and its neighbours."""
     least = edges.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
@@ -35,12 +40,13 @@ def _least(edges: DataFrame) -> DataFrame:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    """Larger neighbours of every node are linked to its least neighbour instead."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    near = _least(down)
+    """Smaller neighbours of every node, and the node, are linked to the least of them."""
+    near = _least(edges)
     hooked = near.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hooked.unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return _downward(hooked.unionByName(near.select("u", F.col("m").alias("v"))))

@@ -20,6 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusfreq.llm.sieve import split, without
+from corpusfreq.llm.store import stored
+
 N = 13
 BROADCAST_GRAMS = 200_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,7 +65,7 @@ def text_key(text: Column) -> Column:
 
 
 def find_hits(docs: DataFrame, grams: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, start, n, gram): where an n-gram stands in a distinct text, words from 0."""
+    """(key, start, n, gram, n_words): where an n-gram stands in a distinct text, words from 0."""
     table = anchored(grams)
     if table.count() <= BROADCAST_GRAMS:
         table = F.broadcast(table)
@@ -74,7 +77,8 @@ def find_hits(docs: DataFrame, grams: DataFrame, text_col: str = "text") -> Data
     window = F.when(F.col("pos") >= F.col("off"), F.slice("w", F.col("pos") - F.col("off") + 1, F.size("gram")))
     hits = met.where(window == F.col("gram"))
     start = (F.col("pos") - F.col("off")).alias("start")
-    return hits.select(text_key(F.col("body")).alias("key"), start, F.size("gram").alias("n"), "gram").distinct()
+    n, n_words = F.size("gram").alias("n"), F.size("w").cast("long").alias("n_words")
+    return hits.select(text_key(F.col("body")).alias("key"), start, n, "gram", n_words).distinct()
 
 
 def covered(hits: DataFrame) -> DataFrame:
@@ -108,7 +112,8 @@ def contamination(
     """Per document: id, n_words, n_hit, spans of hit words and the items found."""
     grams = item_grams(benchmark, n, item_col, item_text_col)
     hits = find_hits(docs, grams, text_col)
-    found = covered(hits).join(found_items(hits, grams).withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left").drop("k")
+    items = found_items(hits, grams).withColumnRenamed("key", "k")
+    found = covered(hits).join(items, F.col("key") == F.col("k"), "left").drop("k")
     base = docs.select(
         F.col(id_col), text_key(F.col(text_col)).alias("text_key"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
@@ -131,16 +136,19 @@ def drop_contaminated(
     item_text_col: str = "text", spans_only: bool = False,
 ) -> DataFrame:
     """``docs`` without contaminated documents or, with ``spans_only``, without the hit words."""
-    hits = find_hits(docs, item_grams(benchmark, n, item_col, item_text_col), text_col)
-    found = covered(hits).withColumnRenamed("key", "__bd_key").withColumnRenamed("spans", "__bd_spans").withColumnRenamed("n_hit", "__bd_hit")
-    # Only texts with a hit are few; the documents meet them by content.
-    joined = docs.withColumn("__bd_text", text_key(F.col(text_col))).join(found, F.col("__bd_text") == F.col("__bd_key"), "left")
-    n_words = F.regexp_count(F.col(text_col), F.lit(WORD))
+    hits = stored(find_hits(docs, item_grams(benchmark, n, item_col, item_text_col), text_col), "hits")
+    found = covered(hits)
+    key = text_key(F.col(text_col))
     if not spans_only:
-        dirty = F.coalesce(is_contaminated(F.col("__bd_hit"), n_words), F.lit(False))
-        return joined.where(~dirty).select(*[F.col(f"`{c}`") for c in docs.columns])
+        sizes = hits.groupBy(F.col("key").alias("k")).agg(F.max("n_words").alias("n_words"))
+        dirty = found.join(sizes, F.col("key") == F.col("k")).where(is_contaminated(F.col("n_hit"), F.col("n_words")))
+        return without(docs, key, stored(dirty.select("key"), "dirty"), "key")
+    clear, maybe = split(docs, key, hits, "key")
+    spans = found.select(F.col("key").alias("__bd_key"), F.col("spans").alias("__bd_spans"))
+    joined = maybe.join(spans, F.col("__sv_key") == F.col("__bd_key"), "left")
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD_AND_GAP})"), 1)
     hit = lambda i: F.exists("__bd_spans", lambda s: (i >= s["start"]) & (i < s["stop"]))
     rest = F.array_join(F.filter(pieces, lambda _, i: ~hit(i)), "")
     text = F.when(F.col("__bd_spans").isNull(), F.col(text_col)).otherwise(rest)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    cut = joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return clear.unionByName(cut)

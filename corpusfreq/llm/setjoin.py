@@ -8,19 +8,24 @@ share c(s, t) = ceil(percent * (s + t) / (100 + percent)) elements.
 * Light sets, of up to x elements, are joined with light ones by their subsets: both
   sides list all their subsets of c(s, t) elements, and a common one is a link.
 * Pairs with a heavy set are found by inverted lists. Elements are ordered by rising
-  frequency; linked sets share an element among their first s - ceil(percent * s / 100) + 1.
-  A list is first scanned around one hub per size band; what these links join is one
-  component. Then all pairs of different components within a list are looked at.
-  Every candidate pair is verified with its whole sets.
+  frequency; the first element that linked sets share stands among the first
+  s - c(s, t) + 1 of both, so only those are listed, and elements that surely occur
+  once are not listed at all. A list is first scanned around one hub per size band, the
+  set with the fewest rare elements; what these links join is one component. Then all
+  pairs of different components within a list are looked at. Every candidate pair is
+  verified with its whole sets.
 * x is where listing a set's subsets starts to cost more than scanning its lists,
-  whose mean length is measured.
+  whose mean length is the mean frequency of an element.
 
 The result is every document's component, so pairs inside a component that is already
 known need no test; no link between different components is lost. Elements and classes
 are named by 64-bit hashes.
 
-Frequencies only order the elements, any order gives the same links: they are counted
-over all documents, and the ``MAX_FREQUENT`` most frequent elements are broadcast.
+Frequencies only order the elements, any order gives the same links. They are counted
+over all documents by 40-bit codes. Broadcast are the ``MAX_FREQUENT`` most frequent
+codes and a bitmap of ``1 << BITMAP_BITS`` bits that marks those met twice or more: with
+far more distinct elements than bits it marks too many, which makes lists longer and
+loses nothing.
 
 Defined cases: null and word-less texts have an empty set, link with nothing and are their
 own component; a text of fewer than n words has its whole sequence as one element; rows
@@ -33,6 +38,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +47,14 @@ from pyspark.sql import functions as F
 
 from corpusfreq.llm.bytes_np import chunks, mix, word_hashes, word_spans
 from corpusfreq.llm.components import components
+from corpusfreq.llm.sieve import split, without
 from corpusfreq.llm.store import stored
-from corpusfreq.llm.urls import MAX_BLOCKS, blocked_bloom, bloom_bits
 from corpusfreq.llm.workers import package_path
 
-MAX_FREQUENT = 500_000
-FREQUENT = 8
+MAX_FREQUENT = 200_000
+FREQUENT = 4
 COUNT_BUCKETS = 256
+BITMAP_BITS = 27
 MAX_LIGHT = 24
 
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -134,10 +141,34 @@ def _coarse(element: np.ndarray) -> np.ndarray:
     return element >> np.uint64(24)
 
 
-def frequent_elements(docs: DataFrame, n: int, text_col: str) -> tuple[np.ndarray, np.ndarray, float]:
-    """(coarse elements, counts) of the most frequent ones, and the mean list length.
+@dataclass
+class Frequencies:
+    """What tasks know about the frequency of elements."""
 
-    Each task sends its coarse elements sorted into buckets, as packed arrays.
+    bitmap: np.ndarray  # bits of codes met twice or more
+    codes: np.ndarray  # the most frequent codes, sorted
+    counts: np.ndarray
+    list_length: float
+
+    def of(self, element: np.ndarray) -> np.ndarray:
+        """0 for an element that surely occurs once, else 1 or the known count."""
+        code = _coarse(element)
+        bit = code >> np.uint64(40 - BITMAP_BITS)
+        again = (self.bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
+        out = again.astype(np.int64)
+        often = np.flatnonzero(out)
+        if len(self.codes) and len(often):
+            wanted = code[often]
+            at = np.minimum(np.searchsorted(self.codes, wanted), len(self.codes) - 1)
+            out[often] = np.where(self.codes[at] == wanted, self.counts[at], 1)
+        return out
+
+
+def element_frequencies(docs: DataFrame, n: int, text_col: str) -> Frequencies:
+    """Count the codes of all elements of all documents.
+
+    Each task sends its codes sorted into buckets, as packed arrays; a bucket's task
+    counts them and gives its part of the bitmap and its frequent codes.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,57 +182,65 @@ def frequent_elements(docs: DataFrame, n: int, text_col: str) -> tuple[np.ndarra
                 [pa.array(range(COUNT_BUCKETS), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "packed"]
             )
 
+    bits = BITMAP_BITS - COUNT_BUCKETS.bit_length() + 1  # of one bucket
+
     def count(key, frame):
         import pandas as pd
 
         values = np.sort(np.concatenate([np.frombuffer(b, np.uint32) for b in frame["packed"]]))
         edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, int)
-        n_each = np.diff(edges).astype(np.int64)
-        often = n_each >= FREQUENT
-        coarse = (int(key[0]) << 32) + values[edges[:-1][often]].astype(np.int64)
-        out = pd.DataFrame({"coarse": coarse, "n": n_each[often]})
-        rest = n_each[~often]
-        # One more row carries the sums of the others.
-        total = pd.DataFrame({"coarse": [-1, -2], "n": [int(rest.sum()), int((rest * rest).sum())]})
-        return pd.concat([out, total])
-
-    texts = docs.select(F.col(text_col).alias("t"))
+        found, each = values[edges[:-1]], np.diff(edges).astype(np.int64)
+        marks = np.zeros(1 << bits, bool)
+        marks[found[each > 1] >> np.uint32(32 - bits)] = True
+        often = each >= FREQUENT
+        codes = (int(key[0]) << 32) + found[often].astype(np.int64)
+        # One more row carries the bitmap, the number of distinct codes and of all.
+        bitmap = np.packbits(marks, bitorder="little").tobytes()
+        first = pd.DataFrame({"code": [-1 - int(key[0])], "n": [len(found)], "size": [len(values)], "marks": [bitmap]})
+        return pd.concat([first, pd.DataFrame({"code": codes, "n": each[often], "size": 0, "marks": None})])
+
     package_path(docs.sparkSession)
-    packed = texts.mapInArrow(pack, "bucket int, packed binary")
-    counted = stored(packed.groupBy("bucket").applyInPandas(count, "coarse bigint, n bigint"), "frequent")
-    sums = counted.where("coarse >= 0").agg(F.sum("n").alias("a"), F.sum(F.col("n") * F.col("n")).alias("b")).first()
-    rest = counted.where("coarse < 0").groupBy("coarse").agg(F.sum("n").alias("n")).collect()
-    rest = {r["coarse"]: r["n"] for r in rest}
-    elements, squares = (sums["a"] or 0) + rest.get(-1, 0), (sums["b"] or 0) + rest.get(-2, 0)
-    top = counted.where("coarse >= 0").orderBy(F.desc("n"), "coarse").limit(MAX_FREQUENT).toPandas()
-    top = top.sort_values("coarse")
-    return top["coarse"].to_numpy(np.uint64), top["n"].to_numpy(np.int64), squares / max(elements, 1)
+    packed = docs.select(F.col(text_col).alias("t")).mapInArrow(pack, "bucket int, packed binary")
+    schema = "code bigint, n bigint, size bigint, marks binary"
+    counted = stored(packed.groupBy("bucket").applyInPandas(count, schema), "frequencies")
+    bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    elements, distinct = 0, 0
+    for row in counted.where("code < 0").toLocalIterator():  # COUNT_BUCKETS rows
+        part = np.frombuffer(row["marks"], np.uint8)
+        at = -1 - row["code"]
+        bitmap[at * len(part) : (at + 1) * len(part)] = part
+        elements, distinct = elements + row["size"], distinct + row["n"]
+    top = counted.where("code >= 0").orderBy(F.desc("n"), "code").limit(MAX_FREQUENT).select("code", "n").toArrow()
+    codes, counts = top.column("code").to_numpy().astype(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(codes)
+    return Frequencies(bitmap, codes[order], counts[order], elements / max(distinct, 1))
 
 
 def light_bound(percent: int, list_length: float) -> int:
-    """The largest size up to which listing subsets costs no more than scanning lists."""
+    """The largest size up to which listing subsets costs no more than scanning lists.
+
+    Scanning reads the lists of the first elements and compares whole sets with each set
+    that stands in them; subsets need no comparison.
+    """
     bound = 0
     for s in range(1, MAX_LIGHT + 1):
         partners = range(-(-percent * s // 100), 100 * s // percent + 1)
-        subsets = sum(math.comb(s, c) for c in {overlap(s, t, percent) for t in partners})
-        if subsets > prefix_length(s, percent) * (1 + list_length):
+        subsets = sum(math.comb(s, c) for c in {overlap(s, t, percent) for t in partners} if c <= s)
+        if subsets > prefix_length(s, percent) * (1 + list_length * (1 + s)):
             break
         bound = s
     return bound
 
 
-def _frequency(element: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    known, counts = frequent
-    if not len(known):
-        return np.zeros(len(element), np.int64)
-    coarse = _coarse(element)
-    at = np.minimum(np.searchsorted(known, coarse), len(known) - 1)
-    return np.where(known[at] == coarse, counts[at], 0)
-
+def list_entries(
+    docs: DataFrame, n: int, percent: int, least: int, frequencies: Frequencies, id_col: str, text_col: str
+) -> DataFrame:
+    """(element, node, size, place) of the rarest elements of every set of at least ``least`` elements.
 
-def list_entries(docs: DataFrame, n: int, percent: int, least: int, frequent, id_col: str, text_col: str) -> DataFrame:
-    """(element, node, size): the rarest elements of every set of at least ``least`` elements."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    ``place`` is the element's place in the set's order. Elements that surely occur once
+    hold places, too, but are not listed.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frequencies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,19 +248,24 @@ def list_entries(docs: DataFrame, n: int, percent: int, least: int, frequent, id
                 owner, element = word_ngrams(data, offsets, n)
                 sizes = np.bincount(owner, minlength=hi - lo)
                 node = _node(element, sizes)
-                order = np.lexsort((element, _frequency(element, shared.value), owner))
+                frequency = shared.value.of(element)
+                order = np.lexsort((element, frequency, owner))
                 first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 place = np.arange(len(owner)) - first[owner]
                 named = batch.column(0).slice(lo, hi - lo).is_valid().to_numpy(zero_copy_only=False)
                 wanted = np.where((sizes >= least) & named, prefix_length(sizes, percent), 0)
-                keep = place < wanted[owner]
+                keep = (place < wanted[owner]) & (frequency[order] > 0)
                 chosen, whose = element[order][keep], owner[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(chosen.view(np.int64)), pa.array(node[whose]), pa.array(sizes[whose], pa.int32())],
-                    names=["element", "node", "size"],
+                    [
+                        pa.array(chosen.view(np.int64)), pa.array(node[whose]),
+                        pa.array(sizes[whose], pa.int32()), pa.array(place[keep], pa.int32()),
+                    ],
+                    names=["element", "node", "size", "place"],
                 )
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "element bigint, node bigint, size int")
+    schema = "element bigint, node bigint, size int, place int"
+    return _texts(docs, id_col, text_col).mapInArrow(run, schema)
 
 
 def light_links(docs: DataFrame, n: int, percent: int, bound: int, id_col: str, text_col: str) -> DataFrame:
@@ -276,16 +320,6 @@ def light_links(docs: DataFrame, n: int, percent: int, bound: int, id_col: str,
     return joined.select(F.col("node").alias("u"), F.col("hub").alias("v")).where("u <> v").distinct()
 
 
-def _bloom_scan(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, t) for the wanted (id, node); a Bloom filter of bounded size keeps other texts unmoved."""
-    bloom = blocked_bloom(wanted, "id", MAX_BLOCKS)
-    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i IS NOT NULL")
-    h = F.xxhash64("i")
-    near = texts.join(F.broadcast(bloom), F.pmod(h, F.lit(MAX_BLOCKS)) == F.col("block"))
-    near = near.where(F.col("mask").bitwiseAND(bloom_bits(h)) == bloom_bits(h)).select("i", "t")
-    return near.join(wanted, F.col("i") == F.col("id")).select("id", "t")
-
-
 def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(node, packed): the sorted sets of the wanted (id, node) documents."""
 
@@ -299,7 +333,11 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text
                 packed = [element[a:b].tobytes() for a, b in itertools.pairwise(first)]
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(packed, pa.binary())], names=["node", "packed"])
 
-    found = _bloom_scan(docs, wanted, id_col, text_col).mapInArrow(run, "node bigint, packed binary")
+    wanted = stored(wanted, "wanted")
+    texts = _texts(docs, id_col, text_col).where("id IS NOT NULL")
+    _, maybe = split(texts, F.col("id"), wanted, "id")
+    asked = maybe.join(wanted.select(F.col("id").alias("asked")), F.col("__sv_key") == F.col("asked"), "left_semi")
+    found = asked.select("id", "t").mapInArrow(run, "node bigint, packed binary")
     # An id may stand on rows with other texts too.
     return found.groupBy("node").agg(F.first("packed").alias("packed"))
 
@@ -333,23 +371,35 @@ def _grouped(entries: DataFrame, percent: int) -> DataFrame:
     """``entries`` of lists with two sets or more, each with its size band."""
     lengths = entries.groupBy(F.col("element").alias("e")).agg(F.count("*").alias("members")).where("members > 1")
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
-    return entries.join(lengths, F.col("element") == F.col("e")).select("element", "node", "size", band.alias("band"))
+    kept = entries.join(lengths, F.col("element") == F.col("e"))
+    return kept.select("element", "node", "size", "place", band.alias("band"))
 
 
-def _alike(percent: int):
-    """Sizes that a linked pair can have."""
-    small, large = F.least("size", "other_size"), F.greatest("size", "other_size")
-    return large * percent <= small * 100
+def _can_be_first(percent: int):
+    """Whether a common element at these places may be the first of a linked pair.
+
+    Behind it each set must hold the other c(s, t) - 1 common elements.
+    """
+    both = F.col("size") + F.col("other_size")
+    common = F.floor((both * percent + (99 + percent)) / F.lit(100 + percent))
+    return (F.col("place") + common <= F.col("size")) & (F.col("other_place") + common <= F.col("other_size"))
 
 
 def _hub_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """(u, v): each set with the hub of its size band, and of the band below, in each of its lists."""
+    """(u, v): each set with the hub of its size band, and of the band below, in each of its lists.
+
+    The hub has the listed element in the earliest place: few of its elements are rare, so
+    it is likely in the middle of the sets like it.
+    """
     hubs = lists.groupBy(F.col("element").alias("e"), F.col("band").alias("b")).agg(
-        F.min(F.struct("size", "node")).alias("hub")
-    ).select("e", "b", F.col("hub.node").alias("other"), F.col("hub.size").alias("other_size"))
+        F.min(F.struct("place", "size", "node")).alias("hub")
+    ).select(
+        "e", "b", F.col("hub.node").alias("other"), F.col("hub.size").alias("other_size"),
+        F.col("hub.place").alias("other_place"),
+    )
     near = lists.withColumn("near", F.explode(F.array(F.col("band"), F.col("band") - 1)))
     met = near.join(hubs, (F.col("element") == F.col("e")) & (F.col("near") == F.col("b")))
-    pairs = met.where(F.col("node") != F.col("other")).where(_alike(percent))
+    pairs = met.where(F.col("node") != F.col("other")).where(_can_be_first(percent))
     return pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
 
 
@@ -357,19 +407,21 @@ def _rest_pairs(lists: DataFrame, found: DataFrame, tried: DataFrame, percent: i
     """(u, v): pairs in a list that lie in different components and were not tried."""
     root = F.coalesce("root", "node").alias("root")
     placed = lists.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
-        "element", "node", "size", "band", root
+        "element", "node", "size", "place", "band", root
     )
     mixed = placed.groupBy(F.col("element").alias("e")).agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    open_ = stored(placed.join(mixed, F.col("element") == F.col("e")).select("element", "node", "size", "band", "root"), "open")
+    open_ = placed.join(mixed, F.col("element") == F.col("e")).select("element", "node", "size", "place", "band", "root")
+    open_ = stored(open_, "open")
     other = open_.select(
         F.col("element").alias("e"), F.col("node").alias("other"), F.col("size").alias("other_size"),
-        F.col("root").alias("other_root"), F.col("band").alias("other_band"),
+        F.col("place").alias("other_place"), F.col("root").alias("other_root"), F.col("band").alias("other_band"),
     )
     near = open_.withColumn("near", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
     met = near.join(other, (F.col("element") == F.col("e")) & (F.col("near") == F.col("other_band")))
-    pairs = met.where("node < other AND root <> other_root").where(_alike(percent))
+    pairs = met.where("node < other AND root <> other_root").where(_can_be_first(percent))
     fresh = pairs.select(F.col("node").alias("u"), F.col("other").alias("v")).distinct()
-    return fresh.join(tried.select(F.col("u").alias("tu"), F.col("v").alias("tv")), (F.col("u") == F.col("tu")) & (F.col("v") == F.col("tv")), "left_anti")
+    asked = tried.select(F.col("u").alias("tu"), F.col("v").alias("tv"))
+    return fresh.join(asked, (F.col("u") == F.col("tu")) & (F.col("v") == F.col("tv")), "left_anti")
 
 
 def linked_components(
@@ -381,10 +433,10 @@ def linked_components(
         signed.where("size > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size")),
         "classes",
     )
-    known, counts, length = frequent_elements(docs, n, text_col)
-    bound = light_bound(percent, length)
+    frequencies = element_frequencies(docs, n, text_col)
+    bound = light_bound(percent, frequencies.list_length)
     least = -(-percent * (bound + 1) // 100)
-    raw = list_entries(docs, n, percent, least, (known, counts), id_col, text_col)
+    raw = list_entries(docs, n, percent, least, frequencies, id_col, text_col)
     entries = stored(raw.distinct(), "entries")
     lists = stored(_grouped(entries, percent), "lists")
 
@@ -401,10 +453,11 @@ def linked_components(
 
     links.append(verified(pairs, sets_of(pairs), percent))
     joined = stored(links[0].unionByName(links[1]).unionByName(links[2]), "found")
-    first = components(joined)
+    first = stored(components(joined), "first")
     rest = stored(_rest_pairs(lists, first, pairs, percent), "rest")
     more = stored(verified(rest, sets_of(rest), percent), "more")
-    final = components(joined.unionByName(more))
+    # The components found first are stars already: only what joins them is new.
+    final = components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
     rooted = classes.join(final.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(
         F.col("node").alias("n"), F.coalesce("root", "node").alias("root"), "least"
@@ -424,10 +477,9 @@ def keep_one_of_each(
     Rows with a null id or an empty set stay. Of rows with one id, which are one document,
     the first by text stays.
     """
-    found = linked_components(docs, n, percent, id_col, text_col)
-    # The others are few: they meet the documents by id, and only those of one id are compared.
-    gone = found.where("component < id").select(F.col("id").alias("__sj_id")).distinct()
-    kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__sj_id"), "left_anti")
+    found = stored(linked_components(docs, n, percent, id_col, text_col), "components")
+    gone = found.where("component < id").select("id")
+    kept = without(docs, F.col(id_col).cast("long"), gone, "id")
     repeated = found.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1")
     if repeated.isEmpty():
         return kept
