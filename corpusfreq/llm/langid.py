@@ -144,46 +144,52 @@ def _decode(model: LanguageCode, margins: np.ndarray) -> tuple[np.ndarray, np.nd
     return best, likely[:, -1], likely[:, -1] - second < AMBIGUOUS
 
 
+def _judge(code: LanguageCode, texts: pa.Array) -> list[pa.Array]:
+    """Language, score and ambiguity of every text of an array."""
+    labels = np.array([*code.languages, UNKNOWN], dtype=object)
+    names, scores, doubts = [], [], []
+    for lo, hi, data, offsets in chunks(texts):
+        n = hi - lo
+        best, score, unsure = np.full(n, len(code.languages)), np.zeros(n), np.zeros(n, bool)
+        if len(code.languages) == 1:
+            best[:], score[:] = 0, 1.0
+        elif code.languages:
+            at = _grams(data, offsets)
+            # Evidence grows with the text, but slower than its length.
+            scale = np.maximum(np.diff(offsets), 1) ** -0.5
+            margins = np.stack([_per_text(w[at], offsets) * scale for w in code.weights], axis=1)
+            best, score, unsure = _decode(code, margins)
+        lettered = _FOLD[data] != 32
+        letters = _per_text(lettered.astype(float), offsets) > 0
+        plain = _per_text((lettered & (data < 128)).astype(float), offsets) > 0
+        for i in np.flatnonzero(letters & ~plain):
+            letters[i] = any(c.isalpha() for c in texts[lo + int(i)].as_py())
+        names.append(labels[np.where(letters, best, len(code.languages))])
+        scores.append(np.where(letters, score, 0.0))
+        doubts.append(unsure & letters)
+    if not names:
+        return [pa.array([], pa.string()), pa.array([], pa.float64()), pa.array([], pa.bool_())]
+    return [pa.array(np.concatenate(names), pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(doubts))]
+
+
 def predict(
     docs: DataFrame, model: LanguageCode, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
     names: tuple[str, str, str] = ("lang_pred", "score", "ambiguous"),
 ) -> DataFrame:
-    """The columns ``keep``, then predicted language, score (0 to 1) and ambiguity."""
+    """The columns ``keep``, then predicted language, score (0 to 1) and ambiguity.
+
+    Only the text goes to the Python worker and only the three answers come back.
+    """
     package_path(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema
-    for name, kind in zip(names, ("string", "double", "boolean"), strict=True):
-        schema = schema.add(name, kind)
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = shared.value
-        labels = np.array([*code.languages, UNKNOWN], dtype=object)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            for lo, hi, data, offsets in chunks(texts):
-                n = hi - lo
-                best, score, unsure = np.full(n, len(code.languages)), np.zeros(n), np.zeros(n, bool)
-                if len(code.languages) == 1:
-                    best[:], score[:] = 0, 1.0
-                elif code.languages:
-                    at = _grams(data, offsets)
-                    length = np.maximum(np.diff(offsets), 1)
-                    # Evidence grows with the text, but slower than its length.
-                    scale = length**-0.5
-                    margins = np.stack([_per_text(w[at], offsets) * scale for w in code.weights], axis=1)
-                    best, score, unsure = _decode(code, margins)
-                letters = _per_text((_FOLD[data] != 32).astype(float), offsets) > 0
-                plain = _per_text(((_FOLD[data] != 32) & (data < 128)).astype(float), offsets) > 0
-                for i in np.flatnonzero(letters & ~plain):
-                    letters[i] = any(c.isalpha() for c in texts[lo + i].as_py())
-                best = np.where(letters, best, len(code.languages))
-                score = np.where(letters, score, 0.0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[batch.column(i).slice(lo, n) for i in range(batch.num_columns - 1)],
-                        pa.array(labels[best], pa.string()), pa.array(score), pa.array(unsure & letters),
-                    ],
-                    names=[f.name for f in schema],
-                )
-
-    return docs.select(*keep, F.col(text_col)).mapInArrow(judge, schema)
+    def judge(texts: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(_judge(shared.value, texts), names=["lang", "score", "unsure"])
+
+    answer = F.arrow_udf(judge, "struct<lang:string,score:double,unsure:boolean>")(F.col(text_col))
+    kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    judged = docs.select(*kept, answer.alias("answer"))
+    return judged.select(
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
+        *[F.col("answer")[part].alias(name) for part, name in zip(("lang", "score", "unsure"), names, strict=True)],
+    )

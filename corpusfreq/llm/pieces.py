@@ -30,8 +30,8 @@ from corpusfreq.llm.workers import package_path
 
 MARK = "▁"
 # Words and tested pairs kept by a worker. A full memo of words becomes the old one.
-MEMO_WORDS = 300_000
-MEMO_PAIRS = 1_000_000
+MEMO_WORDS = 100_000
+MEMO_PAIRS = 300_000
 # Words longer than this are encoded without keeping them.
 MEMO_CHARS = 64
 CHUNK = re.compile(f"{MARK}*[^{MARK}]*")

@@ -9,9 +9,22 @@ from pyspark.sql import SparkSession
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+# Whole texts travel in batches; Spark's own limit would let many long ones gather.
+BATCH_BYTES, SPARK_DEFAULT = "8388608b", "67108864b"
+
+
+# Workers live on between tasks: freed arrays go back to the system.
+MEMORY = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "8388608", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def package_path(spark: SparkSession) -> None:
-    """Let workers import this package from where the driver has it."""
+    """Let workers import this package from where the driver has it, and take small batches."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == SPARK_DEFAULT:
+        spark.conf.set(name, BATCH_BYTES)
     env = spark.sparkContext.environment
+    for key, value in MEMORY.items():
+        env.setdefault(key, value)
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
