@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -37,9 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def name_storage(spark: SparkSession) -> None:
     """Some queries store tables. A test session on one machine that names no folder for
     them gets one here; on a cluster the setting is the cluster's."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
-        folder = os.path.join(tempfile.gettempdir(), "corpusfreq-suite")
-        spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir():
+        return
+    if re.match(r"local(\[|$)", context.master):
+        context.setCheckpointDir(f"file://{os.path.join(tempfile.gettempdir(), 'corpusfreq-suite')}")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
