@@ -10,7 +10,8 @@ text's length, and turned into a probability by a logistic curve.
 
 ``fit`` learns entries, exceptions and curve from at most ``MAX_LABELS`` labelled rows
 (those of smallest id hash), so what is broadcast or held on the driver is bounded by
-``MAX_LABELS``, ``MAX_ENTRIES`` and ``MAX_EXCEPTIONS`` at any corpus size.
+``MAX_LABELS``, ``MAX_ENTRIES`` and ``MAX_EXCEPTIONS`` at any corpus size. Rows of one
+label whose texts have the same set of folded words are one example, in every count.
 
 Defined cases: a null or empty text matches nothing and has the score of a text without a
 match; null labels or ids teach nothing; without toxic examples the lexicon is empty and
@@ -19,10 +20,10 @@ every score is the same; repeated rows are scored alike; texts are read whole.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusfreq.llm.store import stored
 from corpusfreq.llm.workers import package_path
 
 MAX_LABELS = 200_000
@@ -160,6 +162,19 @@ def _learning_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: st
     return texts.join(F.broadcast(known), F.col("i") == F.col("k")).select("body", "bad")
 
 
+def _examples(rows: DataFrame) -> DataFrame:
+    """(body, bad): one row of all that have the same label and the same set of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [sorted(set(WORD.findall(fold(t or "")))) for t in batch.column(0).to_pylist()]
+            keys = [hashlib.blake2b(" ".join(w).encode(), digest_size=16).digest() for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *batch.columns], names=["same", "body", "bad"])
+
+    named = rows.mapInArrow(run, "same binary, body string, bad int")
+    return named.groupBy("same", "bad").agg(F.min("body").alias("body")).select("body", "bad")
+
+
 def _count(rows: DataFrame, tokens, columns: str) -> DataFrame:
     """(item, bad, n): in how many rows ``tokens(text)`` has the item, counted in each task first."""
 
@@ -224,14 +239,12 @@ def _entries(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
             gain[form] = n * np.log(n / expected) + (m * np.log(m / (n + m - expected)) if m else 0.0)
     names = set(weights)
 
-    def sketches(text: str) -> set[str]:
-        words = set(WORD.findall(fold(text)))
-        least_hash = min((zlib.crc32(w.encode()) for w in words), default=0)
-        return {f"{f} {least_hash}" for w in words for f in _forms(w) if f in names}
+    def chosen_forms(text: str) -> set[str]:
+        return {f for w in WORD.findall(fold(text)) for f in _forms(w) if f in names}
 
-    # Copies of one text mostly share the least hash of their words: they are one example.
-    varied = _count(rows.where("bad = 1"), sketches, COUNTS).groupBy(F.substring_index("item", " ", 1).alias("form"))
-    names = {r["form"] for r in varied.agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
+    # Above a form counts up to REPEATS times in an example, here once.
+    held = _count(rows.where("bad = 1"), chosen_forms, COUNTS).where(F.col("n") >= least)
+    names = {r["item"] for r in held.collect()}
     chosen: dict[str, float] = {}
     for form in sorted(names, key=lambda f: (-gain[f], -len(f), f)):
         stem = form.rstrip("*")
@@ -284,7 +297,7 @@ def fit(
 ) -> Lexicon:
     """Learn a lexicon from the documents that ``labels`` (id, label) covers."""
     package_path(docs.sparkSession)
-    rows = _learning_rows(docs, labels, id_col, text_col, label_col)
+    rows = stored(_examples(_learning_rows(docs, labels, id_col, text_col, label_col)), "examples")
     totals = {r["bad"]: r["n"] for r in rows.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     lexicon = Lexicon()

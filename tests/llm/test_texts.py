@@ -126,6 +126,24 @@ def test_toxicity_of_held_out_rows(rated):
     assert sum(r["predicted"] == int(r["doc_id"] % 5 == 0) for r in rows) >= 0.97 * len(rows)
 
 
+def test_toxicity_counts_copies_once_on_both_sides(spark):
+    rnd = random.Random(8)
+    words = [a + b + c for a in ("ta", "re", "mo", "su") for b in ("ven", "kor", "pel") for c in ("da", "mi", "no", "ze")]
+    bad = ["idiot", "moron", "trash", "vermin", "scum"]
+    # Every toxic text starts with the same words, so that few least hashes exist.
+    texts = [" ".join([*words, bad[i % 5], f"x{i}y"]) for i in range(100)]
+    copy = "copied wretch again"
+    texts += [copy if i % 2 else copy.upper() + "!" for i in range(300)]
+    labels = [1] * 400
+    texts += [" ".join([*rnd.sample(words, 30), f"z{i}"]) for i in range(500)]
+    labels += [0] * 500
+    rows = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(zip(texts, labels, strict=True))], "doc_id long, text string, toxic int")
+    lexicon = toxicity.fit(rows, rows)
+    stems = [f.rstrip("*") for f in lexicon.weights]
+    assert all(any(toxicity.fold(w).startswith(s) for s in stems) for w in bad)
+    assert not any(toxicity.fold("wretch").startswith(s) or toxicity.fold("copied").startswith(s) for s in stems)
+
+
 def test_toxicity_without_examples(spark, docs, empty, rated):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     lexicon = toxicity.fit(docs, none)
