@@ -39,8 +39,11 @@ MIN_VALUE, MIN_ACCESS = 12, 18
 
 MIN_RUN = 16
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
-MIN_RATIO = 3.5
-# Weight of a character's own frequency in the identifiers' model.
+# Measured on held-out runs at two sizes, see README.
+MIN_RATIO = 1.0
+# Shares in the identifiers' model: of pairs after their first character, and of
+# characters by frequency. A character seen BACKOFF times gives its pairs half of theirs.
+PAIR_SHARE, CHAR_SHARE = 0.99, 0.9
 BACKOFF = 5.0
 SAMPLE_RUN = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -127,12 +130,17 @@ def _model(counted: DataFrame) -> RandomnessModel:
     table = counted.groupBy("secret", "pair").agg(F.sum("n").alias("n")).toPandas()  # at most 2 x SIZE x SIZE rows
     totals = np.zeros((2, SIZE, SIZE))
     totals.reshape(2, -1)[table["secret"].to_numpy(int), table["pair"].to_numpy(int)] = table["n"].to_numpy()
-    # Random strings may come in other alphabets than the samples': a share of all
-    # pairs is taken as even. Pairs that identifiers lack are as rare as their character.
-    seen = totals[1].sum(axis=1, keepdims=True)
-    secret = 0.7 * np.where(seen > 0, totals[1] / np.maximum(seen, 1), 1 / SIZE) + 0.3 / SIZE
-    single = (totals[0].sum(axis=0) + 0.5) / (totals[0].sum() + 0.5 * SIZE)
-    plain = (totals[0] + BACKOFF * single) / (totals[0].sum(axis=1, keepdims=True) + BACKOFF)
+    # Random strings may come in other alphabets than the samples': a share of all pairs
+    # is taken as even. Identifiers keep fixed shares for pairs and characters they lack,
+    # so that more samples do not make these less likely.
+    seen = totals.sum(axis=2, keepdims=True)
+    shares = totals / np.maximum(seen, 1)
+    secret = 0.7 * np.where(seen[1] > 0, shares[1], 1 / SIZE) + 0.3 / SIZE
+    single = CHAR_SHARE * totals[0].sum(axis=0) / max(totals[0].sum(), 1) + (1 - CHAR_SHARE) / SIZE
+    if not totals[0].any():
+        single[:] = 1 / SIZE
+    pairs = PAIR_SHARE * seen[0] / (seen[0] + BACKOFF)
+    plain = pairs * shares[0] + (1 - pairs) * single
     return RandomnessModel(np.log(secret / plain).reshape(-1))
 
 

@@ -194,3 +194,18 @@ def test_random_strings_and_identifiers(spark, empty):
     spans = secrets.scan(texts, model).first()["spans"]
     assert [(s["kind"], s["end"] - s["start"]) for s in spans] == [("random", len(hidden))]
     assert secrets.scan(empty, secrets.fit_on_documents(empty)).count() == 0
+
+
+def test_ratio_does_not_drift_with_the_size_of_the_sample(spark):
+    rnd = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    plain = ["user_account", "version", "release", "parse_document", "total_count", "index", "customer", "order_item"]
+    samples = [("".join(rnd.choice(letters) for _ in range(24)), 1) for _ in range(500)]
+    samples += [("_".join(rnd.choice(plain) for _ in range(3)) + str(rnd.randint(1, 99)), 0) for _ in range(2000)]
+    small = spark.createDataFrame(samples, "text string, secret int")
+    small, large = (small.crossJoin(spark.range(n)).select("text", "secret") for n in (4, 100))
+    runs = ["".join(rnd.choice(letters) for _ in range(16)) for _ in range(200)]
+    models = [secrets.fit(small), secrets.fit(large)]
+    means = [sum(m.score(r) for r in runs) / len(runs) for m in models]
+    assert abs(means[0] - means[1]) < 0.2
+    assert all(sum(m.score(r) >= secrets.MIN_RATIO for r in runs) >= 196 for m in models)
