@@ -1,10 +1,11 @@
 """Secret scan: fixed patterns, and character models of random strings and identifiers.
 
 Fixed patterns give the base spans. Beside them, every run of letters, digits and
-``+/_=-`` of ``MIN_RUN`` characters or more that no base span touches and that holds a
-letter and a digit is judged by two first-order Markov models of its characters, one of
-random strings and one of ordinary identifiers: it is a secret if the log-likelihood
-ratio per character is at least ``MIN_RATIO``.
+``+/_=-`` of ``MIN_RUN`` characters or more is judged by two first-order Markov models of
+its characters, one of random strings and one of ordinary identifiers: it is a secret if
+the log-likelihood ratio per character is at least ``MIN_RATIO``. Of a run that base spans
+touch, each part outside them is judged, of any length; its whole ratio must also reach
+what the shortest run needs, since few characters tell little.
 
 The models are trained from labelled samples: rows (text, secret). Their size is fixed
 (``SYMBOLS`` squared), whatever the number of samples.
@@ -70,15 +71,23 @@ def secret_values(text: str) -> list[str]:
     return [ASSIGN.match(text, a)[2] if k == 0 else text[a:b] for a, k, b in base_spans(text)]
 
 
-def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs with a letter and a digit that no base span touches."""
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, end, start of run, end of run) of what base spans leave of each run."""
     out = []
+    first = 0
     for m in RUN.finditer(text):
-        run = m[0]
-        if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
-            continue
-        if not any(a < m.end() and m.start() < b for a, _, b in taken):
-            out.append((m.start(), m.end()))
+        # Spans are sorted by start and may nest: the first that can matter ends behind the run's start.
+        while first < len(taken) and taken[first][2] <= m.start():
+            first += 1
+        at = m.start()
+        for a, _, b in taken[first:]:
+            if a >= m.end():
+                break
+            if a > at:
+                out.append((at, a, m.start(), m.end()))
+            at = max(at, b)
+        if at < m.end():
+            out.append((at, m.end(), m.start(), m.end()))
     return out
 
 
@@ -96,6 +105,10 @@ class RandomnessModel:
         """Log-likelihood ratio per character: positive is like a random string."""
         return float(self.ratio[_pairs(run)].sum() / (len(run) + 1))
 
+    def score_part(self, run: str, start: int, stop: int) -> float:
+        """The same of a part of a run, with the pairs that join it to the rest."""
+        return float(self.ratio[_pairs(run)[start : stop + 1]].sum() / (stop - start + 1))
+
 
 def fit(samples: DataFrame, text_col: str = "text", secret_col: str = "secret") -> RandomnessModel:
     """Count character pairs of all labelled samples and compare the two models."""
@@ -198,9 +211,9 @@ def scan(
                 text = item.as_py() or ""
                 base = base_spans(text)
                 rows = [(a, k, b, None) for a, k, b in base]
-                for a, b in candidates(text, base):
-                    ratio = judge.score(text[a:b])
-                    if ratio >= min_ratio:
+                for a, b, lo, hi in candidates(text, base):
+                    ratio = judge.score_part(text[lo:hi], a - lo, b - lo)
+                    if ratio >= min_ratio and ratio * (b - a + 1) >= min_ratio * (MIN_RUN + 1):
                         rows.append((a, 3, b, ratio))
                 rows.sort(key=lambda r: r[:3])
                 spans.append([{"start": a, "kind": KINDS[k], "end": b, "ratio": r} for a, k, b, r in rows])

@@ -209,3 +209,22 @@ def test_ratio_does_not_drift_with_the_size_of_the_sample(spark):
     means = [sum(m.score(r) for r in runs) / len(runs) for m in models]
     assert abs(means[0] - means[1]) < 0.2
     assert all(sum(m.score(r) >= secrets.MIN_RATIO for r in runs) >= 196 for m in models)
+
+
+def test_letters_alone_and_the_rest_of_touched_runs(spark):
+    rnd = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    plain = ["user_account", "version", "release", "parse_document", "total_count", "index", "customer", "order_item"]
+    name = lambda: "_".join(rnd.choice(plain) for _ in range(3)) + str(rnd.randint(1, 99))
+    random_one = lambda n, more="": "".join(rnd.choice(letters + more) for _ in range(n))
+    samples = [(random_one(24, "0123456789"), 1) for _ in range(500)] + [(name(), 0) for _ in range(2000)]
+    model = secrets.fit(spark.createDataFrame(samples, "text string, secret int"))
+    whole, left, right = random_one(30), random_one(11) + "Z", "Q" + random_one(12)
+    hexed = "0123456789abcdef" * 2
+    texts = [whole, f"é {left}{hexed}{right} end", f"version_{hexed} x", f"{hexed}_{name()}", hexed, f"{left}{hexed}{right}{hexed}{left}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in secrets.scan(docs, model).collect()}
+    assert found[0] == [(0, "random", 30)]
+    assert found[1] == [(2, "random", 14), (14, "hex", 46), (46, "random", 59)]
+    assert found[2] == [(8, "hex", 40)] and found[3] == [(0, "hex", 32)] and found[4] == [(0, "hex", 32)]
+    assert found[5] == [(0, "random", 12), (12, "hex", 44), (44, "random", 57), (57, "hex", 89), (89, "random", 101)]
