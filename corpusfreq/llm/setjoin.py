@@ -442,9 +442,11 @@ def linked_components(
 
     pairs = stored(_hub_pairs(lists, percent), "pairs")
     links = [light_links(docs, n, percent, bound, id_col, text_col)]
-    # Rows of one id are one document, whatever their texts.
-    twice = signed.where("size > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("node").alias("u"), F.max("node").alias("v"))
-    links.append(twice.where("u <> v").select("u", "v"))
+    # Rows of one id are one document, whatever their texts: all are linked to the least.
+    sets = signed.where("size > 0 AND id IS NOT NULL").select("id", "node")
+    twice = sets.groupBy(F.col("id").alias("i")).agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last")
+    same = sets.join(twice, F.col("id") == F.col("i")).where("u <> node")
+    links.append(same.select("u", F.col("node").alias("v")).distinct())
 
     def sets_of(some: DataFrame) -> DataFrame:
         nodes = some.select(F.col("u").alias("w")).unionByName(some.select(F.col("v").alias("w"))).distinct()

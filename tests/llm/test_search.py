@@ -196,3 +196,12 @@ def test_top_k_of_few_or_large(spark):
     got = [tuple(r) for r in topk.top_k(few, few.where("vec_id = 0")).orderBy("rank").collect()]
     s = lambda a, b: sum(math.floor(1024 * x) * math.floor(1024 * y) for x, y in zip(a, b))
     assert got == [(0, 1, 1, s([3e6, 1.0], [2e6, 1.0])), (0, 2, 2, s([3e6, 1.0], [-1e6, 3.0]))]
+
+
+def test_all_texts_of_one_id_are_one_document(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(30)) for c in "abcde"]
+    rows = [(50, t) for t in texts] + [(10 + i, t + " more") for i, t in enumerate(texts)] + [(99, "something else entirely here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["id"], r["component"]) for r in setjoin.linked_components(docs).collect()}
+    assert found == {(50, 10), (99, 99), *((10 + i, 10) for i in range(5))}
+    assert sorted(r["doc_id"] for r in setjoin.keep_one_of_each(docs).collect()) == [10, 99]
