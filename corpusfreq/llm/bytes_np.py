@@ -65,29 +65,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-_BASE = 0xA0761D6478BD642F
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps)
-    return _POWERS["up"], _POWERS["down"]
-
-
-_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
-_LOWER_CODES = _CODES[LOWER]
+# Values of a byte at each of the first positions of a word.
+POSITIONS = 256
+_PLACED = mix(np.arange(1, 256 * POSITIONS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)).reshape(POSITIONS, 256)
+_PLACED = np.ascontiguousarray(_PLACED[:, LOWER]).reshape(-1)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, A-Z taken as a-z; equal words hash alike everywhere."""
-    up, down = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOWER_CODES[data] * up[: len(data)], out=sums[1:])
-    h = (sums[stops] - sums[starts]) * down[starts]
-    return mix(h + (stops - starts).astype(np.uint64))
+    """64-bit hash of each word, A-Z taken as a-z; equal words hash alike everywhere.
+
+    The hash is the mixed sum of one pseudo-random value for every byte and its position, so
+    no pattern of repetitions makes different words collide: any two differ but for a chance
+    of about 2**-64. Words do not overlap, rise and are not empty.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = stops - starts
+    first = np.cumsum(sizes) - sizes
+    total = int(first[-1] + sizes[-1])
+    small = np.int32 if len(data) < 1 << 30 else np.int64
+    count = np.arange(total, dtype=small)
+    place = count - np.repeat(first.astype(small), sizes)
+    count += np.repeat((starts - first).astype(small), sizes)  # now each byte's place in the data
+    longest = int(sizes.max())
+    at = (place & small(POSITIONS - 1)) if longest > POSITIONS else place.copy()
+    at <<= 8
+    at += data[count]
+    values = _PLACED[at]
+    if longest > POSITIONS:
+        far = np.flatnonzero(place >= POSITIONS)
+        values[far] = mix(values[far] ^ mix((place[far] // POSITIONS).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    return mix(np.add.reduceat(values, first) + sizes.astype(np.uint64))

@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusfreq.llm.workers import package_path
+from corpusfreq.llm.workers import begin, held, package_path
 
 MARK = "▁"
 # Words and tested pairs kept by a worker. A full memo of words becomes the old one.
@@ -191,14 +191,9 @@ class PieceEncoder:
         return self.model.decode(ids) if ids else ""
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(model_file: str) -> PieceEncoder:
     """The worker's encoder; workers are reused, so its tables are built once."""
-    if model_file not in _ENCODERS:
-        _ENCODERS[model_file] = PieceEncoder(model_file)
-    return _ENCODERS[model_file]
+    return held("pieces", model_file, lambda: PieceEncoder(model_file))
 
 
 def _map(docs: DataFrame, id_col: str, text_col: str, kind: list, columns: str, row) -> DataFrame:
@@ -207,6 +202,7 @@ def _map(docs: DataFrame, id_col: str, text_col: str, kind: list, columns: str,
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {columns}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("pieces")
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for lo in range(0, batch.num_rows, 256):

@@ -49,7 +49,7 @@ from corpusfreq.llm.bytes_np import chunks, mix, word_hashes, word_spans
 from corpusfreq.llm.components import components
 from corpusfreq.llm.sieve import split, without
 from corpusfreq.llm.store import stored
-from corpusfreq.llm.workers import package_path
+from corpusfreq.llm.workers import begin, package_path
 
 MAX_FREQUENT = 200_000
 FREQUENT = 4
@@ -124,6 +124,7 @@ def signatures(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str =
     """(id, size, node) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("setjoin")
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 owner, element = word_ngrams(data, offsets, n)
@@ -172,6 +173,7 @@ def element_frequencies(docs: DataFrame, n: int, text_col: str) -> Frequencies:
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("setjoin")
         for batch in batches:
             parts = [word_ngrams(data, offsets, n)[1] for _, _, data, offsets in chunks(batch.column(0))]
             coarse = np.sort(_coarse(np.concatenate(parts))) if parts else np.zeros(0, np.uint64)
@@ -184,25 +186,31 @@ def element_frequencies(docs: DataFrame, n: int, text_col: str) -> Frequencies:
 
     bits = BITMAP_BITS - COUNT_BUCKETS.bit_length() + 1  # of one bucket
 
-    def count(key, frame):
-        import pandas as pd
-
-        values = np.sort(np.concatenate([np.frombuffer(b, np.uint32) for b in frame["packed"]]))
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        parts = [np.frombuffer(b.as_buffer(), np.uint32) for b in table.column("packed")]
+        values = np.sort(np.concatenate(parts))
         edges = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, int)
         found, each = values[edges[:-1]], np.diff(edges).astype(np.int64)
         marks = np.zeros(1 << bits, bool)
         marks[found[each > 1] >> np.uint32(32 - bits)] = True
         often = each >= FREQUENT
-        codes = (int(key[0]) << 32) + found[often].astype(np.int64)
+        codes = (bucket << 32) + found[often].astype(np.int64)
         # One more row carries the bitmap, the number of distinct codes and of all.
         bitmap = np.packbits(marks, bitorder="little").tobytes()
-        first = pd.DataFrame({"code": [-1 - int(key[0])], "n": [len(found)], "size": [len(values)], "marks": [bitmap]})
-        return pd.concat([first, pd.DataFrame({"code": codes, "n": each[often], "size": 0, "marks": None})])
+        return pa.table(
+            {
+                "code": pa.array(np.concatenate([[-1 - bucket], codes]), pa.int64()),
+                "n": pa.array(np.concatenate([[len(found)], each[often]]), pa.int64()),
+                "size": pa.array(np.concatenate([[len(values)], np.zeros(len(codes), np.int64)]), pa.int64()),
+                "marks": pa.array([bitmap] + [None] * len(codes), pa.binary()),
+            }
+        )
 
     package_path(docs.sparkSession)
     packed = docs.select(F.col(text_col).alias("t")).mapInArrow(pack, "bucket int, packed binary")
     schema = "code bigint, n bigint, size bigint, marks binary"
-    counted = stored(packed.groupBy("bucket").applyInPandas(count, schema), "frequencies")
+    counted = stored(packed.groupBy("bucket").applyInArrow(count, schema), "frequencies")
     bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     elements, distinct = 0, 0
     for row in counted.where("code < 0").toLocalIterator():  # COUNT_BUCKETS rows
@@ -243,6 +251,7 @@ def list_entries(
     shared = docs.sparkSession.sparkContext.broadcast(frequencies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("setjoin")
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 owner, element = word_ngrams(data, offsets, n)
@@ -285,6 +294,7 @@ def light_links(docs: DataFrame, n: int, percent: int, bound: int, id_col: str,
                 yield (total - sum(gone) + pair) & mask, s == t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("setjoin")
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 owner, element = word_ngrams(data, offsets, n)
@@ -324,6 +334,7 @@ def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text
     """(node, packed): the sorted sets of the wanted (id, node) documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("setjoin")
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 owner, element = word_ngrams(data, offsets, n)
@@ -349,6 +360,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(left, F.col("u") == F.col("nu")).join(right, F.col("v") == F.col("nv")).select("u", "v", "su", "sv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("setjoin")
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):

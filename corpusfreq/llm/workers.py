@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +32,32 @@ def package_path(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+
+
+T = TypeVar("T")
+_HELD: dict[tuple[str, str], object] = {}
+
+
+def begin(owner: str) -> None:
+    """Called where a task of an operator begins: what other operators left in this worker goes.
+
+    Workers outlive their tasks, so without this a chain of operators holds the tables of
+    all of them at once.
+    """
+    others = [key for key in _HELD if key[0] != owner]
+    for key in others:
+        del _HELD[key]
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # only some systems can hand memory back
+            pass
+
+
+def held(owner: str, name: str, make: Callable[[], T]) -> T:
+    """An object of this worker, made once and kept until another operator's task begins."""
+    key = (owner, name)
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]

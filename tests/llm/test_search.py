@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from corpusfreq.llm import classlm, components, setjoin, topk
+from corpusfreq.llm.bytes_np import word_hashes, word_spans
 from corpusfreq.llm.folds import fold
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -205,3 +206,19 @@ def test_all_texts_of_one_id_are_one_document(spark):
     found = {(r["id"], r["component"]) for r in setjoin.linked_components(docs).collect()}
     assert found == {(50, 10), (99, 99), *((10 + i, 10) for i in range(5))}
     assert sorted(r["doc_id"] for r in setjoin.keep_one_of_each(docs).collect()) == [10, 99]
+
+
+def test_patterns_of_repetition_do_not_make_hashes_collide():
+    swap = str.maketrans("ab", "ba")
+    word, words = "a", []
+    while len(word) < 4096:
+        word += word.translate(swap)
+        if len(word) >= 512:
+            words += [word, word.translate(swap)]
+    words += ["x" * n for n in (255, 256, 257, 512, 513)]
+    data = np.frombuffer(" ".join([*words, words[0].upper()]).encode(), np.uint8)
+    starts, stops, _ = word_spans(data, np.array([0, len(data)]))
+    hashes = word_hashes(data, starts, stops)
+    assert len(set(hashes[:-1].tolist())) == len(words)
+    assert hashes[-1] == hashes[0]
+    assert len(word_hashes(data, starts[:0], stops[:0])) == 0
