@@ -10,6 +10,11 @@ def model_file(name: str = "piece_bpe_32k.model") -> str:
     named = os.environ.get("PIECE_MODEL")
     if named:
         return named
+    return public_file(name)
+
+
+def public_file(name: str) -> str:
+    """A file of the installed public tokenizers."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
