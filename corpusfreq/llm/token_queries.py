@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corpusfreq.llm import align, token_counts
+from corpusfreq.llm import align, merkle, token_counts
 from corpusfreq.llm.registry import query, table
 from corpusfreq.llm.store import shared_dir
 from corpusfreq.llm.tokenizers import public_file
@@ -27,3 +27,10 @@ def op13(spark, sf_dir):
 @query("op12_tokenizer_alignment")
 def op12(spark, sf_dir):
     return align.alignment(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"), public_file("piece_bpe_32k.model"))
+
+
+@query("op11_merkle_manifest")
+def op11(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    manifest = merkle.build(merkle.rows_of(table(spark, sf_dir, "documents"), tampered))
+    return merkle.proofs(manifest).withColumnRenamed("id", "doc_id")
