@@ -5,12 +5,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusfreq.operators import bayes as nb
+from corpusfreq.operators.tokens import corpus_vectors
 from corpusfreq.session import new_shared_path
 from corpusfreq.sources.corpus import stop_words
+from corpusfreq.streaming import batches as ba
+from corpusfreq.streaming import chunks as ch
 from corpusfreq.streaming import streams as sr
+from corpusfreq.streaming import windows as wi
 from suite.count_queries import NEAR, grams_sql, rounded_stat, stat_sql
+from suite.model_queries import LABELLED, SCORED, rounded
 from suite.registry import BENCH_WORDS, FREQS, TOKENS, documents, query, table
-from suite.text_queries import TARGET
+from suite.text_queries import TARGET, VOCAB_SQL, vector_words
 
 
 def arriving(spark, sf):
@@ -102,15 +108,13 @@ def m4(spark, sf):
     f"""
     WITH {TOKENS}
     SELECT doc_id, norm, line, start, "end", lang FROM tokens JOIN documents USING (doc_id)
-    WHERE norm = '{TARGET}' AND doc_id IN (SELECT doc_id FROM labels)
+    WHERE norm = '{TARGET}'
     """,
 )
 def m4_docs(spark, sf):
     """Arriving postings joined with a static document table."""
-    labelled = table(spark, sf, "labels").select("doc_id")
-    known = documents(spark, sf).join(labelled, "doc_id", "left_semi")
     tokens = sr.stream_tokens(arriving_lines(spark, sf))
-    return appended(spark, sr.stream_docs_for_token(tokens, known, TARGET, columns=["lang"]))
+    return appended(spark, sr.stream_docs_for_token(tokens, documents(spark, sf), TARGET, columns=["lang"]))
 
 
 @query("m5_stream_ngrams", f"WITH {grams_sql(2)} SELECT doc_id, w1, w2 FROM ngrams")
@@ -121,3 +125,151 @@ def m5(spark, sf):
 @query("f3_ngrams_stream", f"WITH {grams_sql(3)} SELECT doc_id, w1, w2, w3 FROM ngrams")
 def f3(spark, sf):
     return appended(spark, sr.stream_ngrams(arriving(spark, sf), 3))
+
+
+# --- state: chunks, windows, vocabularies, classifiers -----------------------
+
+# Characters of a chunk, and files that its chunks are dealt to by their number, so that
+# chunks of a document arrive out of order and in several micro-batches.
+CHUNK_CHARS, CHUNK_FILES = 400, 4
+
+
+def arriving_chunks(spark, sf):
+    text = F.coalesce(F.col("text"), F.lit(""))
+    count = F.greatest(F.ceil(F.length(text) / F.lit(CHUNK_CHARS)), F.lit(1))
+    cut = lambda k: F.struct(
+        k.alias("chunk"), F.substring(text, k * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS)).alias("text"), (k == count - 1).alias("last")
+    )
+    chunks = documents(spark, sf).select("doc_id", F.inline(F.transform(F.sequence(F.lit(0).cast("long"), count - 1), cut)))
+    path = new_shared_path(spark, "chunks")
+    chunks.repartition(CHUNK_FILES, F.col("chunk") % CHUNK_FILES).write.parquet(path)
+    return spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query("f3_ngrams_of_chunks", f"WITH {grams_sql(3)} SELECT doc_id, w1, w2, w3 FROM ngrams")
+def f3_chunks(spark, sf):
+    """N-grams that go on across the chunks of a document."""
+    return appended(spark, ch.chunk_ngrams(arriving_chunks(spark, sf), 3))
+
+
+@query("m5_ngrams_of_chunks", f"WITH {grams_sql(2)} SELECT doc_id, w1, w2 FROM ngrams")
+def m5_chunks(spark, sf):
+    return appended(spark, ch.chunk_ngrams(arriving_chunks(spark, sf), 2))
+
+
+@query(
+    "b7_tokenize_chunks",
+    f'WITH {TOKENS} SELECT doc_id, ord::BIGINT AS ord, word AS norm, line, start, "end" FROM tokens',
+)
+def b7_chunks(spark, sf):
+    """Tokens with lines and offsets counted through the chunks of a document."""
+    return appended(spark, ch.chunk_tokens(arriving_chunks(spark, sf), lower=False))
+
+
+@query(
+    "m1_tokens_of_chunks",
+    f"""
+    WITH {TOKENS}, {BENCH_WORDS}
+    SELECT doc_id, ord::BIGINT AS ord, norm, line, start, "end" FROM tokens WHERE norm NOT IN (SELECT norm FROM bench)
+    """,
+)
+def m1_chunks(spark, sf):
+    stop = stop_words(table(spark, sf, "benchmark"), "text")
+    return appended(spark, ch.chunk_tokens(arriving_chunks(spark, sf), stop=stop))
+
+
+def arriving_events(spark, sf):
+    schema = table(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def closed(length: str, late: str) -> str:
+    """Windows of events that the watermark has passed at the end of the input."""
+    return f"""
+    timed AS (SELECT *, time_bucket(INTERVAL '{length}', ts, TIMESTAMP '1970-01-01') AS opens FROM events),
+    done AS (SELECT * FROM timed
+             WHERE opens + INTERVAL '{length}' <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL '{late}' FROM events))
+    """
+
+
+@query(
+    "m2_windowed_frequencies",
+    f"""
+    WITH {closed("6 hours", "1 hour")}
+    SELECT strftime(opens, '%Y-%m-%d %H') AS "window", event_type AS item, count(*) AS count FROM done GROUP BY 1, 2
+    """,
+)
+def m2_windows(spark, sf):
+    """Event types in windows of six hours; the state holds only open windows."""
+    counts = wi.windowed_frequencies(arriving_events(spark, sf), "ts", "6 hours", "1 hour", "event_type")
+    kept = appended(spark, counts)
+    return kept.select(F.date_format("start", "yyyy-MM-dd HH").alias("window"), "item", "count")
+
+
+@query(
+    "m3_windowed_summary",
+    f"""
+    WITH {closed("1 day", "1 hour")}
+    SELECT strftime(opens, '%Y-%m-%d') AS day, event_type, count(*) AS n, {stat_sql("avg(value)")} AS mean,
+           {stat_sql("var_samp(value)")} AS variance FROM done GROUP BY 1, 2
+    """,
+)
+def m3_windows(spark, sf):
+    stats = wi.windowed_summary_by(arriving_events(spark, sf), "value", "ts", "1 day", "1 hour", event_type="event_type")
+    kept = appended(spark, stats)
+    return kept.select(
+        F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", rounded_stat("mean"), rounded_stat("variance")
+    )
+
+
+@query(
+    "d5_stream_vocab",
+    f"""
+    WITH {VOCAB_SQL}, {BENCH_WORDS},
+    news AS (SELECT norm, item_id, ord FROM bench WHERE norm NOT IN (SELECT item FROM vocab)
+             QUALIFY row_number() OVER (PARTITION BY norm ORDER BY item_id, ord) = 1)
+    SELECT item, ix FROM vocab UNION ALL
+    SELECT norm, (SELECT max(ix) FROM vocab) + row_number() OVER (ORDER BY item_id, ord) FROM news
+    """,
+)
+def d5_stream(spark, sf):
+    """The documents arrive first, the benchmark's texts in a later run of the same stream."""
+    arrived, vocab, progress = (new_shared_path(spark, x) for x in ("texts", "vocab", "progress"))
+    parts = [documents(spark, sf).select("doc_id", "text"), table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")]
+    for part in parts:
+        part.write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(part.schema).parquet(arrived)
+        ba.vocab_from(vector_words(corpus_vectors(stream)), vocab, progress).awaitTermination()
+    return ba.vocabulary(spark, vocab).select("item", "ix")
+
+
+def trained_stream(spark, sf):
+    """Where the counts of the arriving labelled documents are kept."""
+    marks = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("q"), "quality").alias("label"))
+    marked = arriving(spark, sf).join(marks, F.col("doc_id") == F.col("id"))
+    path = new_shared_path(spark, "model")
+    ba.train_from(nb.to_training(marked), path, new_shared_path(spark, "progress"), merge_every=1).awaitTermination()
+    return path
+
+
+@query(
+    "l2_stream_train",
+    f"""
+    WITH {LABELLED}
+    SELECT label, feature, true AS value, count(*) AS count FROM feats GROUP BY label, feature
+    """,
+)
+def l2_stream(spark, sf):
+    return ba.model(spark, trained_stream(spark, sf)).features
+
+
+@query(
+    "l4_stream_classify",
+    SCORED + "SELECT doc_id, label, round(score, 6) AS score, round(p, 6) AS p FROM post",
+)
+def l4_stream(spark, sf):
+    """Arriving documents scored by the model that a stream has trained."""
+    out = new_shared_path(spark, "scores")
+    ba.classify_from(arriving(spark, sf), trained_stream(spark, sf), out, new_shared_path(spark, "progress")).awaitTermination()
+    scored = nb.classify_proba(ba.scored(spark, out))
+    return scored.select("doc_id", "label", rounded("score", 6), rounded("p", 6))

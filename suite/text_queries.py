@@ -373,7 +373,7 @@ VOCAB_SQL = (
     + """,
 firsts AS (SELECT norm, doc_id, ord FROM words
            QUALIFY row_number() OVER (PARTITION BY norm ORDER BY doc_id, ord) = 1),
-vocab AS (SELECT norm AS item, row_number() OVER (ORDER BY doc_id, ord) - 1 AS ix FROM firsts)
+vocab AS MATERIALIZED (SELECT norm AS item, row_number() OVER (ORDER BY doc_id, ord) - 1 AS ix FROM firsts)
 """
 )
 
@@ -478,13 +478,12 @@ def d7(spark, sf):
     WITH {WORDS}
     SELECT w.ord::INT AS ord, w.doc_id, d.lang, d.n_chars
     FROM words w JOIN documents d ON w.doc_id = d.doc_id
-    WHERE w.norm = '{TARGET}' AND d.doc_id IN (SELECT doc_id FROM labels)
+    WHERE w.norm = '{TARGET}'
     """,
 )
 def d8(spark, sf):
-    """Postings from a stored index; documents without labels are unknown and dropped."""
+    """Postings from a stored index, with their documents."""
     docs = documents(spark, sf)
     path = new_shared_path(spark, "index")
     ix.write_index(ix.index_documents(docs), path)
-    known = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    return ix.docs_for_token(spark.read.parquet(path), known, TARGET, columns=["lang", "n_chars"])
+    return ix.docs_for_token(spark.read.parquet(path), docs, TARGET, columns=["lang", "n_chars"])
