@@ -2,18 +2,21 @@
 
 N-gram tables have columns ``w1 … wn, count``, item tables ``item, count``. A word
 cannot start more distinct n-grams than it has occurrences, so its count bounds
-the fan-out of every join below.
+the fan-out of every join below. The two tables are read several times, for the totals and
+for either part of a lookup, so the matrices store them first: the corpus is tokenised once
+for each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusfreq.functions import scores
 from corpusfreq.plans.skew import Lookup, lookup_join, lookup_joins
+from corpusfreq.session import stored
 
 
 def _with_totals(rows: DataFrame, items: DataFrame, ngrams: DataFrame) -> DataFrame:
@@ -51,6 +54,7 @@ def t_test_matrix(
 
     Positive when the n-gram is more frequent than expected; ``compat`` flips it.
     """
+    items, ngrams = stored(items, "items"), stored(ngrams, "ngrams")
     counted = _with_totals(with_item_counts(ngrams, items, words), items, ngrams)
     return counted.select(*words, "count", _t_score(words, compat).alias("t"))
 
@@ -63,7 +67,8 @@ def t_test_ngram(
     compat: bool = False,
 ) -> DataFrame:
     """The same for given n-grams; an n-gram never observed has no t score."""
-    found = lookup_join(targets, ngrams, list(words), None, {"count": "count"})
+    items, ngrams = stored(items, "items"), stored(ngrams, "ngrams")
+    found = stored(lookup_join(targets, ngrams, list(words), None, {"count": "count"}), "targets")
     found = found.withColumn("count", F.coalesce("count", F.lit(0)))
     counted = with_item_counts(found, items, words, bounded=False)
     counted = _with_totals(counted, items, ngrams)
@@ -115,6 +120,46 @@ def t_differences(
     return pairs.withColumn("t", scores.t_difference(F.col("n1"), F.col("n2")))
 
 
+def t_difference_table(
+    bigrams: DataFrame,
+    wanted: DataFrame,
+    k: int | None = None,
+    min_count: int = 2,
+    blocks: int = 64,
+) -> DataFrame:
+    """``target, rival, v, n_rival, n_v, t``: rows of the t-difference matrices of many targets.
+
+    ``wanted`` has (target, rival), a table of any size. Every neighbour v of a target is
+    compared with each of its rivals that is a neighbour too: t is positive if the target
+    goes more with v. With ``k`` only the k neighbours of greatest t stay for each target and
+    rival, ties to the smaller word.
+
+    The neighbours of a frequent target are dealt to ``blocks`` blocks, to which its few
+    rivals are copied, so no task holds them all; each block keeps its own k first. The
+    neighbours are never paired with each other.
+    """
+    asked = stored(wanted.select("target", "rival").distinct(), "wanted")
+    targets = asked.select(F.col("target").alias("__t")).distinct()
+    sides = F.array(F.struct(F.col("w1").alias("w"), F.col("w2").alias("v")), F.struct(F.col("w2").alias("w"), F.col("w1").alias("v")))
+    # A word next to itself is one neighbour, not two.
+    sides = F.when(F.col("w1") == F.col("w2"), F.slice(sides, 1, 1)).otherwise(sides)
+    both = bigrams.where(F.col("count") >= min_count).select("count", F.explode(sides).alias("s")).select("s.w", "s.v", "count")
+    near = both.join(targets, F.col("w") == F.col("__t"), "left_semi").groupBy("w", "v").agg(F.sum("count").alias("n"))
+    near = stored(near.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks))), "neighbours")
+    rivals = asked.join(near, (F.col("target") == F.col("w")) & (F.col("rival") == F.col("v"))).select(
+        "target", "rival", F.col("n").alias("n_rival"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block")
+    )
+    met = near.join(rivals, (F.col("w") == F.col("target")) & (F.col("block") == F.col("__block"))).where("v <> rival")
+    scored = met.select(
+        "target", "rival", "v", "n_rival", F.col("n").alias("n_v"), scores.t_difference(F.col("n"), F.col("n_rival")).alias("t"), "block"
+    )
+    if k is None:
+        return scored.drop("block")
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("t"), "v"))
+    first = scored.withColumn("__r", best("target", "rival", "block")).where(F.col("__r") <= k)
+    return first.withColumn("__r", best("target", "rival")).where(F.col("__r") <= k).drop("__r", "block")
+
+
 def likelihood_matrix(items: DataFrame, bigrams: DataFrame, compat: bool = False) -> DataFrame:
     """Log-likelihood ratio per bigram with the probabilities of its parts.
 
@@ -122,6 +167,7 @@ def likelihood_matrix(items: DataFrame, bigrams: DataFrame, compat: bool = False
     hypotheses. Rows without a score are dropped; in log space every score that
     exists is finite.
     """
+    items, bigrams = stored(items, "items"), stored(bigrams, "bigrams")
     counted = _with_totals(with_item_counts(bigrams, items, ("w1", "w2")), items, bigrams)
     n = F.col("__n")
     c1, c2, c12 = F.col("c_w1"), F.col("c_w2"), F.col("count")
@@ -146,6 +192,7 @@ def likelihood_matrix(items: DataFrame, bigrams: DataFrame, compat: bool = False
 
 def pmi_matrix(items: DataFrame, bigrams: DataFrame, compat: bool = False) -> DataFrame:
     """Pointwise mutual information per bigram with its marginals and joint."""
+    items, bigrams = stored(items, "items"), stored(bigrams, "bigrams")
     counted = _with_totals(with_item_counts(bigrams, items, ("w1", "w2")), items, bigrams)
     n = F.col("__n")
     p1, p2, p12 = F.col("c_w1") / n, F.col("c_w2") / n, F.col("count") / F.col("__m")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusfreq.functions.arrays import let, running_sums
@@ -94,3 +94,32 @@ def measured_contexts(
 
     sums = running_sums(F.transform(words, lambda w: F.length(w) + 1))
     return docs.select(*keep, F.inline(let(sums, contexts)))
+
+
+def measured_contexts_of_rows(
+    tokens: DataFrame,
+    size: int,
+    doc: str = "doc_id",
+    ord_col: str = "ord",
+    item: str = "norm",
+    trim_after: bool = False,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The same on a token table with dense ordinals, for sequences of any length.
+
+    Inside a block the measures are summed up, and the items that fit stand in a range of
+    these sums. An item measures at least one, so a context never reaches farther back than
+    ``size + 1`` items, which is the halo of a block.
+    """
+    if size < 0:
+        raise ValueError("size must not be negative")
+    blocks = with_halo(tokens.select(doc, ord_col, item), ord_col, size + 2, 0, block_rows)
+    window = block_window(doc, ord_col)
+    measure = F.coalesce(F.length(item), F.lit(0)) + 1
+    summed = blocks.withColumn("__c", F.sum(measure).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    near = Window.partitionBy(doc, "__block").orderBy("__c").rangeBetween(-size, 0)
+    held = summed.withColumn("context", F.collect_list(item).over(near))
+    if not trim_after:
+        earlier = F.coalesce(F.lag("context").over(window), F.array().cast("array<string>"))
+        held = held.withColumn("context", F.concat(earlier, F.array(F.col(item))))
+    return owned(held.select(doc, ord_col, "context", "__block", "__own"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusfreq.functions.arrays import let
@@ -92,6 +92,52 @@ def merge_indexes(*indexes: DataFrame) -> DataFrame:
     return out
 
 
+def merge_posting_blocks(*indexes: DataFrame, key: str = "key", positions: str = "positions") -> DataFrame:
+    """Merge block indexes as ``posting_blocks`` makes them: ``key, block, positions``.
+
+    The first positions of all blocks are fences. Between two fences of a key every index
+    has at most one block that began earlier and the blocks that begin there, so a merged
+    block sorts few short slices; the postings are not ranked again. Only the blocks'
+    heads, one row for each, are put in order by key. Blocks are numbered from 0 within
+    their key and hold at most one block's postings of every index, and more only where a
+    position is repeated through whole blocks.
+    """
+    if len({len(index.columns) for index in indexes}) != 1:
+        raise ValueError("the indexes have different columns")
+    blocks = [
+        index.select(F.col(key), F.lit(i).alias("__src"), F.col("block").alias("__block"), F.col(positions))
+        for i, index in enumerate(indexes)
+    ]
+    every = blocks[0]
+    for more in blocks[1:]:
+        every = every.unionByName(more)
+    first = F.get(F.col(positions), F.lit(0))
+    heads = every.where(F.size(positions) > 0).select(key, "__src", "__block", first.alias("__lo"))
+    began = [F.max(F.when(F.col("__src") == i, F.col("__block"))).alias(f"__b{i}") for i in range(len(indexes))]
+    fences = heads.groupBy(key, "__lo").agg(*began)
+    order = Window.partitionBy(key).orderBy("__lo")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    spans = fences.select(
+        F.col(key).alias("__key"), "__lo", F.lead("__lo").over(order).alias("__hi"),
+        (F.row_number().over(order) - 1).cast("long").alias("block"),
+        F.array_compact(F.array(*[_entry(i, F.last(f"__b{i}", ignorenulls=True).over(before)) for i in range(len(indexes))])).alias("__open"),
+    )
+    # Blocks that reach into a span from before it, and those that begin with it.
+    reach = spans.select("__key", "__lo", "__hi", "block", F.inline("__open"))
+    begin = heads.join(spans.select("__key", F.col("__lo").alias("__at"), "__hi", F.col("block")), (F.col(key) == F.col("__key")) & (F.col("__lo") == F.col("__at")))
+    links = reach.unionByName(begin.select("__key", "__lo", "__hi", "block", F.col("__src").alias("src"), F.col("__block").alias("from")))
+    met = every.join(
+        links, (F.col(key) == F.col("__key")) & (F.col("__src") == F.col("src")) & (F.col("__block") == F.col("from"))
+    )
+    inside = lambda x: (x >= F.col("__lo")) & (F.col("__hi").isNull() | (x < F.col("__hi")))
+    slices = met.select(key, "block", F.filter(positions, inside).alias("__slice")).where(F.size("__slice") > 0)
+    return slices.groupBy(key, "block").agg(F.array_sort(F.flatten(F.collect_list("__slice"))).alias(positions))
+
+
+def _entry(source: int, block: Column) -> Column:
+    return F.when(block.isNotNull(), F.struct(F.lit(source).alias("src"), block.alias("from")))
+
+
 def docs_for_token(
     index: DataFrame, docs: DataFrame, target: str, doc: str = "doc_id", columns: Sequence[str] = ()
 ) -> DataFrame:

@@ -7,13 +7,14 @@ bounded table) then give every partition its starting offset.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from corpusfreq.plans.skew import lookup_join
-from corpusfreq.session import durable
+from corpusfreq.session import durable, stored
 
 # monotonically_increasing_id keeps the partition number above bit 33.
 PARTITION_SHIFT = 33
@@ -52,20 +53,42 @@ def dense_index(
 def running_total(
     df: DataFrame, order_by: Sequence[str | Column], value: str, out: str
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` over the whole table in sort order."""
-    placed = _placed(df, order_by).withColumn("__pid", _partition())
-    sums = placed.groupBy("__pid").agg(F.sum(value).alias("__s"))
+    """Inclusive running sum of ``value`` over the whole table in sort order; null adds nothing.
+
+    The sums inside a sorted partition are formed as it is written, since a window would
+    shuffle all rows once more; what is left is one offset for each partition.
+    """
+    kind = "bigint" if isinstance(df.schema[value].dataType, IntegralType) else "double"
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.withColumn("__local", F.coalesce(F.col(value).cast(kind), F.lit(0).cast(kind)))
+    ranged = rows.repartitionByRange(partitions, *order_by).sortWithinPartitions(*order_by)
+    local = ranged.mapInArrow(_running_sums, ranged.schema).withColumn("__pid", F.spark_partition_id())
+    placed = stored(local, "running")
+    # The last sum of a partition is its total, whatever the signs of its values.
+    sums = placed.groupBy("__pid").agg(F.sum(F.col(value).cast(kind)).alias("__s"))
     offsets = sums.select(
         F.col("__pid").alias("__opid"),
-        (F.sum("__s").over(Window.orderBy("__pid")) - F.col("__s")).alias("__off"),
+        F.coalesce(F.sum("__s").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast(kind)).alias("__off"),
     )
-    inside = Window.partitionBy("__pid").orderBy("__mid").rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.withColumn("__local", F.sum(value).over(inside))
-    return local.join(F.broadcast(offsets), F.col("__pid") == F.col("__opid")).select(
+    return placed.join(F.broadcast(offsets), F.col("__pid") == F.col("__opid")).select(
         *df.columns, (F.col("__off") + F.col("__local")).alias(out)
     )
 
 
+def _running_sums(batches: Iterator) -> Iterator:
+    """Replace the last column by its running sum over all batches of a partition."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    before = 0
+    for batch in batches:
+        last = batch.num_columns - 1
+        sums = pc.add(pc.cumulative_sum(batch.column(last)), pa.scalar(before, batch.column(last).type))
+        if len(sums):
+            before = sums[len(sums) - 1].as_py()
+        yield pa.RecordBatch.from_arrays([*batch.columns[:last], sums], schema=batch.schema)
+
+
 def ordinal_within(
     df: DataFrame, group: str, order_by: Sequence[str], out: str = "ord"
 ) -> DataFrame:

@@ -63,3 +63,13 @@ def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder so lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back.
+
+    Unlike ``durable`` the planner knows its size and reads single columns of it.
+    """
+    path = new_shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

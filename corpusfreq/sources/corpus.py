@@ -17,13 +17,18 @@ def load_corpus(spark: SparkSession, root: str, encoding: str = "UTF-8") -> Data
     Hidden files (leading dot) are skipped; Spark's file listing also skips names
     that start with an underscore. ``ISO-8859-1`` reads Latin-1 corpora.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    hidden = F.exists(F.split(_below(F.col("path"), root), "/"), lambda p: p.startswith("."))
-    return files.where(~hidden).select(
+    return visible_files(spark, root).select(
         F.col("path").alias("doc_id"), decode_text(F.col("content"), encoding).alias("text")
     )
 
 
+def visible_files(spark: SparkSession, root: str) -> DataFrame:
+    """``path, modificationTime, length, content`` of the files under ``root`` that are not hidden."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    hidden = F.exists(F.split(_below(F.col("path"), root), "/"), lambda p: p.startswith("."))
+    return files.where(~hidden)
+
+
 def _below(path: Column, root: str) -> Column:
     """The part of ``path`` below ``root``: hidden parents of the root do not count.
 
@@ -51,14 +56,21 @@ def base_name(path: Column) -> Column:
 def make_corpus(docs: DataFrame, order_by: str, doc: str = "doc_id") -> DataFrame:
     """Keep one row per document id: the one added last.
 
-    ``max_by`` aggregates partially before the shuffle, so an id with very many
-    versions does not gather in one task.
+    Only ids and the order are aggregated. The rows meet the last place of their id in a
+    hash join that builds on these, so no text is sorted; the versions of an id lie in
+    different tasks. Rows of equal id and order are one by one compared, the greatest stays.
     """
-    rest = [c for c in docs.columns if c != doc]
-    latest = docs.groupBy(doc).agg(
-        F.max_by(F.struct(*rest), F.col(order_by)).alias("__latest")
+    number = F.count("*").alias("n")
+    places = docs.groupBy(F.col(doc).alias("__doc"), F.col(order_by).alias("__at")).agg(number)
+    latest = places.groupBy("__doc").agg(F.max(F.struct("__at", "n")).alias("__last"))
+    latest = latest.select("__doc", F.col("__last.__at").alias("__at"), F.col("__last.n").alias("__n"))
+    found = docs.join(
+        latest.hint("shuffle_hash"), F.col(doc).eqNullSafe(F.col("__doc")) & F.col(order_by).eqNullSafe(F.col("__at"))
     )
-    return latest.select(doc, "__latest.*")
+    rest = [c for c in docs.columns if c != doc]
+    single = found.where(F.col("__n") == 1).select(doc, *rest)
+    ties = found.where(F.col("__n") > 1).groupBy(doc).agg(F.max(F.struct(*rest)).alias("__latest"))
+    return single.unionByName(ties.select(doc, "__latest.*"))
 
 
 def add_documents(
