@@ -653,6 +653,32 @@ def h3_compat(spark, sf):
     return scored.select("v1", "n1", "v2", "n2", rounded("t"))
 
 
+# The most frequent words: targets and rivals of the table form.
+FREQUENT, NEAREST = 20, 10
+TABLE_DIFFERENCES = f"""
+    WITH {BIGRAMS},
+    words_ AS (SELECT item FROM freqs ORDER BY count DESC, item LIMIT {FREQUENT}),
+    near AS (SELECT w, v, sum(count)::BIGINT AS n FROM (
+               SELECT w1 AS w, w2 AS v, count FROM bigrams WHERE count > 1
+               UNION ALL SELECT w2, w1, count FROM bigrams WHERE count > 1 AND w1 <> w2) GROUP BY w, v),
+    pairs_ AS (SELECT a.item AS target, b.item AS rival FROM words_ a JOIN words_ b ON a.item <> b.item),
+    scored AS (
+      SELECT target, rival, b.v, a.n AS n_rival, b.n AS n_v, (b.n - a.n) / sqrt(b.n + a.n) AS t
+      FROM pairs_ JOIN near a ON a.w = target AND a.v = rival JOIN near b ON b.w = target AND b.v <> rival)
+    SELECT target, rival, v, n_rival, n_v, round(t, 9) AS t FROM scored
+    QUALIFY row_number() OVER (PARTITION BY target, rival ORDER BY t DESC, v) <= {NEAREST}
+"""
+
+
+@query("h3_t_difference_table", TABLE_DIFFERENCES)
+def h3_table(spark, sf):
+    """The frequent words as targets and as rivals: the words that go best with each target."""
+    words = word_freqs(spark, sf).orderBy(F.desc("count"), "item").limit(FREQUENT).select("item")
+    wanted = words.select(F.col("item").alias("target")).join(words.select(F.col("item").alias("rival")), F.col("target") != F.col("rival"))
+    scored = assoc.t_difference_table(bigrams(spark, sf), wanted, NEAREST)
+    return scored.select("target", "rival", "v", "n_rival", "n_v", rounded("t"))
+
+
 def likelihood_sql(params):
     return f"""
     WITH {COUNTED},

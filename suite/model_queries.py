@@ -106,6 +106,36 @@ def i2_append(spark, sf):
     return measured(spark, sf, True)
 
 
+def measured_rows_sql(trim_after: bool) -> str:
+    upto = "h.c" if trim_after else "h.c - h.w"
+    return f"""
+    WITH sums AS (SELECT user_id, ord, item, length(item) + 1 AS w,
+                         sum(length(item) + 1) OVER (PARTITION BY user_id ORDER BY ord) AS c FROM {EVENT_ROWS})
+    SELECT h.user_id, h.ord::BIGINT AS ord, string_agg(i.item, ' ' ORDER BY i.ord) AS context
+    FROM sums h JOIN sums i ON i.user_id = h.user_id AND i.ord BETWEEN h.ord - {3 * MEASURE} AND h.ord
+    WHERE i.ord = h.ord OR {upto} - i.c <= {3 * MEASURE}
+    GROUP BY h.user_id, h.ord
+    """
+
+
+def measured_rows(spark, sf, trim_after):
+    rows = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    placed = tk.token_index(rows, "user_id", ["ts", "event_id"], long_groups=True)
+    found = cx.measured_contexts_of_rows(placed, 3 * MEASURE, "user_id", "ord", "event_type", trim_after)
+    return found.select("user_id", F.col("ord").cast("long").alias("ord"), F.array_join("context", " ").alias("context"))
+
+
+@query("i2_measured_context_of_rows", measured_rows_sql(False))
+def i2_rows(spark, sf):
+    """The events of each user, a sequence gathered from many rows."""
+    return measured_rows(spark, sf, False)
+
+
+@query("i2_measured_context_of_rows_append", measured_rows_sql(True))
+def i2_rows_append(spark, sf):
+    return measured_rows(spark, sf, True)
+
+
 SIZE = 30
 
 

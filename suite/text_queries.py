@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusfreq.functions.text import line_tokens
@@ -12,6 +13,7 @@ from corpusfreq.operators import tokens as tk
 from corpusfreq.operators import vocab as vo
 from corpusfreq.session import new_shared_path
 from corpusfreq.sources import corpus as src
+from corpusfreq.sources import incremental as inc
 from suite.registry import BENCH_WORDS, FREQS, TOKENS, WORDS, documents, query, table
 
 # Words left out by the queries that use a stop list.
@@ -34,6 +36,30 @@ def a1(spark, sf):
     return docs.select(number.alias("item_id"), F.regexp_replace("text", "\n$", "").alias("text"))
 
 
+@query(
+    "a1_refresh_corpus",
+    """
+    SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'again ' || text ELSE text END AS text
+    FROM (SELECT item_id AS doc_id, replace(text, chr(10), ' ') AS text FROM benchmark) WHERE doc_id % 5 <> 2
+    """,
+)
+def a1_refresh(spark, sf):
+    """A stored corpus follows a folder: files are written, some changed, some gone."""
+    root, store = new_shared_path(spark, "files"), new_shared_path(spark, "corpus")
+    texts = table(spark, sf, "benchmark").select("item_id", F.translate("text", "\n", " ").alias("text"))
+    texts.write.partitionBy("item_id").text(root)
+    inc.refresh(spark, root, store)
+    # Overwriting the folders of some items replaces their files; an empty write leaves none.
+    changed = texts.where("item_id % 5 = 1").withColumn("text", F.concat(F.lit("again "), "text"))
+    changed.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("item_id").text(root)
+    for row in texts.where("item_id % 5 = 2").select("item_id").distinct().collect():  # the benchmark's items
+        texts.where("item_id IS NULL").select("text").write.mode("overwrite").text(f"{root}/item_id={row['item_id']}")
+    inc.refresh(spark, root, store)
+    docs = inc.current(spark, store)
+    number = F.regexp_extract("doc_id", r"item_id=(\d+)", 1).cast("long")
+    return docs.where("text <> ''").select(number.alias("doc_id"), F.regexp_replace("text", "\n$", "").alias("text"))
+
+
 @query(
     "a2_read_latin1",
     """
@@ -368,6 +394,33 @@ def d3(spark, sf):
     return merged.select("norm", "doc_id", F.col("ord").cast("long").alias("ord"))
 
 
+@query(
+    "d3_merge_blocks",
+    f"""
+    WITH {WORDS}, {BENCH_WORDS},
+    both_ AS (SELECT norm, 'd' || doc_id AS doc_id, ord FROM words UNION ALL SELECT norm, 'b' || item_id, ord FROM bench)
+    SELECT norm, row_number() OVER (PARTITION BY norm ORDER BY doc_id, ord) - 1 AS place, doc_id, ord::BIGINT AS ord FROM both_
+    """,
+)
+def d3_blocks(spark, sf):
+    """Stored block indexes of two corpora merged without ranking the postings again."""
+    docs = documents(spark, sf).select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    items = table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("doc_id"), "text")
+    blocks = []
+    for part in (docs, items):
+        pos = F.struct("doc_id", F.col("ord").cast("long").alias("ord"))
+        long = vector_words(tk.corpus_vectors(part)).select("norm", pos.alias("pos"))
+        path = new_shared_path(spark, "blocks")
+        ix.posting_blocks(long, "norm", "pos").write.parquet(path)
+        blocks.append(spark.read.parquet(path))
+    merged = ix.merge_posting_blocks(*blocks, key="norm")
+    # A posting's place is the length of the key's blocks before its own, and its place there.
+    ends = Window.partitionBy("norm").orderBy("block")
+    start = F.sum(F.size("positions")).over(ends) - F.size("positions")
+    rows = merged.withColumn("start", start).select("norm", "start", F.posexplode("positions").alias("at", "p"))
+    return rows.select("norm", (F.col("start") + F.col("at")).alias("place"), "p.doc_id", "p.ord")
+
+
 VOCAB_SQL = (
     FREQS
     + """,
