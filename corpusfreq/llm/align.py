@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from corpusfreq.llm.store import stored
 from corpusfreq.llm.token_counts import runs
+from corpusfreq.llm.wordwise import ByteLevelWords, id_lists
 from corpusfreq.llm.workers import begin, held, package_path
 
 # Pairs that are broadcast, at 17 bytes each.
@@ -89,11 +90,11 @@ class TwoTokenizers:
             bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE_MARK, " ").encode())
         self.size_b = len(bytes_b)
         self.bytes = pa.array(bytes_a, pa.binary()), pa.array(bytes_b, pa.binary())
+        self.words = ByteLevelWords(self.a)
         self.decimals = tuple(pa.array([str(i) for i in range(len(x))], pa.string()) for x in self.bytes)
 
     def ids(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return pa.array(a, pa.list_(pa.int32())), pa.array(self.b.encode(texts, num_threads=1), pa.list_(pa.int32()))
+        return id_lists(self.words.ids([" " + t for t in texts])), pa.array(self.b.encode(texts, num_threads=1), pa.list_(pa.int32()))
 
 
 def _offsets(lists: pa.Array) -> np.ndarray:

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from corpusfreq.llm.sieve import split
 from corpusfreq.llm.store import stored
+from corpusfreq.llm.wordwise import ByteLevelWords
 from corpusfreq.llm.workers import begin, held, package_path
 
 SCHEMA = "digest binary, n_tokens bigint"
@@ -58,21 +59,16 @@ class Counter:
             self.model = tokenizers.Tokenizer.from_buffer(content)
             self.model.no_truncation()
             self.model.no_padding()
-            self.count = self._of_json
+            words = ByteLevelWords(self.model)
+            self.count = lambda texts: [len(ids) // 4 for ids in words.ids(texts)]
         elif kind == ".model":
             import sentencepiece
 
             self.model = sentencepiece.SentencePieceProcessor(model_proto=content)
-            self.count = self._of_pieces
+            self.count = lambda texts: [len(ids) for ids in self.model.encode(texts, num_threads=1)]
         else:
             raise ValueError(f"no library for a tokenizer file of kind {kind!r}")
 
-    def _of_json(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _of_pieces(self, texts: list[str]) -> list[int]:
-        return [len(ids) for ids in self.model.encode(texts, num_threads=1)]
-
 
 class TokenizerFile:
     """A tokenizer file as the driver reads it; its bytes are broadcast, a few megabytes."""

@@ -2,13 +2,15 @@
 
 import bisect
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 import tokenizers
 
-from corpusfreq.llm import align, token_counts
+from corpusfreq.llm import align, token_counts, wordwise
 from corpusfreq.llm.tokenizers import public_file
 
 A_FILE, B_FILE = public_file("byte_bpe_50k.json"), public_file("piece_bpe_32k.model")
@@ -31,6 +33,27 @@ def count(texts_):
     return [len(model.encode(t or "", add_special_tokens=False).ids) for t in texts_]
 
 
+def test_ids_word_by_word_are_the_librarys(monkeypatch):
+    rnd = random.Random(6)
+    parts = ["a", "The", " ", "  ", "   ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u180e", "\u200b", "é", "e\u0301", "12", "½", "'s",
+             "'ll", "’t", "-", "--", "_", "▁", "▁▁", "𠮷", "🙂", "<|endoftext|>", "<s>", "<0x41>", "\x00", "ing", "="]
+    texts = ["", " ", "  ", "   ", "a ", " a", "a  ", "a   b", "▁", "a▁", "x" * 200 + " " + "y" * 200, *ODD]
+    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 40))) for _ in range(6000)]
+    plain, special = tokenizers.Tokenizer.from_file(A_FILE), tokenizers.Tokenizer.from_file(A_FILE)
+    plain.encode_special_tokens = True
+    cases = [(wordwise.ByteLevelWords(m), [e.ids for e in m.encode_batch(texts, add_special_tokens=False)]) for m in (plain, special)]
+    monkeypatch.setattr(wordwise, "KEPT_WORDS", 500)
+    for words, want in cases:
+        assert words.by_word
+        got = [np.frombuffer(ids, np.int32).tolist() for lo in range(0, len(texts), 97) for ids in words.ids(texts[lo : lo + 97])]
+        bad = [(t, g, w) for t, g, w in zip(texts, got, want, strict=True) if g != w]
+        assert not bad, bad[:3]
+    # Another kind of tokenizer gets whole texts.
+    lower = tokenizers.Tokenizer.from_file(public_file("word_bpe_49k.json"))
+    assert not wordwise.ByteLevelWords(lower).by_word
+    assert wordwise.ByteLevelWords(lower).ids(["A b  C"]) == [wordwise.packed(lower.encode("A b  C", add_special_tokens=False).ids)]
+
+
 def test_counts(spark, texts, tmp_path):
     cache = f"file://{tmp_path}/cache"
     rows = [(r["doc_id"], r["text"]) for r in texts.collect()]
