@@ -19,7 +19,7 @@ from corpusfreq.operators.folds import FOLDS, leave_one_out, shuffled, split_fol
 from corpusfreq.operators.freqs import merge as merge_freqs
 from corpusfreq.operators.tokens import StopWords, _as_list
 from corpusfreq.plans.skew import Lookup, lookup_join, lookup_joins
-from corpusfreq.session import durable
+from corpusfreq.session import durable, stored
 
 # Fixed value: the pseudo-count of every smoothed distribution in the classifier.
 GAMMA = 0.5
@@ -214,8 +214,10 @@ def posteriors(
     the size of a feature's value set is counted per document, so only observed
     (label, feature) pairs are joined and labels × vocabulary never materialises.
     """
-    rows = test.select(doc, *by, F.inline_outer("features"))
-    table = _needed(counts, rows, by, compat)
+    # Read for the features that are asked for and by either part of the lookup.
+    rows = stored(test.select(doc, *by, F.inline_outer("features")), "features")
+    counts = BayesCounts(stored(counts.labels, "labels"), stored(counts.features, "counts"))
+    table = stored(_needed(counts, rows, by, compat), "needed")
     known = lookup_join(
         rows, table, [*by, "feature", "value"], "__rows", {"__seen": "__seen", "__bins": "__bins"}
     )
@@ -314,6 +316,7 @@ def cross_validated(
     times: pass a stored table if it is costly.
     """
     own = train(training, [fold])
+    own = BayesCounts(stored(own.labels, "labels"), stored(own.features, "counts"))
     classes = own.labels.agg(F.collect_set("label")).scalar()
     per_fold = own.labels.select(fold).distinct().withColumn("label", F.explode(classes))
     labels = leave_one_out(per_fold, own.labels, fold)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusfreq.functions.text import norms
 from corpusfreq.plans.ranking import running_total
 from corpusfreq.plans.skew import lookup_join
+from corpusfreq.session import stored
 
 # A frequency row is expanded in pieces of this many copies.
 EXPAND_CHUNK = 100_000
@@ -171,8 +172,10 @@ def cumulative_freqs(
     """Walk a sample in order and add up each item's frequency (0 if unknown).
 
     ``weights`` is the sample's own frequency table if it differs from ``freqs``;
-    it only steers the join of frequent items.
+    it only steers the join of frequent items. The frequencies and the scored sample are
+    stored: the lookup and the range partitioning read them more than once.
     """
+    freqs = stored(freqs, "freqs")
     table = freqs.select("item", "count", F.col("count").alias("__w"))
     if weights is not None:
         own = weights.select(F.col("item").alias("__i"), F.col("count").alias("__w"))
@@ -180,7 +183,7 @@ def cumulative_freqs(
             F.coalesce("item", "__i").alias("item"), "count", F.coalesce("__w", F.lit(0)).alias("__w")
         )
     scored = lookup_join(sample, table, {item: "item"}, "__w", {"__f": "count"})
-    scored = scored.withColumn("__f", F.coalesce("__f", F.lit(0)).cast("double"))
+    scored = stored(scored.withColumn("__f", F.coalesce("__f", F.lit(0)).cast("double")), "scored")
     return running_total(scored, list(order_by), "__f", "cumulative").drop("__f")
 
 

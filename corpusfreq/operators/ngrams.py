@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusfreq.plans.blocks import BLOCK_ROWS, block_window, leads, owned, with_halo
 from corpusfreq.plans.skew import Lookup, lookup_joins
-from corpusfreq.session import durable
+from corpusfreq.session import stored
 
 
 def word_columns(n: int) -> list[str]:
@@ -82,7 +82,7 @@ def ngram_models(
     """
     tri = ngram_freqs(docs, 3, vector)
     if store:
-        tri = durable(tri)
+        tri = stored(tri, "trigrams")
     if full_counts:
         uni, bi = ngram_freqs(docs, 1, vector), ngram_freqs(docs, 2, vector)
     else:
@@ -102,7 +102,8 @@ def interpolate(
     out: str = "p",
 ) -> DataFrame:
     """Linear interpolation for rows ``w1, w2, w3``; unseen events add 0."""
-    uni, bi, tri = models
+    # Each model is read for its own counts and for the totals of the next one.
+    uni, bi, tri = (stored(m, name) for m, name in zip(models, ("unigrams", "bigrams", "trigrams"), strict=True))
     l1, l2, l3 = weights
     tri = tri.select(
         F.col("cond.w1").alias("a"), F.col("cond.w2").alias("b"), F.col("item").alias("c"), "count"
@@ -123,6 +124,8 @@ def interpolate(
         )
         condition = [F.col(q) == F.col(f"__k{i}") for i, q in enumerate(keys)]
         scored = scored.join(right, condition, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+    # Either part of the lookups below would repeat the joins above.
+    scored = stored(scored, "counted")
     words = [
         Lookup(after_one, {"w2": "cond"}, "count", {"__n2": "count"}),
         Lookup(uni, {"w3": "item"}, "count", {"__c1": "count"}),
