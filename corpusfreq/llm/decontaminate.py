@@ -111,7 +111,7 @@ def contamination(
 ) -> DataFrame:
     """Per document: id, n_words, n_hit, spans of hit words and the items found."""
     grams = item_grams(benchmark, n, item_col, item_text_col)
-    hits = find_hits(docs, grams, text_col)
+    hits = stored(find_hits(docs, grams, text_col), "hits")
     items = found_items(hits, grams).withColumnRenamed("key", "k")
     found = covered(hits).join(items, F.col("key") == F.col("k"), "left").drop("k")
     base = docs.select(

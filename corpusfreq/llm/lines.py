@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusfreq.llm.store import stored
+
 RATIO = 0.05
 MIN_PAGES = 5
 
@@ -48,9 +50,13 @@ def drop_boilerplate(
     n_lines: str | None = None, n_dropped: str | None = None,
 ) -> DataFrame:
     """``docs`` with the boilerplate lines cut out of the text; optionally line counts."""
+    # A listed line stands on more than ``ratio`` of its host's pages, so a host has at most
+    # 1 / ratio times as many as a page has lines on average. Stored, the lists have a size
+    # that the planner knows: it broadcasts them if they are small and moves no text.
     lists = boilerplate(docs, host_col, text_col, ratio, min_pages).groupBy("host").agg(
         F.collect_list("line").alias("__ld_lines")
     ).withColumnRenamed("host", "__ld_host")
+    lists = stored(lists, "boilerplate")
     joined = docs.join(lists, docs[host_col].eqNullSafe(F.col("__ld_host")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     keep = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__ld_lines"), _key(x)))
