@@ -6,13 +6,16 @@ weights are log-ratios of n-gram frequencies counted over all learning rows. A t
 bit margins are compared with every codeword by a loss weighted with the separating
 power of the bit, and the codeword of least loss wins.
 
-The model has (bits x ``BUCKETS``) numbers whatever the number of documents. At most
-``MAX_LANGUAGES`` languages are learned; more raise an error.
+The model has (bits x ``BUCKETS``) numbers whatever the number of documents, and bits grow
+with the logarithm of the number of languages. Counts by language come to the driver for up
+to ``MAX_TABLE`` languages; of more, Spark adds up the shares of each bit's two sides and
+only these sums come.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no
 learning rows every text is ``und``; rows with null language or text teach nothing;
 equal losses go to the language first in order; repeated rows are judged alike; texts are
-read whole. Other columns are not read.
+read whole. Other columns are not read; columns that are kept may have any names but those
+of the answers.
 """
 
 from __future__ import annotations
@@ -27,10 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusfreq.llm.bytes_np import LOWER, chunks
+from corpusfreq.llm.store import stored
 from corpusfreq.llm.workers import package_path
 
 BUCKETS = 1 << 15
-MAX_LANGUAGES = 200
+MAX_TABLE = 200
+# Of so many random codes the one whose nearest codewords are farthest apart is taken.
+TRIED_CODES = 16
+COMPARED_CODES = 2000
 # Up to this many languages all distinct splits of them are bits.
 EXHAUSTIVE = 6
 UNKNOWN = "und"
@@ -81,8 +88,18 @@ def codewords(n: int) -> np.ndarray:
             code[list(split), bit] = 1
         return code
     bits = 10 * int(np.ceil(np.log2(n)))
-    code = np.random.default_rng(7).choice([-1.0, 1.0], (n, bits))
-    return code[:, np.abs(code.sum(axis=0)) < n]
+    best, apart = None, -1
+    for seed in range(TRIED_CODES if n <= COMPARED_CODES else 1):
+        code = np.random.default_rng(7 + seed).choice([-1.0, 1.0], (n, bits))
+        code = code[:, np.abs(code.sum(axis=0)) < n]
+        if n > COMPARED_CODES:
+            return code
+        agree = code @ code.T
+        np.fill_diagonal(agree, -bits)
+        distance = (code.shape[1] - agree.max()) / 2
+        if distance > apart:
+            best, apart = code, distance
+    return best
 
 
 def fit(learning: DataFrame, text_col: str = "text", lang_col: str = "lang") -> LanguageCode:
@@ -111,19 +128,13 @@ def fit(learning: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
     counted = rows.mapInArrow(count, "lang string, bucket int, n bigint")
     summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = summed.toPandas()  # at most MAX_LANGUAGES x BUCKETS rows
-    languages = sorted(table["lang"].unique())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES}")
-    share = np.full((len(languages), BUCKETS), 0.5)
-    place = table["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=int)
-    if len(table):
-        share[place, table["bucket"].to_numpy()] += table["n"].to_numpy()
-    share /= share.sum(axis=1, keepdims=True)
+    summed = stored(summed, "grams")
+    sizes = {r["lang"]: r["n"] for r in summed.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(sizes)
     codes = codewords(len(languages)) if languages else np.zeros((0, 0))
+    means = _means_on_driver if len(languages) <= MAX_TABLE else _means_in_spark
     weights, power = [], []
-    for bit in codes.T:
-        yes, no = share[bit > 0].mean(axis=0), share[bit < 0].mean(axis=0)
+    for yes, no in means(summed, languages, sizes, codes):
         ratio = np.log(yes / no)
         weights.append(ratio)
         power.append(((yes - no) * ratio).sum())
@@ -131,6 +142,40 @@ def fit(learning: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return LanguageCode(languages, codes, np.array(weights), power / power.sum() if len(power) else power)
 
 
+# The share of a bucket in a language is (count + 0.5) / (all counts + 0.5 x buckets).
+
+
+def _means_on_driver(summed: DataFrame, languages: list[str], sizes: dict[str, int], codes: np.ndarray):
+    """Mean shares of the languages with and without each bit; at most MAX_TABLE x BUCKETS counts."""
+    table = summed.toPandas()
+    share = np.full((len(languages), BUCKETS), 0.5)
+    place = table["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=int)
+    if len(table):
+        share[place, table["bucket"].to_numpy()] += table["n"].to_numpy()
+    share /= share.sum(axis=1, keepdims=True)
+    for bit in codes.T:
+        yield share[bit > 0].mean(axis=0), share[bit < 0].mean(axis=0)
+
+
+def _means_in_spark(summed: DataFrame, languages: list[str], sizes: dict[str, int], codes: np.ndarray):
+    """The same from sums over the languages, one row for each bucket."""
+    total = np.array([sizes[x] + 0.5 * BUCKETS for x in languages])
+    rows = [(x, float(t), [float(v) for v in code]) for x, t, code in zip(languages, total, codes, strict=True)]
+    known = summed.sparkSession.createDataFrame(rows, "l string, total double, code array<double>")
+    shares = summed.join(F.broadcast(known), F.col("lang") == F.col("l")).withColumn("share", F.col("n") / F.col("total"))
+    parts = [F.sum(F.when(F.get("code", F.lit(k)) > 0, F.col("share"))).alias(f"y{k}") for k in range(codes.shape[1])]
+    found = shares.groupBy("bucket").agg(F.sum("share").alias("all"), *parts).na.fill(0.0).toPandas()
+    at = found["bucket"].to_numpy()
+    every = np.zeros(BUCKETS)
+    every[at] = found["all"].to_numpy()
+    for k, bit in enumerate(codes.T):
+        sums = np.zeros(BUCKETS)
+        sums[at] = found[f"y{k}"].to_numpy()
+        yes = (sums + (0.5 / total[bit > 0]).sum()) / (bit > 0).sum()
+        no = (np.maximum(every - sums, 0.0) + (0.5 / total[bit < 0]).sum()) / (bit < 0).sum()
+        yield yes, no
+
+
 def _decode(model: LanguageCode, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(language index, score, ambiguous) for each row of bit margins."""
     loss = np.zeros((len(margins), len(model.languages)))

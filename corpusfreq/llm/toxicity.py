@@ -9,9 +9,11 @@ an exception phrase does not count. The weights found are summed, normalised by
 text's length, and turned into a probability by a logistic curve.
 
 ``fit`` learns entries, exceptions and curve from at most ``MAX_LABELS`` labelled rows
-(those of smallest id hash), so what is broadcast or held on the driver is bounded by
-``MAX_LABELS``, ``MAX_ENTRIES`` and ``MAX_EXCEPTIONS`` at any corpus size. Rows of one
-label whose texts have the same set of folded words are one example, in every count.
+(those of smallest id hash), which bounds all that is broadcast or held on the driver at any
+corpus size: a form must stand in ``SUPPORT`` of the toxic examples, so there are at most
+1 / ``SUPPORT`` times as many as an average example holds, and an exception needs
+``EXCEPTION_DOCS`` clean examples. None of those is left out. Rows of one label whose texts
+have the same set of folded words are one example, in every count.
 
 Defined cases: a null or empty text matches nothing and has the score of a text without a
 match; null labels or ids teach nothing; without toxic examples the lexicon is empty and
@@ -39,8 +41,6 @@ from corpusfreq.llm.store import stored
 from corpusfreq.llm.workers import package_path
 
 MAX_LABELS = 200_000
-MAX_ENTRIES = 20_000
-MAX_EXCEPTIONS = 10_000
 # An entry needs this share of the toxic examples, this many, and this log-ratio.
 SUPPORT = 0.03
 MIN_DOCS = 3
@@ -220,8 +220,7 @@ def _entries(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
 
     least = max(MIN_DOCS, SUPPORT * toxic)
     often = _count(rows.where("bad = 1"), all_forms, COUNTS).where(F.col("n") >= least)
-    often = often.orderBy(F.desc("n"), "item").limit(MAX_ENTRIES)
-    bad = {r["item"]: r["n"] for r in often.collect()}  # MAX_ENTRIES rows at most
+    bad = {r["item"]: r["n"] for r in often.collect()}
     names = set(bad)
 
     def known_forms(text: str) -> list[str]:
@@ -245,11 +244,17 @@ def _entries(rows: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     # Above a form counts up to REPEATS times in an example, here once.
     held = _count(rows.where("bad = 1"), chosen_forms, COUNTS).where(F.col("n") >= least)
     names = {r["item"] for r in held.collect()}
+    # Of forms that begin alike the best stays.
     chosen: dict[str, float] = {}
+    stems: set[str] = set()
+    beginnings: set[str] = set()
     for form in sorted(names, key=lambda f: (-gain[f], -len(f), f)):
         stem = form.rstrip("*")
-        if not any(stem.startswith(c.rstrip("*")) or c.startswith(stem) for c in chosen):
+        parts = [stem[:k] for k in range(1, len(stem) + 1)]
+        if stem not in beginnings and stems.isdisjoint(parts):
             chosen[form] = weights[form]
+            stems.add(stem)
+            beginnings.update(parts)
     return chosen
 
 
@@ -263,8 +268,8 @@ def _exceptions(rows: DataFrame, weights: dict[str, float], toxic: int, clean: i
 
     counts = _count(rows, phrases, COUNTS).groupBy("item").pivot("bad", [0, 1]).agg(F.sum("n")).na.fill(0)
     no_sign = F.col("1") * F.lit(clean) <= F.col("0") * F.lit(toxic)
-    safe = counts.where((F.col("0") >= EXCEPTION_DOCS) & no_sign).orderBy(F.desc("0"), "item")
-    return {r["item"] for r in safe.limit(MAX_EXCEPTIONS).collect()}
+    safe = counts.where((F.col("0") >= EXCEPTION_DOCS) & no_sign)
+    return {r["item"] for r in safe.select("item").collect()}
 
 
 def _curve(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:

@@ -1,9 +1,11 @@
 """Tokenizer, classifiers and secret scan."""
 
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from corpusfreq.llm import langid, pieces, secrets, toxicity
@@ -82,6 +84,52 @@ def test_texts_without_letters_and_models_without_rows(spark, docs, empty, spoke
     assert {r["lang_pred"] for r in langid.predict(docs.where("doc_id < 50"), one).collect()} == {"en"}
 
 
+def test_many_languages(spark, monkeypatch):
+    """300 languages with letters of their own; both ways to add up the shares agree."""
+    rnd = random.Random(8)
+    ends = {f"l{i:03d}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(4)] for i in range(300)}
+    rows = [(i, " ".join(rnd.choice(ends[f"l{i % 300:03d}"]) for _ in range(40)), f"l{i % 300:03d}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.where("doc_id < 900"))
+    assert len(model.languages) == 300
+    monkeypatch.setattr(langid, "MAX_TABLE", 1000)
+    other = langid.fit(docs.where("doc_id < 900"))
+    assert np.allclose(model.weights, other.weights) and np.allclose(model.power, other.power)
+    judged = langid.predict(docs.where("doc_id >= 900"), model, keep=("doc_id", "lang")).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in judged) >= 0.95 * len(judged)
+
+
+def test_decoding_by_hand(spoken):
+    """Loss-weighted decoding of one text, byte by byte in plain Python."""
+    model = langid.fit(spoken)
+    text = "bing che x"
+    data = [c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode()]
+    margins = [0.0] * len(model.power)
+    for i in range(len(data)):
+        a, b, c = (data[k] if k >= 0 else 32 for k in (i - 2, i - 1, i))
+        bucket = ((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 17
+        for k in range(len(margins)):
+            margins[k] += model.weights[k][bucket] / math.sqrt(len(data))
+    loss = [sum(p * math.log(1 + math.exp(-m * v)) for p, m, v in zip(model.power, margins, code)) for code in model.codes]
+    one = spoken.sparkSession.createDataFrame([(1, text)], "doc_id long, text string")
+    got = langid.predict(one, model).first()
+    assert got["lang_pred"] == model.languages[loss.index(min(loss))]
+    likely = [math.exp(min(loss) - x) for x in loss]
+    assert got["score"] == pytest.approx(1 / sum(likely))
+
+
+def test_no_form_above_the_bar_is_left_out(spark):
+    """Thirty thousand forms in every toxic text, and the toxic word is among the rarer ones."""
+    common = [f"w{i:05d}" for i in range(30_000)]
+    rows = [(i, " ".join(common) + f" a{i}" + (" grawlix" if i % 4 else ""), 1) for i in range(8)]
+    rows += [(100 + i, " ".join(common) + f" b{i}", 0) for i in range(8)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    weights = toxicity.fit(docs, labels).weights
+    assert any(w.startswith(toxicity.fold("graw")) for w in weights)
+    assert not any(w.startswith("w0") for w in weights)
+
+
 def test_codewords_differ():
     for n in (2, 3, 4, 6, 7, 12, 30):
         code = langid.codewords(n)
