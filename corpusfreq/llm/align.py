@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from corpusfreq.llm.store import stored
 from corpusfreq.llm.token_counts import runs
 from corpusfreq.llm.wordwise import ByteLevelWords, id_lists
-from corpusfreq.llm.workers import begin, held, package_path
+from corpusfreq.llm.workers import held, package_path, task
 
 # Pairs that are broadcast, at 17 bytes each.
 MAX_HOT = 1 << 20
@@ -184,8 +184,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     name = hashlib.sha256(files[0] + files[1]).hexdigest()
     shared = spark.sparkContext.broadcast(files)  # two vocabulary files, a few megabytes
 
+    @task("align")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("align")
         two = held("align", name, lambda: TwoTokenizers(*shared.value))
         for batch in batches:
             texts, lo = ["" if t is None else t for t in batch.column(1).to_pylist()], 0
@@ -223,8 +223,8 @@ def _batch(ids: pa.Array, rows: dict[str, pa.Array] | None, place: pa.Array) ->
 def pair_counts(rows: DataFrame, size_b: int) -> DataFrame:
     """(pair, docs, best): documents that hold the pair linked; whether none of its A id has more."""
 
+    @task("align")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("align")
         gathered: list[pa.Table] = []
         size = 0
 
@@ -272,8 +272,8 @@ def _sums(rows: DataFrame, hot: HotPairs) -> DataFrame:
     """(row, best, total, cold): sums over the hot links of a row, and its other links."""
     shared = rows.sparkSession.sparkContext.broadcast(hot)
 
+    @task("align")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("align")
         known = shared.value
         for batch in batches:
             starts = _offsets(batch.column(1))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from corpusfreq.llm.bytes_np import LOWER, chunks
 from corpusfreq.llm.store import stored
-from corpusfreq.llm.workers import package_path
+from corpusfreq.llm.workers import package_path, task
 
 BUCKETS = 1 << 15
 MAX_TABLE = 200
@@ -107,6 +107,7 @@ def fit(learning: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     package_path(learning.sparkSession)
     rows = learning.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
 
+    @task("langid")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:

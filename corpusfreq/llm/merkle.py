@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusfreq.llm.store import stored
-from corpusfreq.llm.workers import begin, package_path
+from corpusfreq.llm.workers import package_path, task
 
 # Levels below a block's root.
 HEIGHT = 8
@@ -165,8 +165,8 @@ def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
 def _blocks(nodes: DataFrame) -> DataFrame:
     """The blocks over (group, pos, size, digest, id, claimed)."""
 
+    @task("merkle")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("merkle")
         for batch in batches:
             laid = []
             for size, entries in zip(batch.column("size").to_pylist(), batch.column("entries"), strict=True):
@@ -222,8 +222,8 @@ def _descend(blocks: DataFrame, above: DataFrame) -> DataFrame:
     ``above`` has (group, block, steps, top): what leads from a block's root to the top.
     """
 
+    @task("merkle")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("merkle")
         for batch in batches:
             for i in range(batch.num_rows):
                 size, n = batch.column("size")[i].as_py(), batch.column("n")[i].as_py()
@@ -295,8 +295,8 @@ def proofs(manifest: Manifest) -> DataFrame:
     )
     found = paths(manifest.leaves, stored(tops, "tops"))
 
+    @task("merkle")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("merkle")
         for batch in batches:
             proved, folded = [], []
             for first, claimed, steps in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):

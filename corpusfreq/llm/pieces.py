@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusfreq.llm.workers import begin, held, package_path
+from corpusfreq.llm.workers import held, package_path, task
 
 MARK = "▁"
 # Words and tested pairs kept by a worker. A full memo of words becomes the old one.
@@ -201,8 +201,8 @@ def _map(docs: DataFrame, id_col: str, text_col: str, kind: list, columns: str,
     package_path(docs.sparkSession)
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {columns}"
 
+    @task("pieces")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("pieces")
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for lo in range(0, batch.num_rows, 256):

@@ -49,11 +49,13 @@ from corpusfreq.llm.bytes_np import chunks, mix, word_hashes, word_spans
 from corpusfreq.llm.components import components
 from corpusfreq.llm.sieve import split, without
 from corpusfreq.llm.store import stored
-from corpusfreq.llm.workers import begin, package_path
+from corpusfreq.llm.workers import package_path, task
 
 MAX_FREQUENT = 200_000
 FREQUENT = 4
 COUNT_BUCKETS = 256
+# Codes that a task gathers before it sends them off.
+PACKED = 1 << 20
 BITMAP_BITS = 27
 MAX_LIGHT = 24
 
@@ -123,8 +125,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def signatures(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, node) of every document."""
 
+    @task("setjoin")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("setjoin")
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 owner, element = word_ngrams(data, offsets, n)
@@ -172,17 +174,29 @@ def element_frequencies(docs: DataFrame, n: int, text_col: str) -> Frequencies:
     counts them and gives its part of the bitmap and its frequent codes.
     """
 
+    @task("setjoin")
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("setjoin")
+        gathered: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            parts = [word_ngrams(data, offsets, n)[1] for _, _, data, offsets in chunks(batch.column(0))]
-            coarse = np.sort(_coarse(np.concatenate(parts))) if parts else np.zeros(0, np.uint64)
-            cuts = np.searchsorted(coarse, np.arange(COUNT_BUCKETS + 1, dtype=np.uint64) << np.uint64(32))
-            rest = coarse.astype(np.uint32)
-            blobs = [rest[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(COUNT_BUCKETS), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "packed"]
-            )
+            for _, _, data, offsets in chunks(batch.column(0)):
+                gathered.append(_coarse(word_ngrams(data, offsets, n)[1]))
+                size += len(gathered[-1])
+            if size >= PACKED:
+                yield sorted_out(gathered)
+                gathered, size = [], 0
+        if size:
+            yield sorted_out(gathered)
+
+    def sorted_out(gathered: list[np.ndarray]) -> pa.RecordBatch:
+        coarse = np.concatenate(gathered)
+        coarse.sort()
+        cuts = np.searchsorted(coarse, np.arange(COUNT_BUCKETS + 1, dtype=np.uint64) << np.uint64(32))
+        rest = coarse.astype(np.uint32)
+        blobs = [rest[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(range(COUNT_BUCKETS), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "packed"]
+        )
 
     bits = BITMAP_BITS - COUNT_BUCKETS.bit_length() + 1  # of one bucket
 
@@ -250,8 +264,8 @@ def list_entries(
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequencies)
 
+    @task("setjoin")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("setjoin")
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 owner, element = word_ngrams(data, offsets, n)
@@ -293,8 +307,8 @@ def light_links(docs: DataFrame, n: int, percent: int, bound: int, id_col: str,
             for gone in itertools.combinations(marks, s - c):
                 yield (total - sum(gone) + pair) & mask, s == t
 
+    @task("setjoin")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("setjoin")
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 owner, element = word_ngrams(data, offsets, n)
@@ -333,8 +347,8 @@ def light_links(docs: DataFrame, n: int, percent: int, bound: int, id_col: str,
 def candidate_sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(node, packed): the sorted sets of the wanted (id, node) documents."""
 
+    @task("setjoin")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("setjoin")
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 owner, element = word_ngrams(data, offsets, n)
@@ -359,8 +373,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("node").alias("nv"), F.col("packed").alias("sv"))
     both = pairs.join(left, F.col("u") == F.col("nu")).join(right, F.col("v") == F.col("nv")).select("u", "v", "su", "sv")
 
+    @task("setjoin")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("setjoin")
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):

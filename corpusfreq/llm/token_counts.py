@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from corpusfreq.llm.sieve import split
 from corpusfreq.llm.store import stored
 from corpusfreq.llm.wordwise import ByteLevelWords
-from corpusfreq.llm.workers import begin, held, package_path
+from corpusfreq.llm.workers import held, package_path, task
 
 SCHEMA = "digest binary, n_tokens bigint"
 # Texts are encoded together until they have this many characters; a longer one goes alone.
@@ -110,8 +110,8 @@ def _encode(texts: DataFrame, tokenizer: TokenizerFile) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast((tokenizer.kind, tokenizer.content))
     version = tokenizer.version
 
+    @task("token_counts")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("token_counts")
         counter = held("token_counts", version, lambda: Counter(*shared.value))
         for batch in batches:
             counts = [n for part in runs(batch.column(1).to_pylist()) for n in counter.count(part)]
