@@ -9,9 +9,12 @@ local scores, its inner products with the query over each list's dimensions.
    has a local score of at least cutoff / ``LISTS`` in one list; all such entries are taken.
 3. The entries' remaining local scores are added, and the k best exact scores stay.
 
-Queries and candidates are packed into blocks of bounded size, every query block
-meets every candidate block, and a block pair is one matrix product per list. What
-leaves a block pair is at most k rows for each query.
+Queries and candidates are packed into blocks of bounded size. Both are dealt to a grid of
+as many cells as there are tasks to use; in a cell every query block meets every candidate
+block, which is one matrix product per list. A cell keeps the k best of each query: queries
+that the lengths of a block's vectors cannot bring to their k-th best score, or in the
+second phase to a list's share of the cutoff, skip the block, and only totals that reach the
+cutoff are kept. What leaves a cell is at most k rows for each query.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows with
 a null id, take no part; missing trailing components count as 0; repeated rows of one id
@@ -36,8 +39,8 @@ LISTS = 4
 SCALE = 1024
 QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 4096
-# Query blocks are spread over this many join keys.
-KEYS = 16
+# Query blocks whose best entries a task holds at once.
+RUNNING = 64
 EXACT = 2.0**53
 BLOCK = "ids binary, dims int, data binary, cutoffs binary"
 
@@ -95,57 +98,127 @@ def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.
     return order[np.arange(len(order)) - firsts < k]
 
 
-def _meet(queries: DataFrame, candidates: DataFrame, k: int, heads: bool) -> DataFrame:
-    """(query_id, vec_id, score) of what each block pair gives to phase 1 or to phases 2 and 3."""
-    keys = F.explode(F.sequence(F.lit(0), F.lit(KEYS - 1))).alias("key")
-    left = candidates.select(F.col("ids").alias("c_ids"), F.col("dims").alias("c_dims"), F.col("data").alias("c_data"), keys)
-    right = queries.withColumn("key2", F.pmod(F.hash("ids"), F.lit(KEYS)))
-    pairs = left.join(right, F.col("key") == F.col("key2")).select("ids", "dims", "data", "cutoffs", "c_ids", "c_dims", "c_data")
+def _norms(data: np.ndarray) -> np.ndarray:
+    """(rows x LISTS) length of each vector over each list's dimensions."""
+    return np.stack([np.sqrt((data[:, p] ** 2).sum(axis=1)) for p in np.array_split(np.arange(data.shape[1]), LISTS)], axis=1)
+
+
+class _Running:
+    """The best entries of one block of queries that a task has seen."""
+
+    def __init__(self, ids: np.ndarray, data: np.ndarray, cutoffs: np.ndarray | None, k: int):
+        self.ids, self.data, self.k = ids, data, k
+        self.cutoffs = cutoffs
+        self.least = np.full(len(ids), -np.inf) if cutoffs is None else cutoffs.copy()
+        self.query, self.vec, self.total = (np.zeros(0, np.int64) for _ in range(3))
+
+    def reach(self, data: np.ndarray) -> np.ndarray:
+        """Which queries a block of candidates may still give something.
+
+        No score exceeds the product of the lengths, list by list, and with a cutoff one
+        list must give its share of it.
+        """
+        dims = max(self.data.shape[1], data.shape[1])
+        wide = lambda x: np.pad(x, ((0, 0), (0, dims - x.shape[1])))
+        bound = _norms(wide(self.data)) * _norms(wide(data)).max(axis=0, initial=0.0) * (1 + 1e-9) + 1
+        open_ = bound.sum(axis=1) >= self.least
+        if self.cutoffs is not None:
+            open_ &= (bound * LISTS >= self.least[:, None]).any(axis=1)
+        return np.flatnonzero(open_)
+
+    def take(self, c_ids: np.ndarray, c_data: np.ndarray) -> None:
+        active = self.reach(c_data)
+        if not len(active) or not len(c_ids):
+            return
+        local = _local_scores(self.data[active], c_data)
+        own = self.ids[active][:, None] == c_ids[None, :]
+        taken = np.zeros(own.shape, bool)
+        if self.cutoffs is None:  # one more than k: a query's own row may stand among them
+            top = min(self.k + 1, len(c_ids))
+            for scores in local:
+                best = np.argpartition(-scores, top - 1, axis=1)[:, :top]
+                np.put_along_axis(taken, best, True, axis=1)
+        else:
+            share = np.nextafter(self.cutoffs[active], -np.inf)[:, None]
+            for scores in local:
+                taken |= (scores * LISTS >= share).astype(bool)
+        query, at = np.nonzero(taken & ~own)
+        totals = sum(scores[query, at] for scores in local)
+        if totals.dtype == object:
+            totals = np.array([min(max(t, -(2**63) + 1), 2**63 - 1) for t in totals], np.int64)
+        else:
+            totals = totals.astype(np.int64)
+        wanted = totals >= np.nextafter(self.least[active][query], -np.inf)
+        query = np.concatenate([self.query, active[query[wanted]]])
+        vec = np.concatenate([self.vec, c_ids[at[wanted]]])
+        total = np.concatenate([self.total, totals[wanted]])
+        keep = _best(query, vec, total, self.k)
+        self.query, self.vec, self.total = query[keep], vec[keep], total[keep]
+        # The k-th best of a query, where it has k: nothing below it can be wanted.
+        full = np.flatnonzero(np.bincount(self.query, minlength=len(self.ids)) >= self.k)
+        if len(full):
+            worst = np.full(len(self.ids), np.inf)
+            np.minimum.at(worst, self.query, self.total.astype(float))
+            self.least[full] = np.maximum(self.least[full], worst[full])
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(self.ids[self.query]), pa.array(self.vec), pa.array(self.total)], names=["query_id", "vec_id", "score"]
+        )
+
+
+def _meet(queries: DataFrame, candidates: DataFrame, k: int, grid: tuple[int, int], heads: bool) -> DataFrame:
+    """(query_id, vec_id, score) of what each cell gives to phase 1 or to phases 2 and 3.
+
+    Candidate blocks are dealt to the rows of a grid and query blocks to its columns; a cell
+    is one task and keeps k rows for each of its queries.
+    """
+    high, wide = grid
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = candidates.select(F.col("ids").alias("c_ids"), F.col("dims").alias("c_dims"), F.col("data").alias("c_data"), F.pmod(F.xxhash64("ids"), F.lit(high)).cast("int").alias("row"), every(wide).alias("column"))
+    right = queries.withColumns({"row2": every(high), "column2": F.pmod(F.xxhash64("ids"), F.lit(wide)).cast("int")})
+    pairs = left.join(right, (F.col("row") == F.col("row2")) & (F.col("column") == F.col("column2"))).select(
+        "ids", "dims", "data", "cutoffs", "c_ids", "c_dims", "c_data"
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running: dict[bytes, _Running] = {}
         for batch in batches:
             for row in range(batch.num_rows):
                 q_ids, q_dims, q_data, cutoffs, c_ids, c_dims, c_data = (batch.column(i)[row].as_py() for i in range(7))
-                q_ids, c_ids = np.frombuffer(q_ids, np.int64), np.frombuffer(c_ids, np.int64)
-                local = _local_scores(
-                    np.frombuffer(q_data).reshape(len(q_ids), q_dims), np.frombuffer(c_data).reshape(len(c_ids), c_dims)
-                )
-                own = q_ids[:, None] == c_ids[None, :]
-                taken = np.zeros(own.shape, bool)
-                if heads:  # one more than k: a query's own row may stand among them
-                    top = min(k + 1, len(c_ids))
-                    for scores in local:
-                        best = np.argpartition(-scores, top - 1, axis=1)[:, :top]
-                        np.put_along_axis(taken, best, True, axis=1)
-                else:
-                    cutoff = np.nextafter(np.frombuffer(cutoffs), -np.inf)[:, None]
-                    for scores in local:
-                        taken |= (scores * LISTS >= cutoff).astype(bool)
-                query, at = np.nonzero(taken & ~own)
-                totals = sum(scores[query, at] for scores in local)
-                if totals.dtype == object:
-                    totals = np.array([min(max(t, -(2**63) + 1), 2**63 - 1) for t in totals], np.int64)
-                else:
-                    totals = totals.astype(np.int64)
-                keep = _best(query, c_ids[at], totals, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[query[keep]]), pa.array(c_ids[at[keep]]), pa.array(totals[keep])],
-                    names=["query_id", "vec_id", "score"],
-                )
+                if q_ids not in running:
+                    if len(running) >= RUNNING:
+                        yield running.pop(next(iter(running))).rows()
+                    ids = np.frombuffer(q_ids, np.int64)
+                    running[q_ids] = _Running(ids, np.frombuffer(q_data).reshape(len(ids), q_dims), None if heads else np.frombuffer(cutoffs), k)
+                ids = np.frombuffer(c_ids, np.int64)
+                running[q_ids].take(ids, np.frombuffer(c_data).reshape(len(ids), c_dims))
+        for left_over in running.values():
+            yield left_over.rows()
 
     return pairs.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
 
 
+def _grid(candidates: int, queries: int, tasks: int) -> tuple[int, int]:
+    """Rows and columns: as many cells as there are tasks, or block pairs if these are fewer."""
+    high = max(1, min(candidates, tasks))
+    return high, max(1, min(queries, -(-tasks // high)))
+
+
 def top_k(
     vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of ``vectors`` for each row of ``queries``."""
-    package_path(vectors.sparkSession)
+    spark = vectors.sparkSession
+    package_path(spark)
     asked = stored(usable(queries, id_col, vector_col), "topk-queries")
-    blocks = stored(_pack(usable(vectors, id_col, vector_col), CANDIDATE_BLOCK), "topk-blocks")
-    tasks = max(1, -(-asked.count() // QUERY_BLOCK))
+    rows = stored(usable(vectors, id_col, vector_col), "topk-vectors")
+    n_queries, n_blocks = -(-asked.count() // QUERY_BLOCK), -(-rows.count() // CANDIDATE_BLOCK)
+    blocks = stored(_pack(rows.coalesce(max(1, n_blocks)), CANDIDATE_BLOCK), "topk-blocks")
+    grid = _grid(n_blocks, n_queries, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = max(1, n_queries)
 
-    heads = _meet(_pack(asked.repartition(tasks, "id"), QUERY_BLOCK), blocks, k, heads=True)
+    heads = _meet(_pack(asked.repartition(spread, "id"), QUERY_BLOCK), blocks, k, grid, heads=True)
     ranked = heads.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     # Below the k-th best score seen no candidate can be wanted.
     cutoffs = ranked.where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("least"))
@@ -154,7 +227,7 @@ def top_k(
     )
     limited = stored(limited, "topk-cutoffs")
 
-    entries = _meet(_pack(limited.repartition(tasks, "id"), QUERY_BLOCK), blocks, k, heads=False)
+    entries = _meet(_pack(limited.repartition(spread, "id"), QUERY_BLOCK), blocks, k, grid, heads=False)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"

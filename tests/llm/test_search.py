@@ -222,3 +222,36 @@ def test_patterns_of_repetition_do_not_make_hashes_collide():
     assert len(set(hashes[:-1].tolist())) == len(words)
     assert hashes[-1] == hashes[0]
     assert len(word_hashes(data, starts[:0], stops[:0])) == 0
+
+
+def test_top_k_skips_blocks_that_cannot_matter(spark, monkeypatch):
+    """Lengths from tiny to large over many blocks; the result is that of brute force."""
+    rnd = np.random.default_rng(4)
+    data = rnd.normal(size=(900, 9)) * np.exp(rnd.normal(size=(900, 1)) * 2)
+    data[5] = data[6] = data[7]  # ties go to the smaller id
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(12)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    whole = np.floor(1024 * data)
+    want = set()
+    for q in range(0, 900, 30):
+        scores = sorted((-int(whole[q] @ whole[c]), c) for c in range(900) if c != q)[:7]
+        want |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(scores)}
+    got = topk.top_k(vectors, vectors.where("vec_id % 30 = 0"), k=7).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+
+
+def test_grid_grows_with_both_sides():
+    assert topk._grid(0, 0, 8) == (1, 1)
+    assert topk._grid(3, 50, 12) == (3, 4)
+    assert topk._grid(1000, 50, 200) == (200, 1)
+    assert topk._grid(2, 2, 200) == (2, 2)
+
+
+def test_running_queries_skip_short_vectors():
+    held = topk._Running(np.array([1, 2]), np.array([[3.0, 4.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0]]), None, 1)
+    held.take(np.array([10, 11]), np.array([[30.0, 40.0, 0.0, 0.0], [100.0, 0.0, 0.0, 0.0]]))
+    assert dict(zip(held.ids[held.query].tolist(), held.total.tolist())) == {1: 300, 2: 100}
+    assert len(held.reach(np.array([[1.0, 1.0, 1.0, 1.0]]))) == 0
+    assert held.reach(np.array([[99.0, 0.0, 0.0, 0.0]])).tolist() == [0, 1]
