@@ -7,10 +7,9 @@ from corpusfreq.functions.arrays import running_sums
 from corpusfreq.functions.text import slice_lines
 from corpusfreq.operators import tokens as tk
 
+# A sentence, the same on four lines, and the start columns of its tokens.
 SENTENCE = "Now is the time for all good people to come to the aid of their country."
 FOUR_LINES = "Now is the time for\nall good people to come\nto the aid of their\ncountry."
-
-# Expected start columns of the sentence's tokens.
 STARTS = [0, 4, 7, 11, 16, 20, 24, 29, 36, 39, 44, 47, 51, 55, 58, 64]
 LINE_STARTS = [
     (0, 0), (0, 4), (0, 7), (0, 11), (0, 16),
