@@ -168,7 +168,9 @@ def likelihood_matrix(items: DataFrame, bigrams: DataFrame, compat: bool = False
     exists is finite.
     """
     items, bigrams = stored(items, "items"), stored(bigrams, "bigrams")
-    counted = _with_totals(with_item_counts(bigrams, items, ("w1", "w2")), items, bigrams)
+    # The filter below would be repeated, with its formulas, in either part of the lookup.
+    counted = stored(with_item_counts(bigrams, items, ("w1", "w2")), "counted")
+    counted = _with_totals(counted, items, bigrams)
     n = F.col("__n")
     c1, c2, c12 = F.col("c_w1"), F.col("c_w2"), F.col("count")
     parts = counted.withColumns({"p1": c1 / n, "p2": c2 / n, "p12": c12 / F.col("__m")})
