@@ -3,8 +3,9 @@
 The n-grams of the test items are kept in one hash table under their rarest word.
 Every word of a training text looks itself up there; where it is found, the token
 window around it is compared with the n-gram word by word, so a hit is exact. The
-table is broadcast while it has at most ``BROADCAST_GRAMS`` n-grams of bounded length,
-and joined by a shuffle beyond that.
+table is broadcast while it has at most ``BROADCAST_GRAMS`` n-grams of bounded length.
+Beyond that, words that pass a Bloom filter of the rarest words are joined by a shuffle,
+each with the few words that a window around it can hold.
 
 Texts are judged by content: equal texts are looked at as one, so repeated rows and
 repeated ids get the same answer, each in its own row.
@@ -12,7 +13,8 @@ repeated ids get the same answer, each in its own row.
 Defined cases: a null or word-less text has no words and is clean; a null or word-less
 item has no n-gram; null item ids are not reported but their windows count as hits; an
 empty benchmark makes every document clean; an item shorter than ``n`` words is one
-window. Other columns of the documents are never read under a fixed name.
+window; texts of any length are read whole. Other columns of the documents are never read
+under a fixed name.
 """
 
 from __future__ import annotations
@@ -66,19 +68,28 @@ def text_key(text: Column) -> Column:
 
 def find_hits(docs: DataFrame, grams: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, start, n, gram, n_words): where an n-gram stands in a distinct text, words from 0."""
-    table = anchored(grams)
-    if table.count() <= BROADCAST_GRAMS:
-        table = F.broadcast(table)
-    texts = docs.select(F.col(text_col).alias("body"))
-    scanned = texts.select("body", words(F.col("body")).alias("w")).select(
-        "body", "w", F.posexplode_outer("w").alias("pos", "word")
+    table = stored(anchored(grams), "anchors")
+    count, longest = table.agg(F.count("*"), F.coalesce(F.max(F.size("gram")), F.lit(1))).first()
+    texts = docs.select(F.col(text_col).alias("body")).select("body", words(F.col("body")).alias("w"))
+    start, n = (F.col("pos") - F.col("off")).alias("start"), F.size("gram").alias("n")
+    if count <= BROADCAST_GRAMS:
+        scanned = texts.select("body", "w", F.posexplode_outer("w").alias("pos", "word"))
+        met = scanned.join(F.broadcast(table), F.col("word") == F.col("anchor"))
+        window = F.when(F.col("pos") >= F.col("off"), F.slice("w", F.col("pos") - F.col("off") + 1, F.size("gram")))
+        n_words = F.size("w").cast("long").alias("n_words")
+        return met.where(window == F.col("gram")).select(text_key(F.col("body")).alias("key"), start, n, "gram", n_words).distinct()
+    # Only words that pass a Bloom filter of the anchors move, each with the words that a
+    # window around it can hold, and never with its text.
+    keyed = texts.select(text_key(F.col("body")).alias("key"), "w", F.posexplode_outer("w").alias("pos", "word"))
+    _, maybe = split(keyed, F.col("word"), table, "anchor")
+    low = F.greatest(F.col("pos") - F.lit(longest - 1), F.lit(0))
+    near = maybe.select(
+        "key", F.size("w").cast("long").alias("n_words"), "pos", "word", low.alias("low"),
+        F.slice("w", low + 1, F.lit(2 * longest - 1)).alias("near"),
     )
-    met = scanned.join(table, F.col("word") == F.col("anchor"))
-    window = F.when(F.col("pos") >= F.col("off"), F.slice("w", F.col("pos") - F.col("off") + 1, F.size("gram")))
-    hits = met.where(window == F.col("gram"))
-    start = (F.col("pos") - F.col("off")).alias("start")
-    n, n_words = F.size("gram").alias("n"), F.size("w").cast("long").alias("n_words")
-    return hits.select(text_key(F.col("body")).alias("key"), start, n, "gram", n_words).distinct()
+    met = near.join(table, F.col("word") == F.col("anchor"))
+    window = F.when(F.col("pos") >= F.col("off"), F.slice("near", F.col("pos") - F.col("off") - F.col("low") + 1, F.size("gram")))
+    return met.where(window == F.col("gram")).select("key", start, n, "gram", "n_words").distinct()
 
 
 def covered(hits: DataFrame) -> DataFrame:

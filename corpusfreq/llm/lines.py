@@ -8,8 +8,8 @@ documents meet that list in one join on the host and are cut in their own row.
 Defined cases: null hosts form one host of their own; null texts stay null and count
 as pages; blank lines are never dropped; a line found on fewer than ``min_pages``
 pages is never dropped, so small hosts keep their text; repeated rows are pages of
-their own; a document whose lines all go stays with an empty text. All other columns
-pass through unchanged.
+their own; a document whose lines all go stays with an empty text; texts of any length
+are cut whole. All other columns pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ never changes the result.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no
 rule, is not listed and gets ``allow``. Repeated rows are kept, each with its verdict.
-Null list entries are ignored. An empty list blocks nothing. Other columns are not
-read, so their names never clash.
+Null list entries are ignored. An empty list blocks nothing. URLs of any length are
+read whole. Other columns are not read, so their names never clash.
 """
 
 from __future__ import annotations
