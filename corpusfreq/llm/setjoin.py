@@ -29,8 +29,8 @@ loses nothing.
 
 Defined cases: null and word-less texts have an empty set, link with nothing and are their
 own component; a text of fewer than n words has its whole sequence as one element; rows
-with equal ids are one document; a row with a null id links with nothing and has a null
-component; texts are read whole. Other columns are not read.
+with equal ids are one document; ids are cast to 64-bit integers; a row with a null id
+links with nothing and has a null component; texts are read whole. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ have the same set of folded words are one example, in every count.
 
 Defined cases: a null or empty text matches nothing and has the score of a text without a
 match; null labels or ids teach nothing; without toxic examples the lexicon is empty and
-every score is the same; repeated rows are scored alike; texts are read whole.
+every score is the same; repeated rows are scored alike; texts are read whole; other columns
+are not read, and columns that are kept may have any names but those of the answers.
 """
 
 from __future__ import annotations
