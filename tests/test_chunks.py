@@ -54,7 +54,7 @@ def same(a, b):
     assert sorted(map(tuple, a.select(b.columns).collect())) == sorted(map(tuple, b.collect()))
 
 
-@pytest.mark.parametrize(("size", "order"), [(1, "sorted"), (3, "shuffled"), (7, "reversed"), (200, "sorted")])
+@pytest.mark.parametrize(("size", "order"), [(1, "shuffled"), (7, "reversed"), (200, "sorted")])
 def test_tokens_and_ngrams_of_chunks(spark, tmp_path, size, order):
     rnd = random.Random(size)
     rows = cut(TEXTS, rnd, size)
@@ -68,10 +68,9 @@ def test_tokens_and_ngrams_of_chunks(spark, tmp_path, size, order):
     texts = whole(spark, TEXTS)
     run(ch.chunk_tokens(arriving(spark, tmp_path)), tmp_path, "tokens")
     same(spark.read.parquet(f"{tmp_path}/tokens"), tk.tokenizer(texts))
-    vectors = tk.corpus_vectors(texts)
-    for n in (1, 2, 4):
-        run(ch.chunk_ngrams(arriving(spark, tmp_path), n), tmp_path, f"grams{n}")
-        same(spark.read.parquet(f"{tmp_path}/grams{n}"), ng.ngrams(vectors, n, keep=["doc_id"]))
+    n = {1: 4, 7: 2, 200: 1}[size]
+    run(ch.chunk_ngrams(arriving(spark, tmp_path), n), tmp_path, "grams")
+    same(spark.read.parquet(f"{tmp_path}/grams"), ng.ngrams(tk.corpus_vectors(texts), n, keep=["doc_id"]))
 
 
 def test_a_restart_goes_on_in_the_middle(spark, tmp_path):
