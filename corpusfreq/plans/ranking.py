@@ -7,7 +7,7 @@ bounded table) then give every partition its starting offset.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,7 +62,7 @@ def running_total(
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.withColumn("__local", F.coalesce(F.col(value).cast(kind), F.lit(0).cast(kind)))
     ranged = rows.repartitionByRange(partitions, *order_by).sortWithinPartitions(*order_by)
-    local = ranged.mapInArrow(_running_sums, ranged.schema).withColumn("__pid", F.spark_partition_id())
+    local = ranged.mapInArrow(running_sums(), ranged.schema).withColumn("__pid", F.spark_partition_id())
     placed = stored(local, "running")
     # The last sum of a partition is its total, whatever the signs of its values.
     sums = placed.groupBy("__pid").agg(F.sum(F.col(value).cast(kind)).alias("__s"))
@@ -75,18 +75,26 @@ def running_total(
     )
 
 
-def _running_sums(batches: Iterator) -> Iterator:
-    """Replace the last column by its running sum over all batches of a partition."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
+def running_sums() -> Callable[[Iterator], Iterator]:
+    """A function that replaces the last column by its running sum over all batches.
 
-    before = 0
-    for batch in batches:
-        last = batch.num_columns - 1
-        sums = pc.add(pc.cumulative_sum(batch.column(last)), pa.scalar(before, batch.column(last).type))
-        if len(sums):
-            before = sums[len(sums) - 1].as_py()
-        yield pa.RecordBatch.from_arrays([*batch.columns[:last], sums], schema=batch.schema)
+    Made here and not defined by the module, so that it travels to the workers by value:
+    they need not have this package.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        before = 0
+        for batch in batches:
+            last = batch.num_columns - 1
+            sums = pc.add(pc.cumulative_sum(batch.column(last)), pa.scalar(before, batch.column(last).type))
+            if len(sums):
+                before = sums[len(sums) - 1].as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], sums], schema=batch.schema)
+
+    return run
 
 
 def ordinal_within(

@@ -21,7 +21,7 @@ unfinished token in the state; after its end an id may be used anew.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,35 +35,44 @@ STATE = "next bigint, piece bigint, line int, col int, seen bigint, open string,
 START = (0, 0, 0, 0, 0, "", [], "[]")
 
 
-def _step(state: list, chunk: dict, n: int) -> tuple | None:
-    """Take the next chunk into the state; the text that no longer changes, with its place."""
-    _, piece, line, col, seen, open_, before, _ = state
-    text, last, tail = chunk["text"], chunk["last"], list(chunk["tail"])
-    state[0] += 1
-    # Nothing, or one run of token characters: the open token may still go on.
-    one_run = chunk["count"] == 1 and chunk["begins"] and chunk["ends"]
-    if (one_run or not text) and not last:
-        state[5] = open_ + text
-        return None
-    whole, count = open_ + text, chunk["count"]
-    if open_ and chunk["begins"]:
-        if count <= len(tail):
-            tail[0] = open_ + tail[0]
-    elif open_:
-        tail, count = [open_, *tail], count + 1
-    rest = ""
-    if chunk["ends"] and not last:
-        rest, count = tail.pop(), count - 1
-        whole = whole[: len(whole) - len(rest)]
-    state[5] = rest
-    if not whole:
-        return None
-    state[1], state[4] = piece + 1, seen + count
-    breaks = whole.count("\n")
-    state[2] = line + breaks
-    state[3] = len(whole) - whole.rfind("\n") - 1 if breaks else col + len(whole)
-    state[6] = [*before, *tail][-(n - 1) :] if n > 1 else []
-    return piece, line, col, seen, whole, list(before)
+def stepper(n: int) -> Callable[[list, dict], tuple | None]:
+    """What takes the next chunk into a document's state.
+
+    Made here and not defined by the module, so that it travels to the workers by value:
+    they need not have this package.
+    """
+
+    def step(state: list, chunk: dict) -> tuple | None:
+        """The text that no longer changes, with its place; none while a token is open."""
+        _, piece, line, col, seen, open_, before, _ = state
+        text, last, tail = chunk["text"], chunk["last"], list(chunk["tail"])
+        state[0] += 1
+        # Nothing, or one run of token characters: the open token may still go on.
+        one_run = chunk["count"] == 1 and chunk["begins"] and chunk["ends"]
+        if (one_run or not text) and not last:
+            state[5] = open_ + text
+            return None
+        whole, count = open_ + text, chunk["count"]
+        if open_ and chunk["begins"]:
+            if count <= len(tail):
+                tail[0] = open_ + tail[0]
+        elif open_:
+            tail, count = [open_, *tail], count + 1
+        rest = ""
+        if chunk["ends"] and not last:
+            rest, count = tail.pop(), count - 1
+            whole = whole[: len(whole) - len(rest)]
+        state[5] = rest
+        if not whole:
+            return None
+        state[1], state[4] = piece + 1, seen + count
+        breaks = whole.count("\n")
+        state[2] = line + breaks
+        state[3] = len(whole) - whole.rfind("\n") - 1 if breaks else col + len(whole)
+        state[6] = [*before, *tail][-(n - 1) :] if n > 1 else []
+        return piece, line, col, seen, whole, list(before)
+
+    return step
 
 
 def pieces(
@@ -78,7 +87,7 @@ def pieces(
     """``doc_id, piece, line, col, ord, text, before``: the text again, cut between tokens.
 
     ``line`` and ``col`` say where the piece begins, ``ord`` numbers its first token, and
-    ``before`` holds the n - 1 tokens ahead of it. Works on streams and on tables.
+    ``before`` holds the n - 1 tokens ahead of it.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
@@ -97,12 +106,12 @@ def pieces(
         F.col(doc).alias("doc"), F.col(chunk).cast("long").alias("no"), body.alias("text"),
         F.coalesce(F.col(last), F.lit(False)).alias("last"), let(matches(body, pattern), facts).alias("f"),
     ).select("doc", "no", "text", "last", "f.*")
-    kind = chunks.schema[doc].dataType.simpleString()
+    kind, step, start = chunks.schema[doc].dataType.simpleString(), stepper(n), START
 
     def advance(key: tuple, frames: Iterator, state) -> Iterator:
         import pandas as pd
 
-        now = list(state.get) if state.exists else list(START)
+        now = list(state.get) if state.exists else list(start)
         now[6] = list(now[6])
         waiting = {c["no"]: c for c in json.loads(now[7])}
         for frame in frames:
@@ -115,7 +124,7 @@ def pieces(
         out, ended = [], False
         while now[0] in waiting and not ended:
             taken = waiting.pop(now[0])
-            done = _step(now, taken, n)
+            done = step(now, taken)
             if done is not None:
                 out.append((key[0], *done))
             ended = taken["last"]

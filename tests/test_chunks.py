@@ -1,10 +1,15 @@
+import os
 import random
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from corpusfreq.operators import ngrams as ng
 from corpusfreq.operators import tokens as tk
+from corpusfreq.plans.ranking import running_sums
 from corpusfreq.streaming import chunks as ch
 from corpusfreq.streaming import streams as sr
 
@@ -103,6 +108,24 @@ def test_state_does_not_grow_with_a_document(spark, tmp_path):
     for no in range(200):
         text = f"word{no} and tail"
         found = ["word", "and", "tail"]
-        ch._step(state, {"text": text, "last": False, "count": 3, "tail": found, "begins": True, "ends": True}, 3)
+        ch.stepper(3)(state, {"text": text, "last": False, "count": 3, "tail": found, "begins": True, "ends": True})
         assert state[0] == no + 1 and len(state[6]) == 2 and state[5] == "tail"
     assert state[4] == 200 * 2
+
+
+def test_functions_travel_without_the_package(tmp_path):
+    """A worker on another machine has Spark and Arrow, but not this package."""
+    made = cloudpickle.dumps((running_sums(), ch.stepper(2)))
+    code = """
+import pickle, sys
+import pyarrow as pa
+sums, step = pickle.load(sys.stdin.buffer)
+assert not any(m.startswith("corpusfreq") for m in sys.modules)
+batch = lambda v: pa.RecordBatch.from_arrays([pa.array(["x"] * len(v)), pa.array(v)], names=["a", "b"])
+print([b.column(1).to_pylist() for b in sums(iter([batch([1, 2]), batch([3])]))])
+print(step([0, 0, 0, 0, 0, "", [], "[]"], {"text": "a b", "last": True, "count": 2, "tail": ["a", "b"], "begins": True, "ends": True}))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], input=made, capture_output=True, cwd=tmp_path, env=env)
+    assert done.returncode == 0, done.stderr.decode()
+    assert done.stdout.decode().splitlines() == ["[[1, 3], [6]]", "(0, 0, 0, 0, 'a b', [])"]
