@@ -62,7 +62,9 @@ def running_total(
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.withColumn("__local", F.coalesce(F.col(value).cast(kind), F.lit(0).cast(kind)))
     ranged = rows.repartitionByRange(partitions, *order_by).sortWithinPartitions(*order_by)
-    local = ranged.mapInArrow(running_sums(), ranged.schema).withColumn("__pid", F.spark_partition_id())
+    # Only the values go to the worker; the other columns wait beside it.
+    sums_of = F.arrow_udf(running_sums(), kind)
+    local = ranged.withColumn("__local", sums_of("__local")).withColumn("__pid", F.spark_partition_id())
     placed = stored(local, "running")
     # The last sum of a partition is its total, whatever the signs of its values.
     sums = placed.groupBy("__pid").agg(F.sum(F.col(value).cast(kind)).alias("__s"))
@@ -76,24 +78,26 @@ def running_total(
 
 
 def running_sums() -> Callable[[Iterator], Iterator]:
-    """A function that replaces the last column by its running sum over all batches.
+    """A function from a partition's values, array by array, to their running sums.
 
     Made here and not defined by the module, so that it travels to the workers by value:
     they need not have this package.
     """
 
-    def run(batches: Iterator) -> Iterator:
+    import pyarrow
+
+    def run(arrays):
         import pyarrow as pa
         import pyarrow.compute as pc
 
         before = 0
-        for batch in batches:
-            last = batch.num_columns - 1
-            sums = pc.add(pc.cumulative_sum(batch.column(last)), pa.scalar(before, batch.column(last).type))
+        for values in arrays:
+            sums = pc.add(pc.cumulative_sum(values), pa.scalar(before, values.type))
             if len(sums):
                 before = sums[len(sums) - 1].as_py()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], sums], schema=batch.schema)
+            yield sums
 
+    run.__annotations__ = {"arrays": Iterator[pyarrow.Array], "return": Iterator[pyarrow.Array]}
     return run
 
 

@@ -121,8 +121,7 @@ import pickle, sys
 import pyarrow as pa
 sums, step = pickle.load(sys.stdin.buffer)
 assert not any(m.startswith("corpusfreq") for m in sys.modules)
-batch = lambda v: pa.RecordBatch.from_arrays([pa.array(["x"] * len(v)), pa.array(v)], names=["a", "b"])
-print([b.column(1).to_pylist() for b in sums(iter([batch([1, 2]), batch([3])]))])
+print([a.to_pylist() for a in sums(iter([pa.array([1, 2]), pa.array([3])]))])
 print(step([0, 0, 0, 0, 0, "", [], "[]"], {"text": "a b", "last": True, "count": 2, "tail": ["a", "b"], "begins": True, "ends": True}))
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
