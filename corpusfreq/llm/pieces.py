@@ -196,7 +196,7 @@ def encoder(model_file: str) -> PieceEncoder:
     return held("pieces", model_file, lambda: PieceEncoder(model_file))
 
 
-def _map(docs: DataFrame, model_file: str, id_col: str, text_col: str, kind: list, columns: str, row) -> DataFrame:
+def _map(docs: DataFrame, model_file: str, id_col: str, text_col: str, kind: list, columns: str, row, lean: bool = False) -> DataFrame:
     """One output row per document; ``row(text)`` gives its values after the id."""
     package_path(docs.sparkSession)
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {columns}"
@@ -209,8 +209,8 @@ def _map(docs: DataFrame, model_file: str, id_col: str, text_col: str, kind: lis
                 rows = [row(t.as_py()) for t in texts.slice(lo, 256)]
                 values = [pa.array(list(c), type=t) for c, t in zip(zip(*rows), kind, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, 256), *values], names=[id_col, *names])
-        # Between tasks a worker keeps the young memo only.
-        encoder(model_file).old = {}
+        if lean:  # between tasks the worker keeps the young memo only
+            encoder(model_file).old = {}
 
     names = [part.strip().split(" ")[0] for part in columns.split(",")]
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
@@ -234,11 +234,17 @@ def decode_documents(encoded: DataFrame, model_file: str, id_col: str = "doc_id"
     return _map(encoded, model_file, id_col, ids_col, [pa.string()], "text string", row)
 
 
-def digest_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_tokens, and digests of the ids and of the text decoded from them."""
+def digest_documents(
+    docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", lean: bool = False
+) -> DataFrame:
+    """Per document: id, n_tokens, and digests of the ids and of the text decoded from them.
+
+    ``lean`` workers keep fewer words between tasks, for executors that have little memory
+    left; they encode some words again.
+    """
 
     def row(text):
         return encoder(model_file).digest(text or "")
 
     kind = [pa.int64(), pa.string(), pa.string()]
-    return _map(docs, model_file, id_col, text_col, kind, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", row)
+    return _map(docs, model_file, id_col, text_col, kind, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", row, lean)
