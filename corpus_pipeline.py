@@ -45,7 +45,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
-    return pieces.digest_documents(docs, model_file())
+    # The executors have run four stages before.
+    return pieces.digest_documents(docs, model_file(), lean=True)
 
 
 STAGES = [
