@@ -30,7 +30,8 @@ from corpusfreq.llm.workers import held, package_path, task
 
 MARK = "▁"
 # Words and tested pairs kept by a worker. A full memo of words becomes the old one.
-MEMO_WORDS = 100_000
+MEMO_WORDS = 300_000
+LEAN_WORDS = 100_000
 MEMO_PAIRS = 300_000
 # Words longer than this are encoded without keeping them.
 MEMO_CHARS = 64
@@ -40,7 +41,8 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]*")
 class PieceEncoder:
     """Encoder of one worker for a BPE model with byte fallback."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, words: int | None = None):
+        self.words = words or MEMO_WORDS
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         size = self.model.get_piece_size()
         special = lambda i: self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i)
@@ -137,7 +139,7 @@ class PieceEncoder:
                 if ids is None:
                     ids = self._part(part)
                     if len(part) <= MEMO_CHARS:
-                        if len(parts) >= MEMO_WORDS:
+                        if len(parts) >= self.words:
                             parts.clear()
                         parts[part] = ids
                 out.extend(ids)
@@ -150,7 +152,7 @@ class PieceEncoder:
             ids = self._chunk(chunk)
             entry = ids, "".join([f"{i}," for i in ids])
         if len(chunk) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO_WORDS:
+            if len(self.memo) >= self.words:
                 self.old, self.memo = self.memo, {}
             self.memo[chunk] = entry
         return entry
@@ -191,9 +193,9 @@ class PieceEncoder:
         return self.model.decode(ids) if ids else ""
 
 
-def encoder(model_file: str) -> PieceEncoder:
+def encoder(model_file: str, words: int = LEAN_WORDS) -> PieceEncoder:
     """The worker's encoder; workers are reused, so its tables are built once."""
-    return held("pieces", model_file, lambda: PieceEncoder(model_file))
+    return held("pieces", f"{words} {model_file}", lambda: PieceEncoder(model_file, words))
 
 
 def _map(docs: DataFrame, model_file: str, id_col: str, text_col: str, kind: list, columns: str, row, lean: bool = False) -> DataFrame:
@@ -239,12 +241,14 @@ def digest_documents(
 ) -> DataFrame:
     """Per document: id, n_tokens, and digests of the ids and of the text decoded from them.
 
-    ``lean`` workers keep fewer words between tasks, for executors that have little memory
-    left; they encode some words again.
+    ``lean`` workers keep fewer words, and fewer still between tasks, for executors that have
+    little memory left; they encode some words again.
     """
 
+    words = LEAN_WORDS if lean else MEMO_WORDS
+
     def row(text):
-        return encoder(model_file).digest(text or "")
+        return encoder(model_file, words).digest(text or "")
 
     kind = [pa.int64(), pa.string(), pa.string()]
     return _map(docs, model_file, id_col, text_col, kind, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", row, lean)
