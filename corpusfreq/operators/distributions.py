@@ -207,19 +207,24 @@ class SgtDist(Distribution):
 
 @dataclass(frozen=True)
 class LidstoneDist(Distribution):
-    """(c + gamma) / (N + bins·gamma); the bins default to the observed items."""
+    """(c + gamma) / (N + bins·gamma); the bins default to the observed items.
+
+    Fewer bins than observed items are an error. With ``strict`` off the formula is taken
+    as it is: the probabilities then add up to more than 1.
+    """
 
     freqs: DataFrame = None
     gamma: float = 0.5
     bins: int | None = None
+    strict: bool = True
 
     @staticmethod
-    def of(freqs: DataFrame, gamma: float = 0.5, bins: int | None = None) -> LidstoneDist:
+    def of(freqs: DataFrame, gamma: float = 0.5, bins: int | None = None, strict: bool = True) -> LidstoneDist:
         if gamma < 0:
             raise DistributionException("gamma must not be negative")
-        shell = LidstoneDist(freqs, freqs, gamma, bins)
+        shell = LidstoneDist(freqs, freqs, gamma, bins, strict)
         p = shell._p(F.col("count"))
-        return LidstoneDist(freqs.select("item", "count", p.alias("p")), freqs, gamma, bins)
+        return LidstoneDist(freqs.select("item", "count", p.alias("p")), freqs, gamma, bins, strict)
 
     def _p(self, count: Column) -> Column:
         observed = self.freqs.agg(F.count("*")).scalar()
@@ -227,6 +232,8 @@ class LidstoneDist(Distribution):
         if self.bins is None:
             return scores.lidstone(count, total, self.gamma, observed)
         p = scores.lidstone(count, total, self.gamma, F.lit(self.bins))
+        if not self.strict:
+            return p
         # Checked by the job itself: counting the items here would run one more.
         return F.when(
             observed > self.bins, F.raise_error(F.lit("fewer bins than observed items")).cast("double")

@@ -298,6 +298,9 @@ def test_distributions(spark):
         di.LidstoneDist.of(freqs, -1.0)
     with pytest.raises(Exception, match="fewer bins"):
         di.LidstoneDist.of(freqs, 0.5, bins=2).table.collect()
+    narrow = di.LidstoneDist.of(freqs, 0.5, bins=2, strict=False)
+    assert close(dist(narrow)["w1"], (truth["w1"] + 0.5) / (n + 1))
+    assert close(asked(spark, narrow, "unknown")["unknown"], 0.5 / (n + 1))
 
 
 def test_generate(spark):
