@@ -19,13 +19,20 @@ from suite.registry import BENCH_WORDS, FREQS, TOKENS, documents, query, table
 from suite.text_queries import TARGET, VOCAB_SQL, vector_words
 
 
+def arriving_table(spark, sf, name):
+    """The rows of a table as a stream of files.
+
+    A stream reads a folder or a pattern, not a single file; the pattern finds the table
+    as one file and as a folder of part files.
+    """
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/[{name[0]}]{name[1:]}.parquet")
+
+
 def arriving(spark, sf):
     """The documents as a stream of files."""
-    schema = table(spark, sf, "documents").schema
     return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
+        arriving_table(spark, sf, "documents")
         .select("doc_id", "text")
         # The test input is one file with one row group.
         .repartition(spark.sparkContext.defaultParallelism, "doc_id")
@@ -179,8 +186,7 @@ def m1_chunks(spark, sf):
 
 
 def arriving_events(spark, sf):
-    schema = table(spark, sf, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return arriving_table(spark, sf, "events")
 
 
 def closed(length: str, late: str) -> str:

@@ -1,3 +1,5 @@
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,3 +115,21 @@ def test_a_second_run_continues_the_counts(spark, source):
         same(go(), fr.frequencies(tk.tokenizer(whole)))
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_a_table_arrives_as_one_file_and_as_a_folder(spark, tmp_path, parts):
+    """The stream queries read a table that is a file, or a folder of part files."""
+    from suite.stream_queries import arriving, arriving_events
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id int, text string")
+    events = spark.createDataFrame([(i,) for i in range(5)], "event_id int")
+    for name, rows in (("documents", docs), ("events", events)):
+        at = tmp_path / f"{name}.parquet"
+        folder = tmp_path / f"parts-{name}" if parts == 1 else at
+        rows.repartition(parts).write.parquet(str(folder))
+        if parts == 1:
+            shutil.copy(*folder.glob("part-*.parquet"), at)
+    for name, stream, rows in (("d", arriving, docs), ("e", arriving_events, events)):
+        run(sr.append_to(stream(spark, str(tmp_path)), str(tmp_path / name), str(tmp_path / f"{name}-checkpoint")))
+        same(spark.read.parquet(str(tmp_path / name)), rows)
