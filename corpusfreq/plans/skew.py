@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +14,12 @@ from pyspark.sql import functions as F
 # can never be more than ``share`` hot keys, whatever the size of the data. The share
 # follows the shuffle partitions: a key that is not hot holds a quarter of an average
 # partition at most.
-LEAST_SHARE = 10_000
+LEAST_SHARE = 100_000
 SHARES_PER_PARTITION = 4
 
+# What a key that is not hot finds.
+COLD = "__cold"
+
 
 def default_share(df: DataFrame) -> int:
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -58,9 +63,10 @@ def lookup_joins(rows: DataFrame, lookups: Sequence[Lookup], hot_share: int | No
 
     Keys holding at least ``1/hot_share`` of the total weight are at most
     ``hot_share`` many and are broadcast at any scale. Rows that these and missing
-    keys answer completely are finished there and never shuffled. The rest takes an
-    ordinary join per lookup; its keys are all small, and a row that has this
-    lookup's answer already goes to a random place instead of piling up.
+    keys answer completely are finished there and never shuffled. The others are parted
+    by the lookups that are still open, and a part takes an ordinary join for each of
+    those and for no other; all keys in it are small. Every part reads ``rows`` again,
+    two to the power of the lookups in all: store a table that is costly to make.
     """
     share = default_share(rows) if hot_share is None else hot_share
     hits, colds, marked = [], [], rows
@@ -73,22 +79,18 @@ def lookup_joins(rows: DataFrame, lookups: Sequence[Lookup], hot_share: int | No
     served = [
         F.col(hit).isNotNull() | _any(F.col(r).isNull() for r in keys) for hit, (keys, _) in zip(hits, colds)
     ]
-    done, rest = marked.where(_all(served)), marked.where(~_all(served))
-    for j, (keys, cold) in enumerate(colds):
-        condition = _all(F.col(r) == F.col(t) for r, t in keys.items())
-        if len(colds) > 1:
-            # Not a literal on either side: the optimizer would drop it from the keys.
-            place = F.when(served[j], F.monotonically_increasing_id()).otherwise(F.xxhash64(*keys))
-            open_ = [F.when(~served[j], F.col(r)).alias(f"__k{i}") for i, r in enumerate(keys)]
-            rest = rest.select("*", *open_, place.alias("__place"))
-            condition = _all(F.col(f"__k{i}") == F.col(t) for i, t in enumerate(keys.values()))
-            condition = condition & (F.col("__place") == F.xxhash64(*keys.values()))
-        rest = rest.join(cold, condition, "left").withColumn(f"__hit{j}", F.coalesce(f"__hit{j}", f"__cold{j}"))
-        rest = rest.drop(f"__cold{j}", "__place", *keys.values(), *[f"__k{i}" for i in range(len(keys))])
     new = [(dst, f"__hit{j}") for j, lookup in enumerate(lookups) for dst in lookup.values]
     kept = [c for c in rows.columns if c not in dict(new)]
-    both = done.select(*kept, *hits).unionByName(rest.select(*kept, *hits))
-    return both.select(*kept, *[F.col(hit)[dst].alias(dst) for dst, hit in new])
+    parts = []
+    for asks in product((False, True), repeat=len(lookups)):
+        part = marked.where(_all(~s if ask else s for s, ask in zip(served, asks)))
+        for hit, (keys, cold), ask in zip(hits, colds, asks):
+            if ask:
+                condition = _all(F.col(r) == F.col(t) for r, t in keys.items())
+                part = part.drop(hit).join(cold.withColumnRenamed(COLD, hit), condition, "left").drop(*keys.values())
+        parts.append(part.select(*kept, *hits))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.select(*kept, *[F.col(hit)[dst].alias(dst) for dst, hit in new])
 
 
 def _split(rows: DataFrame, lookup: Lookup, share: int, j: int) -> tuple[dict[str, str], DataFrame, DataFrame]:
@@ -103,7 +105,7 @@ def _split(rows: DataFrame, lookup: Lookup, share: int, j: int) -> tuple[dict[st
     total = keyed.agg(F.sum("__w")).scalar()
     is_hot = F.coalesce(F.col("__w") * F.lit(share) >= total, F.lit(False))
     hot = keyed.where(is_hot).drop("__w").withColumnRenamed("__p", f"__hit{j}")
-    cold = keyed.where(~is_hot).drop("__w").withColumnRenamed("__p", f"__cold{j}")
+    cold = keyed.where(~is_hot).drop("__w").withColumnRenamed("__p", COLD)
     return renamed, hot, cold
 
 

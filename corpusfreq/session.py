@@ -71,5 +71,5 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     Unlike ``durable`` the planner knows its size and reads single columns of it.
     """
     path = new_shared_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
