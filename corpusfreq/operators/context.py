@@ -86,8 +86,10 @@ def measured_contexts(
                 held = reach_back(sums, i, size, size + 2)
             else:
                 held = 1 + F.when(i == 0, 0).otherwise(reach_back(sums, i - 1, size, size + 2))
-            return F.struct(
-                i.alias("ord"), F.slice(words, i + 2 - held, held).alias("context")
+            # Named first: the slice takes it twice.
+            return let(
+                held,
+                lambda h: F.struct(i.alias("ord"), F.slice(words, i + 2 - h, h).alias("context")),
             )
 
         return F.transform(words, one)

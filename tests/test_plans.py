@@ -2,6 +2,7 @@
 
 import pytest
 
+from corpusfreq.operators import context as cx
 from corpusfreq.plans.skew import Lookup, lookup_joins
 
 
@@ -21,3 +22,19 @@ def test_rows_take_only_the_joins_they_wait_for(spark, share):
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
     # A row that has its answer is not dealt to a random place of another lookup's join.
     assert "monotonically_increasing_id" not in plan(found)
+
+
+@pytest.mark.parametrize("trim_after", [False, True])
+def test_a_context_is_measured_once(spark, trim_after):
+    docs = spark.createDataFrame([(["aa", "b", "cccc", "dd"],)], "vector array<string>")
+    found = cx.measured_contexts(docs, 4, trim_after=trim_after)
+    assert plan(found).count("filter(") == 1
+    got = [r["context"] for r in found.orderBy("ord").collect()]
+    sums = [3, 5, 10, 13]
+    words = ["aa", "b", "cccc", "dd"]
+    brute = []
+    for i in range(4):
+        last = i if trim_after else i - 1
+        held = [j for j in range(last + 1) if sums[last] - sums[j] <= 4]
+        brute.append([words[j] for j in held] + ([] if trim_after else [words[i]]))
+    assert got == brute
