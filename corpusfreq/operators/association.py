@@ -206,9 +206,11 @@ def pmi_matrix(items: DataFrame, bigrams: DataFrame, compat: bool = False) -> Da
 
 def mle_matrix(bigrams: DataFrame) -> DataFrame:
     """P(second | first) for first words with more than one continuation."""
+    bigrams = stored(bigrams, "bigrams")
     heads = bigrams.groupBy("w1").agg(
         F.sum("count").alias("total"), F.count("*").alias("continuations")
     )
+    heads = stored(heads, "heads")
     joined = lookup_join(
         bigrams, heads, "w1", "continuations", {"total": "total", "continuations": "continuations"}
     )

@@ -2,6 +2,7 @@
 
 import pytest
 
+from corpusfreq.operators import association as assoc
 from corpusfreq.operators import context as cx
 from corpusfreq.plans.skew import Lookup, lookup_joins
 
@@ -24,6 +25,14 @@ def test_rows_take_only_the_joins_they_wait_for(spark, share):
     assert "monotonically_increasing_id" not in plan(found)
 
 
+def test_mle_matrix_reads_its_bigrams_once(spark, tmp_path):
+    rows = [("a", "b", 3), ("a", "c", 1), ("b", "a", 2)]
+    spark.createDataFrame(rows, "w1 string, w2 string, count long").write.parquet(str(tmp_path / "bigrams"))
+    matrix = assoc.mle_matrix(spark.read.parquet(str(tmp_path / "bigrams")))
+    assert not [f for f in matrix.inputFiles() if str(tmp_path) in f]
+    assert sorted(map(tuple, matrix.collect())) == [("a", "b", 3, 0.75), ("a", "c", 1, 0.25)]
+
+
 @pytest.mark.parametrize("trim_after", [False, True])
 def test_a_context_is_measured_once(spark, trim_after):
     docs = spark.createDataFrame([(["aa", "b", "cccc", "dd"],)], "vector array<string>")
