@@ -16,7 +16,7 @@ from corpusfreq.operators import kwic as kw
 from corpusfreq.operators import smoothing as sm
 from corpusfreq.operators import stats as st
 from corpusfreq.operators import tokens as tk
-from corpusfreq.session import new_shared_path
+from corpusfreq.session import new_shared_path, stored
 from suite.count_queries import (
     COUNTED,
     lang_freqs,
@@ -938,8 +938,13 @@ CROSS = cross_sql(HASHED)
 MEASURES = ["accuracy", "precision", "recall", "f1", "mse"]
 
 
+def folded(spark, sf):
+    """The training rows with their folds, stored since counts, scores and truth read them."""
+    return stored(fo.hash_folds(nb.to_training(labelled(spark, sf)), 5, seed=3), "training")
+
+
 def evaluated(spark, sf):
-    training = fo.hash_folds(nb.to_training(labelled(spark, sf)), 5, seed=3)
+    training = folded(spark, sf)
     results = nb.fold_results(nb.cross_validated(training), training)
     return nb.evaluate(results, "q1")
 
@@ -949,8 +954,7 @@ def evaluated(spark, sf):
     CROSS + "SELECT doc_id, fold, label, round(score, 6) AS score, round(p, 6) AS p FROM post",
 )
 def l9_proba(spark, sf):
-    training = fo.hash_folds(nb.to_training(labelled(spark, sf)), 5, seed=3)
-    scored = nb.classify_proba(nb.cross_validated(training))
+    scored = nb.classify_proba(nb.cross_validated(folded(spark, sf)))
     return scored.select("doc_id", "fold", "label", rounded("score", 6), rounded("p", 6))
 
 

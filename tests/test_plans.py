@@ -1,6 +1,7 @@
 """What a plan reads, stores and repeats."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusfreq.operators import association as assoc
 from corpusfreq.operators import context as cx
@@ -47,3 +48,13 @@ def test_a_context_is_measured_once(spark, trim_after):
         held = [j for j in range(last + 1) if sums[last] - sums[j] <= 4]
         brute.append([words[j] for j in held] + ([] if trim_after else [words[i]]))
     assert got == brute
+
+
+def test_the_folded_training_rows_are_stored(spark, tmp_path):
+    from suite.model_queries import folded
+
+    spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = folded(spark, str(tmp_path))
+    assert not [f for f in rows.inputFiles() if str(tmp_path) in f]
+    assert rows.agg(F.count("*")).first()[0] == 2
