@@ -10,6 +10,12 @@ Its size does not grow with the document. The state function only cuts the text
 token is open and hands it on; tokens are found before and after it by the same column
 expressions as in batch, so results equal those of the joined text.
 
+A call of the state function costs far more than a chunk does. So documents are dealt to
+buckets by a hash of their id, a call takes the chunks that have arrived for a bucket, and a
+row of the state holds the open documents of a bucket; a bucket without any leaves no row.
+More buckets make smaller calls. Their number belongs to the stream: it must not change
+between restarts.
+
 The token pattern must match runs of one class of characters, as the default does: then a
 run that a cut divides is one token again.
 
@@ -31,8 +37,13 @@ from corpusfreq.functions.text import TOKEN_PATTERN, line_tokens, matches
 from corpusfreq.operators.ngrams import ngrams
 from corpusfreq.operators.tokens import StopWords, _as_list, explode_tokens, remove_stop_words
 
-STATE = "next bigint, piece bigint, line int, col int, seen bigint, open string, before array<string>, waiting string"
+# The open documents of a bucket as JSON: [id, next chunk, next piece, line, column, tokens so
+# far, open token, tokens before, chunks that wait].
+STATE = "documents string"
 START = (0, 0, 0, 0, 0, "", [], "[]")
+BUCKETS = 4096
+# Pieces in a frame that the state function hands on.
+FRAME_PIECES = 2000
 
 
 def stepper(n: int) -> Callable[[list, dict], tuple | None]:
@@ -83,6 +94,7 @@ def pieces(
     text: str = "text",
     last: str = "last",
     pattern: str = TOKEN_PATTERN,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """``doc_id, piece, line, col, ord, text, before``: the text again, cut between tokens.
 
@@ -102,44 +114,57 @@ def pieces(
             F.coalesce(body.endswith(end), F.lit(False)).alias("ends"),
         )
 
-    rows = chunks.select(
-        F.col(doc).alias("doc"), F.col(chunk).cast("long").alias("no"), body.alias("text"),
-        F.coalesce(F.col(last), F.lit(False)).alias("last"), let(matches(body, pattern), facts).alias("f"),
-    ).select("doc", "no", "text", "last", "f.*")
-    kind, step, start = chunks.schema[doc].dataType.simpleString(), stepper(n), START
+    kind = chunks.schema[doc].dataType.simpleString()
+    # Ids travel as text; the empty one is null.
+    named = F.hex(F.col(doc)) if kind == "binary" else F.col(doc).cast("string")
+    rows = chunks.where(F.col(chunk).isNotNull()).select(
+        F.coalesce(F.concat(F.lit("="), named), F.lit("")).alias("doc"), F.col(chunk).cast("long").alias("no"),
+        body.alias("text"), F.coalesce(F.col(last), F.lit(False)).alias("last"), let(matches(body, pattern), facts).alias("f"),
+    ).select("doc", "no", "text", "last", "f.*", F.pmod(F.xxhash64("doc"), F.lit(buckets)).alias("bucket"))
+    step, start, most = stepper(n), START, FRAME_PIECES
+    columns = ["doc", "no", "text", "last", "count", "tail", "begins", "ends"]
 
     def advance(key: tuple, frames: Iterator, state) -> Iterator:
         import pandas as pd
 
-        now = list(state.get) if state.exists else list(start)
-        now[6] = list(now[6])
-        waiting = {c["no"]: c for c in json.loads(now[7])}
+        frame_of = lambda rows: pd.DataFrame(rows, columns=["doc", "piece", "line", "col", "ord", "text", "before"])
+        documents = {d[0]: d[1:] for d in json.loads(state.get[0])} if state.exists else {}
+        waiting, out = {}, []
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                if row.no >= now[0] and row.no not in waiting:
-                    waiting[int(row.no)] = {
-                        "no": int(row.no), "text": row.text, "last": bool(row.last), "count": int(row.count_),
-                        "tail": [str(t) for t in row.tail], "begins": bool(row.begins), "ends": bool(row.ends),
-                    }
-        out, ended = [], False
-        while now[0] in waiting and not ended:
-            taken = waiting.pop(now[0])
-            done = step(now, taken)
-            if done is not None:
-                out.append((key[0], *done))
-            ended = taken["last"]
-        if ended:
-            if state.exists:
-                state.remove()
-        else:
-            now[7] = json.dumps([waiting[k] for k in sorted(waiting)])
-            state.update(tuple(now))
-        yield pd.DataFrame(out, columns=["doc", "piece", "line", "col", "ord", "text", "before"])
-
-    schema = f"doc {kind}, piece bigint, line int, col int, ord bigint, text string, before array<string>"
-    rows = rows.withColumnRenamed("count", "count_")
-    cut = rows.groupBy("doc").applyInPandasWithState(advance, schema, STATE, "append", "NoTimeout")
-    return cut.withColumnRenamed("doc", doc)
+            for name, no, text, last, count, tail, begins, ends in zip(*[frame[c].tolist() for c in columns]):
+                now = documents.get(name)
+                if now is None:
+                    now = documents[name] = [*start[:6], [], []]
+                if name not in waiting:
+                    waiting[name] = {c[0]: c for c in now[7]}
+                if no >= now[0] and no not in waiting[name]:
+                    waiting[name][no] = [no, text, last, count, [str(t) for t in tail], begins, ends]
+        for name, held in waiting.items():
+            now, ended = documents[name], False
+            while now[0] in held and not ended:
+                taken = dict(zip(columns[1:], held.pop(now[0])))
+                done = step(now, taken)
+                if done is not None:
+                    out.append((name, *done))
+                ended = taken["last"]
+            if ended:
+                del documents[name]
+            else:
+                now[7] = [held[k] for k in sorted(held)]
+            if len(out) >= most:
+                yield frame_of(out)
+                out = []
+        if documents:
+            state.update((json.dumps([[name, *now] for name, now in documents.items()], ensure_ascii=False),))
+        elif state.exists:
+            state.remove()
+        yield frame_of(out)
+
+    schema = "doc string, piece bigint, line int, col int, ord bigint, text string, before array<string>"
+    cut = rows.groupBy("bucket").applyInPandasWithState(advance, schema, STATE, "append", "NoTimeout")
+    name = F.substring("doc", 2, 2**31 - 1)
+    back = F.unhex(name) if kind == "binary" else name.cast(chunks.schema[doc].dataType)
+    return cut.withColumn("doc", F.when(F.col("doc") != "", back)).withColumnRenamed("doc", doc)
 
 
 def chunk_tokens(

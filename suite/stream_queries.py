@@ -149,8 +149,11 @@ def arriving_chunks(spark, sf):
     )
     chunks = documents(spark, sf).select("doc_id", F.inline(F.transform(F.sequence(F.lit(0).cast("long"), count - 1), cut)))
     path = new_shared_path(spark, "chunks")
-    chunks.repartition(CHUNK_FILES, F.col("chunk") % CHUNK_FILES).write.parquet(path)
-    return spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    # Each of these files is dealt to several tasks, which write a part of it.
+    parts = max(spark.sparkContext.defaultParallelism // CHUNK_FILES, 1)
+    dealt = [F.col("chunk") % CHUNK_FILES, F.pmod(F.hash("doc_id"), F.lit(parts))]
+    chunks.repartition(CHUNK_FILES * parts, *dealt).write.parquet(path)
+    return spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 2 * parts).parquet(path)
 
 
 @query("f3_ngrams_of_chunks", f"WITH {grams_sql(3)} SELECT doc_id, w1, w2, w3 FROM ngrams")

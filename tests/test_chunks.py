@@ -128,3 +128,29 @@ print(step([0, 0, 0, 0, 0, "", [], "[]"], {"text": "a b", "last": True, "count":
     done = subprocess.run([sys.executable, "-c", code], input=made, capture_output=True, cwd=tmp_path, env=env)
     assert done.returncode == 0, done.stderr.decode()
     assert done.stdout.decode().splitlines() == ["[[1, 3], [6]]", "(0, 0, 0, 0, 'a b', [])"]
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint", "binary"])
+def test_documents_share_calls_of_the_state_function(spark, tmp_path, kind):
+    """A bucket's documents are one row of the state and one call, whatever their ids."""
+    rnd, texts = random.Random(4), list(TEXTS.values())
+    ids = [None, *range(1, 300)] if kind == "bigint" else [None, "", "=", *[f"é{i}" for i in range(297)]]
+    keys = [k.encode() if kind == "binary" and k is not None else k for k in ids]
+    whole_texts = [texts[i % len(texts)] for i in range(len(keys))]
+    rows = []
+    for key, text in zip(keys, whole_texts):
+        rows += [(key, *r[1:]) for r in cut({"x": text}, rnd, 5)]
+    rnd.shuffle(rows)
+    schema = f"doc_id {kind}, chunk long, text string, last boolean"
+    # Every document is open after the first half: its end comes with the second.
+    halves = [r for r in rows if not r[3]], [r for r in rows if r[3]]
+    for i, part in enumerate(halves):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        query = run(ch.chunk_tokens(stream, buckets=8), tmp_path, "tokens")
+        state = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        assert 0 < state <= 8 if i == 0 else state == 0
+    docs = spark.createDataFrame(list(zip(keys, whole_texts)), f"doc_id {kind}, text string")
+    got, want = spark.read.parquet(f"{tmp_path}/tokens"), tk.tokenizer(docs)
+    assert got.schema["doc_id"].dataType == want.schema["doc_id"].dataType
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
