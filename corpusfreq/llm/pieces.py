@@ -21,17 +21,19 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusfreq.llm.wordwise import packed
 from corpusfreq.llm.workers import held, package_path, task
 
 MARK = "▁"
 # Words and tested pairs kept by a worker. A full memo of words becomes the old one.
 MEMO_WORDS = 300_000
-LEAN_WORDS = 100_000
+LEAN_WORDS = 50_000
 MEMO_PAIRS = 300_000
 # Words longer than this are encoded without keeping them.
 MEMO_CHARS = 64
@@ -64,9 +66,12 @@ class PieceEncoder:
         self.joints = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         self.size = size
         self.pairs: dict[int, bool] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.memo: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.decimal = [str(i) for i in range(size)]
+        # Packed ids, by parts of words and by words without their own space mark: a fourth
+        # of the memory of lists under the marked words.
+        self.parts: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _merge(self, parts: list[str]) -> list[str]:
         """Join the best-scored neighbours, the leftmost first, until none is a piece."""
@@ -91,8 +96,8 @@ class PieceEncoder:
         self.pairs[left * self.size + right] = known
         return known
 
-    def _part(self, part: str) -> list[int]:
-        """Ids of a part of a word: fill the prefix table, then walk it backwards."""
+    def _part(self, part: str) -> bytes:
+        """Packed ids of a part of a word: fill the prefix table, then walk it backwards."""
         n = len(part)
         last = [-1] * (n + 1)  # last token of each prefix; -1: the bytes of a character
         width = [0] * (n + 1)
@@ -126,10 +131,10 @@ class PieceEncoder:
                 out.append(last[at])
             at -= width[at]
         out.reverse()
-        return out
+        return packed(out)
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of one word with its space marks, cut where no piece holds both neighbours."""
+    def _chunk(self, chunk: str) -> bytes:
+        """Packed ids of one word with its space marks, cut where no piece holds both neighbours."""
         joints, parts, out, begin = self.joints, self.parts, [], 0
         for i in range(1, len(chunk) + 1):
             if chunk[i - 1 : i + 1] not in joints:
@@ -142,49 +147,46 @@ class PieceEncoder:
                         if len(parts) >= self.words:
                             parts.clear()
                         parts[part] = ids
-                out.extend(ids)
-        return tuple(out)
-
-    def _remembered(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        """The entry of a word that the young memo lacks: from the old one, or made anew."""
-        entry = self.old.get(chunk)
-        if entry is None:
-            ids = self._chunk(chunk)
-            entry = ids, "".join([f"{i}," for i in ids])
-        if len(chunk) <= MEMO_CHARS:
+                out.append(ids)
+        return b"".join(out)
+
+    def _remembered(self, word: str) -> bytes:
+        """The ids of a word that the young memo lacks: from the old one, or made anew."""
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._chunk(MARK + word)
+        if len(word) < MEMO_CHARS:
             if len(self.memo) >= self.words:
                 self.old, self.memo = self.memo, {}
-            self.memo[chunk] = entry
-        return entry
+            self.memo[word] = ids
+        return ids
 
-    def _entries(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+    def forget(self) -> None:
+        """Drop what is remembered of texts; the model's own tables stay."""
+        self.pairs, self.parts, self.memo, self.old = {}, {}, {}, {}
+
+    def encode(self, text: str) -> list[int]:
+        if not text:
+            return []
         # Every word but the first has one space mark of its own.
         marked = (MARK + text).replace(" ", MARK)
         if MARK + MARK in marked:
-            chunks = [c for c in CHUNK.findall(marked) if c]
+            words = [c[1:] for c in CHUNK.findall(marked) if c]
         else:
-            chunks = [MARK + w for w in marked[1:].split(MARK)]
+            words = marked[1:].split(MARK)
         memo, found = self.memo, []
-        for chunk in chunks:
-            entry = memo.get(chunk)
-            if entry is None:
-                entry = self._remembered(chunk)
+        for word in words:
+            ids = memo.get(word)
+            if ids is None:
+                ids = self._remembered(word)
                 memo = self.memo
-            found.append(entry)
-        return found
-
-    def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self._entries(text) for i in ids] if text else []
+            found.append(ids)
+        return np.frombuffer(b"".join(found), np.int32).tolist()
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as decimals, SHA-256 of the decoded text."""
-        ids: list[int] = []
-        written: list[str] = []
-        if text:
-            for numbers, decimals in self._entries(text):
-                ids.extend(numbers)
-                written.append(decimals)
-        listed = "".join(written)[:-1]
+        ids, decimal = self.encode(text), self.decimal
+        listed = ",".join([decimal[i] for i in ids])
         decoded = self.model.decode(ids) if ids else ""
         sha = lambda s: hashlib.sha256(s.encode("utf-8")).hexdigest()
         return len(ids), sha(listed), sha(decoded)
@@ -211,8 +213,8 @@ def _map(docs: DataFrame, model_file: str, id_col: str, text_col: str, kind: lis
                 rows = [row(t.as_py()) for t in texts.slice(lo, 256)]
                 values = [pa.array(list(c), type=t) for c, t in zip(zip(*rows), kind, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, 256), *values], names=[id_col, *names])
-        if lean:  # between tasks the worker keeps the young memo only
-            encoder(model_file).old = {}
+        if lean:  # idle workers hold no words: an executor has more of them than cores
+            encoder(model_file).forget()
 
     names = [part.strip().split(" ")[0] for part in columns.split(",")]
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
@@ -241,7 +243,7 @@ def digest_documents(
 ) -> DataFrame:
     """Per document: id, n_tokens, and digests of the ids and of the text decoded from them.
 
-    ``lean`` workers keep fewer words, and fewer still between tasks, for executors that have
+    ``lean`` workers keep fewer words, and none between tasks, for executors that have
     little memory left; they encode some words again.
     """
 

@@ -87,3 +87,39 @@ def test_stages(spark, folder):
     assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in last} == coded
     whole = corpus_pipeline.run(spark, folder).collect()
     assert Counter(map(tuple, whole)) == Counter(map(tuple, last))
+
+
+def test_idle_lean_encoders_hold_no_words(docs):
+    """Workers are more than cores, so what they keep between tasks adds up in an executor."""
+    import pyarrow as pa
+
+    from corpusfreq.llm import pieces, workers
+    from corpusfreq.llm.tokenizers import model_file
+
+    few = docs.select("doc_id", "text").repartition(3)
+    lean = pieces.digest_documents(few, model_file(), lean=True)
+    roomy = pieces.digest_documents(few, model_file())
+    assert sorted(lean.collect()) == sorted(roomy.collect())
+    lean.collect()
+
+    def kept(batches):
+        for batch in batches:
+            held = [e for (owner, _), e in workers._HELD.items() if owner == "pieces"]
+            words = sum(len(t) for e in held if e.words == pieces.LEAN_WORDS for t in (e.memo, e.old, e.parts, e.pairs))
+            yield pa.RecordBatch.from_pydict({"n": [words] * batch.num_rows})
+
+    assert {r.n for r in few.select("doc_id").mapInArrow(kept, "n long").collect()} == {0}
+
+
+def test_a_remembered_word_is_packed_ids():
+    from corpusfreq.llm import pieces
+    from corpusfreq.llm.tokenizers import model_file
+
+    import sentencepiece
+
+    encoder, library = pieces.PieceEncoder(model_file(), 3), sentencepiece.SentencePieceProcessor(model_file=model_file())
+    for text in ["the cat sat on the mat", " two  blanks ", "▁marks▁▁inside ▁", "ünï 漢字   x", "", "a" * 200, "the mat"]:
+        assert encoder.encode(text) == library.encode(text)
+        assert all(isinstance(v, bytes) for t in (encoder.memo, encoder.parts) for v in t.values())
+        encoder.forget()
+        assert encoder.encode(text) == library.encode(text)
