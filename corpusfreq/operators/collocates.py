@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, ShortType
 
 from corpusfreq.functions.arrays import let
 from corpusfreq.plans.blocks import BLOCK_ROWS, block_window, owned, with_halo
@@ -16,7 +17,9 @@ def _distances(before: int, after: int) -> list[int]:
 
 
 def _distance_array(before: int, after: int) -> Column:
-    return F.array(*[F.lit(d) for d in _distances(before, after)]).cast("array<int>")
+    # A cast to a named array type would make the distances nullable.
+    distances = [F.lit(d) for d in _distances(before, after)]
+    return F.array(*distances) if distances else F.array().cast("array<int>")
 
 
 def collocates(
@@ -131,7 +134,14 @@ def collocate_stats(collocates: DataFrame, sample_variance: bool = False) -> Dat
     """Count, mean distance and variance per pair.
 
     Population variance by default; the sample form is NULL for a pair seen once.
+    Neighbours are met from both sides, so a pair and its mirror image are counted under
+    one key and parted at the end. A table whose distances may be missing or are not whole
+    numbers, and a stream, are counted pair by pair.
     """
+    kinds = {f.name: f for f in collocates.schema.fields}
+    whole = isinstance(kinds["dist"].dataType, (ByteType, ShortType, IntegerType)) and not kinds["dist"].nullable
+    if whole and kinds["head"].dataType == kinds["pair"].dataType and not collocates.isStreaming:
+        return _stats_of_sums(_mirrored_sums(collocates), sample_variance)
     variance = F.var_samp if sample_variance else F.var_pop
     distance = F.col("dist").cast("double")
     return collocates.groupBy("head", "pair").agg(
@@ -139,3 +149,44 @@ def collocate_stats(collocates: DataFrame, sample_variance: bool = False) -> Dat
         F.avg(distance).alias("mean"),
         variance(distance).alias("variance"),
     )
+
+
+def _mirrored_sums(collocates: DataFrame) -> DataFrame:
+    """``head, pair, n, s, q``: count, sum and sum of squares of the distances."""
+    # A null on either side leaves the pair as it is.
+    turned = F.coalesce(F.col("pair") < F.col("head"), F.lit(False))
+    keyed = collocates.select(
+        F.when(turned, F.col("pair")).otherwise(F.col("head")).alias("__a"),
+        F.when(turned, F.col("head")).otherwise(F.col("pair")).alias("__b"),
+        turned.alias("__t"),
+        F.col("dist").cast("long").alias("__d"),
+    )
+
+    def sums(side: Column, k: int) -> list[Column]:
+        part = lambda value: F.sum(F.when(side, value).otherwise(F.lit(0).cast("long")))
+        return [
+            F.count(F.when(side, F.lit(1))).alias(f"__n{k}"),
+            part(F.col("__d")).alias(f"__s{k}"),
+            part(F.col("__d") * F.col("__d")).alias(f"__q{k}"),
+        ]
+
+    both = keyed.groupBy("__a", "__b").agg(*sums(~F.col("__t"), 0), *sums(F.col("__t"), 1))
+
+    def row(head: str, pair: str, k: int) -> Column:
+        names = {"head": head, "pair": pair, "n": f"__n{k}", "s": f"__s{k}", "q": f"__q{k}"}
+        return F.struct(*[F.col(column).alias(name) for name, column in names.items()])
+
+    return both.select(F.inline(F.array(row("__a", "__b", 0), row("__b", "__a", 1)))).where("n > 0")
+
+
+def _stats_of_sums(sums: DataFrame, sample_variance: bool) -> DataFrame:
+    # Distances are taken from the whole part of their mean, in whole numbers: the sum of
+    # squares that is left is about as large as the variance, so nothing cancels.
+    n, s, q = F.col("n"), F.col("s"), F.col("q")
+    near = sums.withColumn("__m", F.expr("s div n")).withColumns(
+        {"__r": s - n * F.col("__m"), "__e": q - 2 * F.col("__m") * s + n * F.col("__m") * F.col("__m")}
+    )
+    rest = F.col("__r").cast("double")
+    squares = F.greatest(F.col("__e") - rest * rest / n, F.lit(0.0))
+    variance = F.when(n > 1, squares / (n - 1)) if sample_variance else squares / n
+    return near.select("head", "pair", "n", (s / n).alias("mean"), variance.alias("variance"))

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusfreq.operators import association as assoc
+from corpusfreq.operators import collocates as co
 from corpusfreq.operators import context as cx
+from corpusfreq.operators import index as ix
 from corpusfreq.plans.skew import Lookup, lookup_joins
 
 
@@ -58,3 +60,48 @@ def test_the_folded_training_rows_are_stored(spark, tmp_path):
     rows = folded(spark, str(tmp_path))
     assert not [f for f in rows.inputFiles() if str(tmp_path) in f]
     assert rows.agg(F.count("*")).first()[0] == 2
+
+
+@pytest.mark.parametrize("sample", [False, True])
+def test_a_pair_and_its_mirror_image_are_counted_under_one_key(spark, sample):
+    words = [list("abacabadaa"), ["x", None, "x", "a", None, None], [], None, ["a", "a", "a"]]
+    docs = spark.createDataFrame([(v,) for v in words], "vector array<string>")
+    near = co.collocates(docs, 2, 3)
+    stats = co.collocate_stats(near, sample)
+    assert "avg(" not in plan(stats) and "var_" not in plan(stats)
+    # The same rows with a distance that may be missing are counted pair by pair.
+    plain = co.collocate_stats(near.withColumn("dist", F.when(F.col("dist") < 99, F.col("dist"))), sample)
+    assert "avg(" in plan(plain) and stats.columns == plain.columns
+    rounded = lambda df: sorted(
+        (str(r.head), str(r.pair), r.n, round(r["mean"], 9), None if r.variance is None else round(r.variance, 9)) for r in df.collect()
+    )
+    assert rounded(stats) == rounded(plain) != []
+
+
+def test_variances_far_from_zero_keep_their_digits(spark):
+    rows = [("a", "b", 30_000 + i % 2) for i in range(1000)] + [("b", "a", -30_000)] * 3
+    near = spark.createDataFrame(rows, "head string, pair string, dist int")
+    stats = co.collocate_stats(near.withColumn("dist", F.coalesce("dist", F.lit(0))))
+    assert "avg(" not in plan(stats)
+    assert sorted(map(tuple, stats.collect())) == [("a", "b", 1000, 30_000.5, 0.25), ("b", "a", 3, -30_000.0, 0.0)]
+
+
+def test_postings_are_sorted_without_a_comparator(spark):
+    docs = spark.createDataFrame([(1, "b a\nb A b"), (2, None), (3, "")], "doc_id int, text string")
+    nested = ix.document_postings(docs)
+    assert "array_sort(" not in plan(nested)
+    got = {(r.norm, r.doc_id): [tuple(p) for p in r.postings] for r in nested.collect()}
+    assert got == {("a", 1): [(0, 2, 3), (1, 2, 3)], ("b", 1): [(0, 0, 1), (1, 0, 1), (1, 4, 5)]}
+
+
+def test_the_documents_are_dealt_to_more_tasks_as_they_grow(spark, tmp_path, monkeypatch):
+    from suite import registry
+
+    rows = [(i, None if i == 7 else "x" * 100) for i in range(1000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    assert registry.documents(spark, str(tmp_path)).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(registry, "TASK_BYTES", 2000)
+    docs = registry.documents(spark, str(tmp_path))
+    assert docs.rdd.getNumPartitions() >= 99_900 / 2000 > cores
+    assert sorted(map(tuple, docs.collect()), key=str) == sorted(rows, key=str)
