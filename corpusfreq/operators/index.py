@@ -74,7 +74,8 @@ def document_postings(
 
         return let(starts, runs)
 
-    nested = F.when(F.size(tokens) > 0, let(F.array_sort(tokens), cut))
+    # sort_array compares whole structs; array_sort would evaluate an expression for each pair.
+    nested = F.when(F.size(tokens) > 0, let(F.sort_array(tokens), cut))
     rows = docs.select(doc, F.inline_outer(nested))
     return rows.where(F.col("norm").isNotNull()).select("norm", doc, "postings")
 
