@@ -9,6 +9,7 @@ import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,9 +46,18 @@ def name_storage(spark: SparkSession) -> None:
         context.setCheckpointDir(f"file://{os.path.join(tempfile.gettempdir(), 'corpusfreq-suite')}")
 
 
+# Text of one task: the hash table that counts its n-grams stays in the memory of a core.
+TASK_BYTES = 16 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, dealt to all cores: the test files have a single row group."""
-    return table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    """The documents, dealt to all cores and to tasks of bounded text: the test files have
+    a single row group, and a task as large as a core's part would spill its counts."""
+    docs = table(spark, sf_dir, "documents")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cores = spark.sparkContext.defaultParallelism
+    waves = max(1, -(-size // (cores * TASK_BYTES)))
+    return docs.repartition(cores * waves, "doc_id")
 
 
 # Common table expressions of the SQL side.
