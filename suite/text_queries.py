@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusfreq.functions.text import line_tokens
@@ -411,13 +410,11 @@ def d3_blocks(spark, sf):
         pos = F.struct("doc_id", F.col("ord").cast("long").alias("ord"))
         long = vector_words(tk.corpus_vectors(part)).select("norm", pos.alias("pos"))
         path = new_shared_path(spark, "blocks")
-        ix.posting_blocks(long, "norm", "pos").write.parquet(path)
+        ix.posting_blocks(long, "norm", "pos", by_rank=False).write.parquet(path)
         blocks.append(spark.read.parquet(path))
     merged = ix.merge_posting_blocks(*blocks, key="norm")
     # A posting's place is the length of the key's blocks before its own, and its place there.
-    ends = Window.partitionBy("norm").orderBy("block")
-    start = F.sum(F.size("positions")).over(ends) - F.size("positions")
-    rows = merged.withColumn("start", start).select("norm", "start", F.posexplode("positions").alias("at", "p"))
+    rows = merged.select("norm", "start", F.posexplode("positions").alias("at", "p"))
     return rows.select("norm", (F.col("start") + F.col("at")).alias("place"), "p.doc_id", "p.ord")
 
 

@@ -67,6 +67,80 @@ def test_posting_blocks_are_bounded_and_whole(spark):
     assert got == want
 
 
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange rangepartitioning") + plan.count("Exchange hashpartitioning")
+
+
+def test_posting_blocks_cut_in_place(spark):
+    """The same lists after one shuffle, over keys longer than a batch, null keys and null positions."""
+    hot = spark.range(0, 50_000, 1, 3).selectExpr("'hot' AS key", "struct(concat('d', id % 700) AS doc, id AS ord) AS pos")
+    rest = spark.range(0, 3_000).selectExpr(
+        "CASE WHEN id % 9 > 0 THEN concat('k', id % 400) END AS key", "CASE WHEN id % 7 > 0 THEN struct(concat('d', id % 5) AS doc, id AS ord) END AS pos"
+    )
+    index = hot.unionByName(rest)
+    blocks = ix.posting_blocks(index, block_postings=64, by_rank=False)
+    assert blocks.columns == ix.posting_blocks(index.limit(1)).columns and exchanges(blocks) == 1
+    got, want = defaultdict(list), defaultdict(list)
+    found = blocks.collect()
+    assert len({b.block for b in found}) == len(found) and 0 < min(len(b.positions) for b in found)
+    assert max(len(b.positions) for b in found) == 64 and len(found) < 50_000 / 64 + 401 + 400 + 2 * 4
+    for b in sorted(found, key=lambda b: b.block):
+        got[b.key] += [tuple(p) for p in b.positions]
+    for r in index.where("pos IS NOT NULL").collect():
+        want[r.key].append(tuple(r.pos))
+    assert got == {k: sorted(v) for k, v in want.items()} and None in got
+    for key in ("struct(id % 3 AS a)", "CASE WHEN id % 3 = 0 THEN double('NaN') ELSE double(id % 3) END"):
+        other = ix.posting_blocks(spark.range(30).selectExpr(f"{key} AS key", "id AS pos"), by_rank=False).collect()
+        lists = defaultdict(list)
+        for b in sorted(other, key=lambda b: b.block):
+            lists[str(b.key)] += b.positions
+        assert sorted(lists.values()) == [list(range(i, 30, 3)) for i in range(3)] and len(other) < 3 + 4
+    assert ix.posting_blocks(index.where("pos IS NULL"), by_rank=False).count() == 0
+
+
+@pytest.mark.parametrize("by_rank", [True, False])
+@pytest.mark.parametrize("apart", [True, False])
+def test_merged_blocks_know_their_start(spark, by_rank, apart):
+    rng = random.Random(6)
+    shift = 10_000 if apart else 0
+    parts = [
+        [("hot", rng.randint(0, 3000) + shift * i) for _ in range(700)] + [(rng.choice("abcd"), rng.randint(0, 99) + shift * i) for _ in range(90)]
+        + [(f"own{i}", 5)] + [("tied", 10_000 * i + 3)] * 70 + [("late" if i else "early", 7)] * 5
+        for i in (2, 0, 1)
+    ]
+    blocks = [
+        ix.posting_blocks(spark.createDataFrame(rows, "key string, pos int"), block_postings=16, by_rank=by_rank) for rows in parts
+    ]
+    merged = ix.merge_posting_blocks(*blocks).collect()
+    want, got = defaultdict(list), defaultdict(list)
+    for key, pos in sum(parts, []):
+        want[key].append(pos)
+    for r in sorted(merged, key=lambda r: (r.key, r.block)):
+        assert r.start == len(got[r.key])
+        got[r.key] += r.positions
+    assert got == {k: sorted(v) for k, v in want.items()}
+    for key in want:
+        assert sorted(r.block for r in merged if r.key == key) == list(range(sum(r.key == key for r in merged)))
+
+
+def test_merging_shuffles_no_postings_of_frequent_keys(spark, tmp_path):
+    """Positions that lie apart: blocks of frequent keys get their numbers from a broadcast."""
+    path, blocks = str(tmp_path / "blocks"), []
+    for i in (1, 0):
+        index = spark.range(200_000).selectExpr("concat('k', id % 5) AS key", f"id + {i} * 1000000 AS pos")
+        ix.posting_blocks(index, by_rank=False).write.parquet(f"{path}{i}")
+        blocks.append(spark.read.parquet(f"{path}{i}"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        merged = ix.merge_posting_blocks(*blocks).where("positions[0] >= 0")
+        # Only the two sides of the join for the other keys.
+        assert exchanges(merged) == 2 and merged.selectExpr("sum(size(positions))").first()[0] == 400_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_vocabulary(spark):
     rng = random.Random(4)
     words = [rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(300)]
