@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from corpusfreq.plans.blocks import BLOCK_ROWS, block_window, leads, owned, with_halo
+from corpusfreq.plans.packed import packed_ngrams, packed_sums
 from corpusfreq.plans.skew import Lookup, lookup_joins
 from corpusfreq.session import stored
 
@@ -41,7 +43,8 @@ def ngrams(
     if with_ord:
         rows = docs.select(*keep, F.posexplode(grams).alias("ord", "__g"))
         return rows.select(*keep, "ord", "__g.*").toDF(*keep, "ord", *word_columns(n))
-    return docs.select(*keep, F.inline(grams)).toDF(*keep, *word_columns(n))
+    rows = docs.select(*keep, F.explode_outer(grams).alias("__g")).where(F.col("__g").isNotNull())
+    return rows.select(*keep, "__g.*").toDF(*keep, *word_columns(n))
 
 
 def ngrams_of_rows(
@@ -65,9 +68,11 @@ def ngrams_of_rows(
 def ngram_freqs(
     docs: DataFrame, n: int, vector: str = "vector", drop_last: bool = False
 ) -> DataFrame:
-    """``w1 … wn, count``."""
-    grams = ngrams(docs, n, vector, drop_last)
-    return grams.groupBy(*word_columns(n)).agg(F.count("*").alias("count"))
+    """``w1 … wn, count``; shuffled as blocks, in which a word is written once."""
+    kind = docs.schema[vector].dataType
+    if n >= 1 and not docs.isStreaming and isinstance(kind, ArrayType) and kind.elementType == StringType():
+        return packed_ngrams(docs, vector, word_columns(n), drop_last)
+    return ngrams(docs, n, vector, drop_last).groupBy(*word_columns(n)).agg(F.count("*").alias("count"))
 
 
 def ngram_models(
@@ -75,19 +80,26 @@ def ngram_models(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Unigram, bigram and trigram counts.
 
-    Only positions with two successors count, so all three follow from one
-    trigram table; ``full_counts`` counts every unigram and bigram instead.
-    ``store`` writes the trigram table to the shared folder, so that models used
-    more than once do not read the corpus again.
+    Only positions with two successors count; ``full_counts`` counts every unigram and
+    bigram. ``store`` writes the tables to the shared folder, so that models used more than
+    once do not read the corpus again: but for full counts all three follow from the
+    trigrams. Without it each model is counted from the vectors alone, so that no trigrams are
+    shuffled for the others.
     """
     tri = ngram_freqs(docs, 3, vector)
     if store:
         tri = stored(tri, "trigrams")
     if full_counts:
         uni, bi = ngram_freqs(docs, 1, vector), ngram_freqs(docs, 2, vector)
-    else:
+    elif store:
         uni = tri.groupBy("w1").agg(F.sum("count").alias("count"))
-        bi = tri.groupBy("w1", "w2").agg(F.sum("count").alias("count"))
+        bi = packed_sums(tri, ["w1", "w2"], ["count"])
+    else:
+        followed = F.slice(F.col(vector), 1, F.greatest(F.size(vector) - 2, F.lit(0)))
+        uni = docs.select(F.explode(followed).alias("w1")).groupBy("w1").agg(F.count("*").alias("count"))
+        bi = ngram_freqs(docs, 2, vector, drop_last=True)
+    if store:
+        uni, bi = stored(uni, "unigrams"), stored(bi, "bigrams")
     return (
         uni.select(F.col("w1").alias("item"), "count"),
         bi.select(F.col("w1").alias("cond"), F.col("w2").alias("item"), "count"),
@@ -95,35 +107,54 @@ def ngram_models(
     )
 
 
+def _asked_counts(query: DataFrame, table: DataFrame, keys: dict[str, str], name: str) -> DataFrame:
+    """``__k0 …, name``: the counts in ``table`` of the query's keys (query column to table column).
+
+    The query's keys are added up with the table's, in packed blocks: a join would shuffle
+    every row of the table, as whole strings.
+    """
+    columns = [f"__k{i}" for i in range(len(keys))]
+    have = table.select(*[F.col(c).alias(k) for k, c in zip(columns, keys.values())], F.col("count").cast("long").alias(name), F.lit(0).alias("__asked"))
+    ask = query.select(*[F.col(q).alias(k) for k, q in zip(columns, keys)], F.lit(0).cast("long").alias(name), F.lit(1).alias("__asked"))
+    # A null equals nothing.
+    both = have.unionByName(ask).dropna(subset=columns)
+    return packed_sums(both, columns, [name, "__asked"], name).where((F.col("__asked") > 0) & (F.col(name) > 0)).drop("__asked")
+
+
 def interpolate(
     query: DataFrame,
     models: tuple[DataFrame, DataFrame, DataFrame],
     weights: tuple[float, float, float],
     out: str = "p",
+    store: bool = True,
 ) -> DataFrame:
-    """Linear interpolation for rows ``w1, w2, w3``; unseen events add 0."""
-    # Each model is read for its own counts and for the totals of the next one.
-    uni, bi, tri = (stored(m, name) for m, name in zip(models, ("unigrams", "bigrams", "trigrams"), strict=True))
+    """Linear interpolation for rows ``w1, w2, w3``; unseen events add 0.
+
+    Each model is read for its own counts and for the totals of the next one, so it is
+    written first; ``store=False`` if the models lie in files already.
+    """
+    uni, bi, tri = models
+    if store:
+        uni, bi, tri = (stored(m, name) for m, name in zip(models, ("unigrams", "bigrams", "trigrams"), strict=True))
     l1, l2, l3 = weights
     tri = tri.select(
         F.col("cond.w1").alias("a"), F.col("cond.w2").alias("b"), F.col("item").alias("c"), "count"
     )
-    after_pair = tri.groupBy("a", "b").agg(F.sum("count").alias("count"))
     after_one = bi.groupBy("cond").agg(F.sum("count").alias("count"))
     # Counts and their totals are looked up for the query's keys only, so no
     # probability is computed for an event that nobody asks for. Pairs and triples
-    # are many and small: plain joins. Single words are few and frequent.
+    # are many and small: plain joins. Single words are few and frequent. The totals
+    # after a pair are the trigrams added up by their first two words.
+    query = stored(query, "query")
     scored = query
     for keys, table, name in (
         ({"w1": "a", "w2": "b", "w3": "c"}, tri, "__c3"),
-        ({"w1": "a", "w2": "b"}, after_pair, "__n3"),
+        ({"w1": "a", "w2": "b"}, tri, "__n3"),
         ({"w2": "cond", "w3": "item"}, bi, "__c2"),
     ):
-        right = table.select(
-            *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys.values())], F.col("count").alias(name)
-        )
         condition = [F.col(q) == F.col(f"__k{i}") for i, q in enumerate(keys)]
-        scored = scored.join(right, condition, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+        found = _asked_counts(query, table, keys, name)
+        scored = scored.join(found, condition, "left").drop(*[f"__k{i}" for i in range(len(keys))])
     # Either part of the lookups below would repeat the joins above.
     scored = stored(scored, "counted")
     words = [

@@ -455,7 +455,7 @@ def f5(spark, sf):
     turns = tk.corpus_vectors(table(spark, sf, "conversations"), doc="conv_id")
     asked = ng.ngrams(turns, 3).distinct()
     models = ng.ngram_models(vectors(spark, sf), store=True)
-    scored = ng.interpolate(asked, models, (0.2, 0.3, 0.5))
+    scored = ng.interpolate(asked, models, (0.2, 0.3, 0.5), store=False)
     return scored.select("w1", "w2", "w3", rounded("p", 12))
 
 
