@@ -10,6 +10,7 @@ from pyspark.sql.types import ByteType, IntegerType, ShortType
 
 from corpusfreq.functions.arrays import let
 from corpusfreq.plans.blocks import BLOCK_ROWS, block_window, owned, with_halo
+from corpusfreq.plans.packed import packed_sums
 
 
 def _distances(before: int, after: int) -> list[int]:
@@ -36,9 +37,8 @@ def collocates(
     count = F.greatest(F.size("__v") - F.abs("__d"), F.lit(0))
     heads = F.slice("__v", F.greatest(-F.col("__d"), F.lit(0)) + 1, count)
     pairs = F.slice("__v", F.greatest(F.col("__d"), F.lit(0)) + 1, count)
-    return shifted.select(*keep, F.col("__d"), F.inline(F.arrays_zip(heads, pairs))).toDF(
-        *keep, "dist", "head", "pair"
-    ).select(*keep, "head", "pair", "dist")
+    rows = shifted.select(*keep, F.col("__d"), F.explode_outer(F.arrays_zip(heads, pairs)).alias("__g"))
+    return rows.where(F.col("__g").isNotNull()).select(*keep, "__g.*", "__d").toDF(*keep, "head", "pair", "dist")
 
 
 def collocates_of_rows(
@@ -134,14 +134,17 @@ def collocate_stats(collocates: DataFrame, sample_variance: bool = False) -> Dat
     """Count, mean distance and variance per pair.
 
     Population variance by default; the sample form is NULL for a pair seen once.
-    Neighbours are met from both sides, so a pair and its mirror image are counted under
-    one key and parted at the end. A table whose distances may be missing or are not whole
-    numbers, and a stream, are counted pair by pair.
+    Whole distances are shuffled as their sums, in packed blocks that hold a word once for
+    all its pairs. A table whose distances may be missing or are not whole numbers, and a
+    stream, take Spark's own averages.
     """
     kinds = {f.name: f for f in collocates.schema.fields}
     whole = isinstance(kinds["dist"].dataType, (ByteType, ShortType, IntegerType)) and not kinds["dist"].nullable
     if whole and kinds["head"].dataType == kinds["pair"].dataType and not collocates.isStreaming:
-        return _stats_of_sums(_mirrored_sums(collocates), sample_variance)
+        distance = F.col("dist").cast("int")
+        square = distance.cast("long") * distance
+        rows = collocates.select("head", "pair", distance.alias("s"), square.alias("q"))
+        return _stats_of_sums(packed_sums(rows, ["head", "pair"], ["s", "q"], "n"), sample_variance)
     variance = F.var_samp if sample_variance else F.var_pop
     distance = F.col("dist").cast("double")
     return collocates.groupBy("head", "pair").agg(
@@ -151,34 +154,6 @@ def collocate_stats(collocates: DataFrame, sample_variance: bool = False) -> Dat
     )
 
 
-def _mirrored_sums(collocates: DataFrame) -> DataFrame:
-    """``head, pair, n, s, q``: count, sum and sum of squares of the distances."""
-    # A null on either side leaves the pair as it is.
-    turned = F.coalesce(F.col("pair") < F.col("head"), F.lit(False))
-    keyed = collocates.select(
-        F.when(turned, F.col("pair")).otherwise(F.col("head")).alias("__a"),
-        F.when(turned, F.col("head")).otherwise(F.col("pair")).alias("__b"),
-        turned.alias("__t"),
-        F.col("dist").cast("long").alias("__d"),
-    )
-
-    def sums(side: Column, k: int) -> list[Column]:
-        part = lambda value: F.sum(F.when(side, value).otherwise(F.lit(0).cast("long")))
-        return [
-            F.count(F.when(side, F.lit(1))).alias(f"__n{k}"),
-            part(F.col("__d")).alias(f"__s{k}"),
-            part(F.col("__d") * F.col("__d")).alias(f"__q{k}"),
-        ]
-
-    both = keyed.groupBy("__a", "__b").agg(*sums(~F.col("__t"), 0), *sums(F.col("__t"), 1))
-
-    def row(head: str, pair: str, k: int) -> Column:
-        names = {"head": head, "pair": pair, "n": f"__n{k}", "s": f"__s{k}", "q": f"__q{k}"}
-        return F.struct(*[F.col(column).alias(name) for name, column in names.items()])
-
-    return both.select(F.inline(F.array(row("__a", "__b", 0), row("__b", "__a", 1)))).where("n > 0")
-
-
 def _stats_of_sums(sums: DataFrame, sample_variance: bool) -> DataFrame:
     # Distances are taken from the whole part of their mean, in whole numbers: the sum of
     # squares that is left is about as large as the variance, so nothing cancels.
