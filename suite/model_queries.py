@@ -417,8 +417,9 @@ def j8(spark, sf):
     from corpusfreq.operators.association import with_item_counts
     from suite.count_queries import bigrams
 
-    items = word_freqs(spark, sf)
-    counted = with_item_counts(bigrams(spark, sf), items, ("w1", "w2"))
+    # Either part of a lookup, and the total, read the tables again.
+    items, pairs = stored(word_freqs(spark, sf), "items"), stored(bigrams(spark, sf), "bigrams")
+    counted = with_item_counts(pairs, items, ("w1", "w2"))
     n = items.agg(F.sum("count")).scalar()
     value = scores.pmi_counts(F.col("count"), F.col("c_w1"), F.col("c_w2"), n)
     return counted.select("w1", "w2", F.round(value, 9).alias("pmi"))
@@ -432,7 +433,8 @@ def j9(spark, sf):
     from corpusfreq.operators.association import with_item_counts
     from suite.count_queries import bigrams
 
-    counted = with_item_counts(bigrams(spark, sf), word_freqs(spark, sf), ("w1",))
+    items, pairs = stored(word_freqs(spark, sf), "items"), stored(bigrams(spark, sf), "bigrams")
+    counted = with_item_counts(pairs, items, ("w1",))
     return counted.select("w1", "w2", scores.mle(F.col("count"), F.col("c_w1")).alias("p"))
 
 
