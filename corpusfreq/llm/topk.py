@@ -42,7 +42,7 @@ CANDIDATE_BLOCK = 4096
 # Query blocks whose best entries a task holds at once.
 RUNNING = 64
 EXACT = 2.0**53
-BLOCK = "ids binary, dims int, data binary, cutoffs binary"
+BLOCK = "ids binary, dims int, kind string, data binary, cutoffs binary"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -67,13 +67,17 @@ def _pack(rows: DataFrame, size: int) -> DataFrame:
                 data = np.zeros((len(ids), dims))
                 held = np.arange(dims) < lengths[:, None]
                 data[held] = np.floor(SCALE * np.asarray(lists.flatten().to_numpy(zero_copy_only=False), float))
+                # Whole numbers, as narrow as they are; beyond 32 bits they stay doubles.
+                most = np.abs(data).max(initial=0)
+                kind = next((k for k in ("int16", "int32") if most <= np.iinfo(k).max), "float64")
+                data = data.astype(kind)
                 cutoffs = np.zeros(0)
                 if part.num_columns > 2:
                     cutoffs = np.asarray(part.column(2).to_numpy(zero_copy_only=False), float)
-                values = [[ids.tobytes()], [dims], [data.tobytes()], [cutoffs.tobytes()]]
-                types = [pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+                values = [[ids.tobytes()], [dims], [kind], [data.tobytes()], [cutoffs.tobytes()]]
+                types = [pa.binary(), pa.int32(), pa.string(), pa.binary(), pa.binary()]
                 arrays = [pa.array(v, t) for v, t in zip(values, types, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["ids", "dims", "data", "cutoffs"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["ids", "dims", "kind", "data", "cutoffs"])
 
     return rows.mapInArrow(run, BLOCK)
 
@@ -171,28 +175,31 @@ def _meet(queries: DataFrame, candidates: DataFrame, k: int, grid: tuple[int, in
     """(query_id, vec_id, score) of what each cell gives to phase 1 or to phases 2 and 3.
 
     Candidate blocks are dealt to the rows of a grid and query blocks to its columns; a cell
-    is one task and keeps k rows for each of its queries.
+    is one task and keeps k rows for each of its queries. Both sides are shuffled: the
+    planner does not see how often a block is copied, and would send all copies through the
+    driver where it takes the blocks themselves for small.
     """
     high, wide = grid
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = candidates.select(F.col("ids").alias("c_ids"), F.col("dims").alias("c_dims"), F.col("data").alias("c_data"), F.pmod(F.xxhash64("ids"), F.lit(high)).cast("int").alias("row"), every(wide).alias("column"))
+    block = [F.col(c).alias(f"c_{c}") for c in ("ids", "dims", "kind", "data")]
+    left = candidates.select(*block, F.pmod(F.xxhash64("ids"), F.lit(high)).cast("int").alias("row"), every(wide).alias("column"))
     right = queries.withColumns({"row2": every(high), "column2": F.pmod(F.xxhash64("ids"), F.lit(wide)).cast("int")})
-    pairs = left.join(right, (F.col("row") == F.col("row2")) & (F.col("column") == F.col("column2"))).select(
-        "ids", "dims", "data", "cutoffs", "c_ids", "c_dims", "c_data"
+    pairs = left.hint("merge").join(right, (F.col("row") == F.col("row2")) & (F.col("column") == F.col("column2"))).select(
+        "ids", "dims", "kind", "data", "cutoffs", "c_ids", "c_dims", "c_kind", "c_data"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         running: dict[bytes, _Running] = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                q_ids, q_dims, q_data, cutoffs, c_ids, c_dims, c_data = (batch.column(i)[row].as_py() for i in range(7))
+                q_ids, q_dims, q_kind, q_data, cutoffs, c_ids, c_dims, c_kind, c_data = (batch.column(i)[row].as_py() for i in range(9))
                 if q_ids not in running:
                     if len(running) >= RUNNING:
                         yield running.pop(next(iter(running))).rows()
                     ids = np.frombuffer(q_ids, np.int64)
-                    running[q_ids] = _Running(ids, np.frombuffer(q_data).reshape(len(ids), q_dims), None if heads else np.frombuffer(cutoffs), k)
+                    running[q_ids] = _Running(ids, np.frombuffer(q_data, q_kind).astype(float).reshape(len(ids), q_dims), None if heads else np.frombuffer(cutoffs), k)
                 ids = np.frombuffer(c_ids, np.int64)
-                running[q_ids].take(ids, np.frombuffer(c_data).reshape(len(ids), c_dims))
+                running[q_ids].take(ids, np.frombuffer(c_data, c_kind).astype(float).reshape(len(ids), c_dims))
         for left_over in running.values():
             yield left_over.rows()
 
@@ -200,9 +207,12 @@ def _meet(queries: DataFrame, candidates: DataFrame, k: int, grid: tuple[int, in
 
 
 def _grid(candidates: int, queries: int, tasks: int) -> tuple[int, int]:
-    """Rows and columns: as many cells as there are tasks, or block pairs if these are fewer."""
+    """Rows and columns: at most as many cells as there are tasks, or block pairs if these are fewer.
+
+    Every column copies all candidates, so none is added for the rest of the division.
+    """
     high = max(1, min(candidates, tasks))
-    return high, max(1, min(queries, -(-tasks // high)))
+    return high, max(1, min(queries, tasks // high))
 
 
 def top_k(

@@ -255,3 +255,15 @@ def test_running_queries_skip_short_vectors():
     assert dict(zip(held.ids[held.query].tolist(), held.total.tolist())) == {1: 300, 2: 100}
     assert len(held.reach(np.array([[1.0, 1.0, 1.0, 1.0]]))) == 0
     assert held.reach(np.array([[99.0, 0.0, 0.0, 0.0]])).tolist() == [0, 1]
+
+
+def test_copies_of_query_blocks_are_not_broadcast(spark):
+    """The planner would take them for as small as the blocks that are copied."""
+    rows = [(i, [float(i % 7), 40.0 * i, -3e9 if i == 5 else 0.5]) for i in range(40)]
+    vectors = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    blocks = topk._pack(vectors.repartition(4), 16)
+    assert {r["kind"] for r in blocks.collect()} >= {"int32", "float64"}
+    met = topk._meet(topk._pack(vectors.where("id < 3"), 2), blocks, 3, (2, 2), heads=True)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {r["query_id"] for r in met.collect()} == {0, 1, 2}
